@@ -1,6 +1,7 @@
 """Operators for training-data pipelines, and their queries."""
 
 from .repeats import op2_suffix_dedup
+from .simhash import op8_simhash
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op8_simhash)}
 ORACLES: dict[str, str] = {}
