@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,9 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As cut(), but as a Parquet table: smaller, and columns can be pruned."""
+    """As cut(), but as a Parquet table: smaller, and columns can be pruned.
+
+    The shuffle files that made it aren't needed again; they go when the driver
+    finds them unused, which is brought about here.
+    """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
