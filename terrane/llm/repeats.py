@@ -223,7 +223,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widt
     blocks = written(of_windows(per_document(parts, "gram", "first", "last", "place"), _blocks(length, width), "gram long, core long, full long, first long, last long"))
     shared, rest = ordered(blocks, ["gram", "core"], "full")
     windows = of_windows(per_document(rest, "gram", "first", "last"), _single(length), "gram long, w long, first long")
-    again = windows.join(many(windows, "gram", "w"), ["gram", "w"])
+    again = written(windows.join(many(windows, "gram", "w"), ["gram", "w"]).select("k1", "k2", "first"))
 
     end = (F.col("last") + length).alias("last")
     spans = copied.select("k1", "k2", "first", end)
