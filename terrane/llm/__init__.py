@@ -1,7 +1,10 @@
 """Operators for training-data pipelines, and their queries."""
 
+from .mixing import OP7_SQL, op7_mixing
+from .packing import op3_packing
+from .quality import op5_quality_rules
 from .repeats import op2_suffix_dedup
 from .simhash import op8_simhash
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op8_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_packing, op5_quality_rules, op7_mixing, op8_simhash)}
+ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
