@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,14 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """As cut(), but as a Parquet table: smaller, and columns can be pruned.
 
-    The shuffle files that made it aren't needed again; they go when the driver
-    finds them unused, which is brought about here.
+    The shuffle files that made it go when it is written: a held DataFrame
+    would keep them, and they aren't needed again.
     """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_dir(spark)}/{uuid.uuid4().hex}", spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
