@@ -1,10 +1,15 @@
 """Operators for training-data pipelines, and their queries."""
 
+from .chat import op10_chat_format
+from .licenses import op6_license_scan
 from .mixing import OP7_SQL, op7_mixing
+from .neighbours import op1_nn_descent
 from .packing import op3_packing
+from .pii import op4_pii
 from .quality import op5_quality_rules
 from .repeats import op2_suffix_dedup
 from .simhash import op8_simhash
+from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_packing, op5_quality_rules, op7_mixing, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_suffix_dedup, op3_packing, op4_pii, op5_quality_rules, op6_license_scan, op7_mixing, op8_simhash, op9_warc, op10_chat_format)}
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
