@@ -26,11 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8, written
+from .common import table, utf8, within, written
 from .components import components
 
 REFERENCES, WIDTH, TABLES, KEY_BITS = 12, 8, 40, 20
-_CHUNK = 1 << 15
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -46,28 +45,36 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits that are set in more than half of the hashes."""
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), _CHUNK):
-        ones += np.unpackbits(hashes[i : i + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For each row of hashes, the bits that are set in more than half of them.
 
-
-def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> list[int]:
+    Every eighth bit is counted at once, in the bytes of a sum of 255 hashes.
+    """
+    lanes, n = hashes.shape
+    blocks = -(-n // 255)
+    padded = np.zeros((lanes, blocks * 255), np.uint64)
+    padded[:, :n] = hashes
+    counts = np.empty((lanes, 8, 8), np.int64)
+    for k in range(8):
+        sums = ((padded >> np.uint64(k)) & np.uint64(0x0101010101010101)).reshape(lanes, blocks, 255).sum(2)
+        counts[:, :, k] = sums.astype("<u8").view(np.uint8).reshape(lanes, blocks, 8).sum(1, dtype=np.int64)
+    return np.packbits(2 * counts.reshape(lanes, 64) > n, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> np.ndarray:
     """lanes numbers of 64 bits. The first takes XXH64 with seed 42; each further one remixes that hash."""
     hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, words)], np.uint64)
     if not len(hashes):
-        return [0] * lanes
-    out = [majority(hashes)]
+        return np.zeros(lanes, np.uint64)
+    mixed = np.empty((lanes, len(hashes)), np.uint64)
+    mixed[0] = hashes
     with np.errstate(over="ignore"):
         for lane in range(1, lanes):
             h = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
             h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            out.append(majority(h ^ (h >> np.uint64(31))))
-    return out
+            mixed[lane] = h ^ (h >> np.uint64(31))
+    return majority(mixed)
 
 
 def fingerprints(texts: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
@@ -79,7 +86,7 @@ def fingerprints(texts: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
             data, at = utf8(batch.column("text"))
             raw = data.tobytes()
             found = [fingerprint(raw[a:b], words, lanes) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            bits = np.array(found, np.uint64).reshape(-1, lanes)
+            bits = np.stack(found) if found else np.zeros((0, lanes), np.uint64)
             fp = pa.array(bits[:, 0].view(np.int64)) if lanes == 1 else pa.array([x.tobytes() for x in bits], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), fp], [*rest, "fp"])
 
@@ -229,5 +236,25 @@ def simhash_components(docs: DataFrame, words: int = 3, most: int = 3) -> DataFr
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs (doc_id, text and more columns) with one row of each class of near copies, that with the smallest doc_id.
+
+    Ids come before null; of rows that agree in id, one of the smallest text
+    hash stays, and of rows that agree in both, one. Null texts and texts
+    without words are copies of each other. All columns are kept.
+    """
+    k1, k2, m = within(docs.columns, "k1", "k2", "m")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn(k1, F.xxhash64(text)).withColumn(k2, F.xxhash64(F.lit(7), F.col("doc_id").isNull(), "doc_id", text))
+    found = written(fingerprints(keyed.select("doc_id", F.col(k1).alias("k1"), F.col(k2).alias("k2"), text.alias("text")), words, WIDTH))
+    roots = near_classes(found, similarity)
+    rooted = found.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "k1", "k2", F.coalesce("root", "fp").alias("root"))
+    rows = rooted.groupBy("root", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("m"))
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "m")).alias("x"))
+    kept = kept.select(F.col("x.k1").alias(k1), F.col("x.k2").alias(k2), F.col("x.m").alias(m))
+    out = keyed.join(kept, [k1, k2])
+    return out.where(F.col(m) == 1).unionByName(out.where(F.col(m) > 1).dropDuplicates([k1, k2])).select(*docs.columns)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
