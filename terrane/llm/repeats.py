@@ -204,12 +204,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widt
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), F.col("doc_id").isNull(), "doc_id", text).alias("k2"))
     found = texts.where(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(_anchor_rows(length, gram), _ANCHORS)
-    many = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(*by)
+    # Written, counts meet the rows in a join of two plain exchanges, which adaptive execution can split where a key is hot.
+    many = lambda df, *by: written(df.groupBy(*by).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(*by))
     twice = written(found.join(many(found, "gram"), "gram"))
 
     def ordered(df: DataFrame, by: list[str], digit: str, *place: str) -> tuple[DataFrame, DataFrame]:
         """The rows that share a digit, and one row for each digit of the groups that hold both unshared and other rows."""
-        digits = df.groupBy(*by, digit).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "first", "last", *place)).alias("one"))
+        digits = written(df.groupBy(*by, digit).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "first", "last", *place)).alias("one")))
         mixed = digits.groupBy(*by).agg(F.sum("copies").alias("n"), F.min("copies").alias("least")).where("n > 1 and least = 1").select(*by)
         return df.join(digits.where("copies > 1").select(*by, digit), [*by, digit]), digits.join(mixed, by).select("gram", "one.*")
 
@@ -222,7 +223,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widt
     copied, parts = ordered(twice, ["gram"], "c1", "place")
     blocks = written(of_windows(per_document(parts, "gram", "first", "last", "place"), _blocks(length, width), "gram long, core long, full long, first long, last long"))
     shared, rest = ordered(blocks, ["gram", "core"], "full")
-    windows = of_windows(per_document(rest, "gram", "first", "last"), _single(length), "gram long, w long, first long")
+    windows = written(of_windows(per_document(rest, "gram", "first", "last"), _single(length), "gram long, w long, first long"))
     again = written(windows.join(many(windows, "gram", "w"), ["gram", "w"]).select("k1", "k2", "first"))
 
     end = (F.col("last") + length).alias("last")
