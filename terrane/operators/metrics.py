@@ -71,12 +71,12 @@ def gradient_recovery(edges: DataFrame, truth: DataFrame, estimate: DataFrame, c
     both = t.select("i", "j", *(gap(c).alias(f"t_{c}") for c in columns)).join(e.select("i", "j", *(gap(c).alias(f"e_{c}") for c in columns)), ["i", "j"])
     flat = both.select(F.inline(F.array(*(F.struct(F.lit(c).alias("term"), F.col(f"t_{c}").alias("t"), F.col(f"e_{c}").alias("e")) for c in columns))))
     d = F.col("e") - F.col("t")
-    out = flat.groupBy("term").agg(F.stddev_pop("t").alias("true_sd"), F.stddev_pop("e").alias("estimated_sd"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.corr("t", "e").alias("r"))
-    return out.withColumn("corr", F.when((F.col("true_sd") > 1e-12) & (F.col("estimated_sd") > 1e-12), F.col("r"))).drop("r")
+    out = flat.groupBy("term").agg(F.stddev_pop("t").alias("true_sd"), F.stddev_pop("e").alias("estimated_sd"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.covar_pop("t", "e").alias("c"))
+    return out.withColumn("corr", F.when((F.col("true_sd") > 1e-12) & (F.col("estimated_sd") > 1e-12), F.try_divide("c", F.col("true_sd") * F.col("estimated_sd")))).drop("c")
 
 
 def guarded_corr(a: str, b: str, tiny: float = 1e-15) -> Column:
-    return F.when((F.stddev_pop(a) > tiny) & (F.stddev_pop(b) > tiny), F.corr(a, b))
+    return F.when((F.stddev_pop(a) > tiny) & (F.stddev_pop(b) > tiny), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def model_differences(long: DataFrame) -> DataFrame:

@@ -349,7 +349,7 @@ def best_match(counts: DataFrame) -> DataFrame:
         chosen = max(best.values(), key=lambda v: v[0])[1]
         return pd.DataFrame({"pred": pred, "true": list(chosen)})
 
-    return counts.groupBy(F.lit(1)).applyInPandas(run, "pred long, true long")
+    return counts.withColumn("all_rows", F.lit(True)).groupBy("all_rows").applyInPandas(run, "pred long, true long")
 
 
 # -- partitions as tables ------------------------------------------------------------------------
