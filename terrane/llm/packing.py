@@ -9,6 +9,8 @@ packed by a task of its own that holds lengths, never ids.
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable
 
@@ -22,35 +24,53 @@ from .common import table, utf8
 LENGTH, SEPARATOR, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Pieces that one task packs, about.
 GROUP = 1 << 17
-_KEPT_WORDS, _LONG_WORD = 400_000, 64
+_KEPT_WORDS, _LONG_WORD, _FINAL = 600_000, 64, (b".", b",", b";", b":", b"!", b"?")
 
 
-class WordTokens:
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class WordTokens(dict):
     """ids of a text as bytes (little-endian, unsigned 32 bit), word by word.
 
-    The vocabulary drops white space and no token spans it, so a text's ids are
-    those of its words, and frequent words are looked up.
+    For vocabularies like word_bpe_49k: lower case, byte level, white space
+    dropped, and no token spans it. A text's ids are then those of its words;
+    words are looked up once seen, up to a number of them (the frequent ones come
+    early). A word of letters alone goes straight to the merges, and a final full
+    stop or the like after a letter or digit is a token of its own.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode, self.known = Tokenizer.from_file(path).encode, {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge, self.letters = tokenizer.encode, tokenizer.model.tokenize, _byte_letters()
 
-    def word(self, word: bytes) -> bytes:
-        return np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def __missing__(self, word: bytes) -> bytes:
+        if word[-1:] in _FINAL and word[-2:-1].isalnum():
+            out = self[word[:-1]] + self[word[-1:]]
+        else:
+            ids = self._ids(word)
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < _KEPT_WORDS and len(word) <= _LONG_WORD:
+            self[word] = out
+        return out
+
+    def _ids(self, word: bytes) -> list[int]:
+        if word.isalpha():  # ASCII
+            return [t.id for t in self.merge(word.lower().decode())]
+        text = word.decode()
+        if text.isalpha() and unicodedata.is_normalized("NFC", text):
+            lower = "".join([c.lower() for c in text])
+            return [t.id for t in self.merge(lower.encode().decode("latin-1").translate(self.letters))]
+        return self.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: bytes) -> bytes:
-        known, words = self.known, text.split()
-        fresh = set(words).difference(known)
-        if not fresh:
-            return b"".join([known[w] for w in words])
-        if len(known) + len(fresh) > _KEPT_WORDS:
-            known.clear()
-            fresh = set(words)
-        now = {w: self.word(w) for w in fresh}
-        known.update((w, ids) for w, ids in now.items() if len(w) <= _LONG_WORD)
-        return b"".join([now[w] if w in now else known[w] for w in words])
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
