@@ -11,8 +11,9 @@ reach, never its pairs, and a member that is reached is not compared again.
 
 Up to three differing bits are found without a miss: six blocks of bits, and a
 table for each three of them (three differing bits leave three blocks equal).
-For a similarity of shingle sets, fingerprints are wider and tables take bits
-at fixed random places; see near_classes().
+For a similarity of shingle sets, fingerprints are wider, tables take bits at
+fixed random places, and pairs near the limit are verified on their shingles;
+see near_classes().
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table, utf8, within, written
 from .components import components
 
-REFERENCES, WIDTH, TABLES, KEY_BITS = 12, 8, 40, 20
+REFERENCES, WIDTH, TABLES, KEY_BITS = 12, 8, 64, 20
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -124,8 +125,32 @@ def reach(bits: np.ndarray, most: int) -> np.ndarray:
     return root
 
 
-def _bucket_links(lanes: int, most: int):
-    """Of (t, key, fp) sorted by t and key: links (a, b) between classes of a bucket."""
+def unsure(bits: np.ndarray, root: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links of at most so many differing bits between components, shortest first: each component but the
+    largest takes its closest row outside, those that meet are one, and so on; fewer links than components."""
+    distances, out, root = pivot_table(bits), [], root.copy()
+    while True:
+        names, counts = np.unique(root, return_counts=True)
+        closest: dict[int, tuple[int, int, int]] = {}
+        for x in np.flatnonzero(root != names[counts.argmax()]).tolist():
+            near = np.flatnonzero(root != root[x])
+            for row in distances:
+                near = near[np.abs(row[near] - row[x]) <= most]
+            d = np.bitwise_count(bits[near] ^ bits[x]).sum(1)
+            if len(d) and d.min() <= most:
+                found = (int(d.min()), x, int(near[d.argmin()]))
+                closest[int(root[x])] = min(found, closest.get(int(root[x]), found))
+        if not closest:
+            return out
+        for _, x, y in sorted(closest.values()):
+            if root[x] != root[y]:
+                out.append((x, y))
+                root[root == root[x]] = root[y]
+
+
+def _bucket_links(lanes: int, most: int, perhaps: int = 0):
+    """Of (t, key, fp) sorted by t and key: links (a, b) between classes of a bucket. sure is false
+    for those of over `most` and up to `perhaps` differing bits, which are to be verified on the texts."""
 
     def lanes_of(column) -> np.ndarray:
         if lanes == 1:
@@ -133,20 +158,22 @@ def _bucket_links(lanes: int, most: int):
         return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, lanes)
 
     def links(bits: np.ndarray, groups: list[tuple[int, int]]):
-        a, b = [], []
+        a, b, sure = [], [], []
         for i, j in groups:
             root = reach(bits[i:j], most)
             moved = np.flatnonzero(root != np.arange(j - i))
-            a.append(bits[i + moved])
-            b.append(bits[i + root[moved]])
+            pairs = np.array(unsure(bits[i:j], root, perhaps) if perhaps else [], int).reshape(-1, 2)
+            a += [bits[i + moved], bits[i + pairs[:, 0]]]
+            b += [bits[i + root[moved]], bits[i + pairs[:, 1]]]
+            sure += [np.ones(len(moved), bool), np.zeros(len(pairs), bool)]
         if not a:
             return
-        a, b = np.concatenate(a), np.concatenate(b)
+        a, b, sure = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
         if lanes == 1:
             ends = [pa.array(x[:, 0].view(np.int64)) for x in (a, b)]
         else:
             ends = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (a, b)]
-        yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+        yield pa.RecordBatch.from_arrays([*ends, pa.array(sure)], ["a", "b", "sure"])
 
     def run(batches):
         rest, at = np.zeros((0, lanes), np.uint64), None
@@ -194,30 +221,73 @@ def _sampled_keys(lanes: int, tables: int, bits: int):
     return run
 
 
-def _classes(dealt: DataFrame, lanes: int, most: int) -> DataFrame:
+def _links(dealt: DataFrame, lanes: int, most: int, perhaps: int = 0) -> DataFrame:
     kind = dealt.schema["fp"].dataType.simpleString()
-    links = dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_bucket_links(lanes, most), f"a {kind}, b {kind}")
-    return components(links)
+    return dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_bucket_links(lanes, most, perhaps), f"a {kind}, b {kind}, sure boolean")
 
 
 def linked_classes(fps: DataFrame, most: int = 3) -> DataFrame:
     """(node, root) of the 64 bit fingerprints in fps (fp) that differ in at most three bits from others, through any chain."""
     if most > 3:
         raise ValueError("the tables of three blocks of six find up to three differing bits")
-    return _classes(fps.select("fp").distinct().select(F.inline(block_keys()), "fp"), 1, most)
+    return components(_links(fps.select("fp").distinct().select(F.inline(block_keys()), "fp"), 1, most).select("a", "b"))
 
 
-def near_classes(fps: DataFrame, similarity: float = 0.8, lanes: int = WIDTH) -> DataFrame:
-    """(node, root) of wide fingerprints (binary) whose bits tell a Jaccard similarity of at least so much, through any chain.
+def bits_apart(similarity: float, lanes: int) -> int:
+    """Differing bits to expect of sets of equal size with such a Jaccard similarity s: their cosine is 2 s / (1 + s), and a bit differs with the angle's share of a half turn."""
+    return round(64 * lanes * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
 
-    Sets of equal size with Jaccard similarity s have the cosine 2 s / (1 + s),
-    and a bit differs with the angle's share of a half turn. 40 tables of 20
-    bits let pairs meet with a probability of 0.79 at s = 0.8, 0.93 at 0.85
-    and 0.99 at 0.9.
+
+def _shingle_sets(words: int):
+    def run(batches):
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            raw = data.tobytes()
+            sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(raw[a:b], words)], np.uint64)).view(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "set"])
+
+    return run
+
+
+def _similar(least: float):
+    """Of (a, b, x, y): the pairs whose sorted sets x and y have a Jaccard similarity of at least so much."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - both
+                keep.append(both >= least * union)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_classes(found: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = WIDTH) -> DataFrame:
+    """(node, root) of wide fingerprints whose texts have a Jaccard similarity of at least so much, through any chain.
+
+    found: k1, k2, fp; texts: k1, k2, text. Fingerprints that are much closer than
+    the similarity asks are linked as they are; those about as close, or a
+    little less, are linked if the shingle sets of their texts say so. TABLES
+    tables of KEY_BITS bits let a pair meet with a probability of 0.93 at 0.8,
+    0.99 at 0.85 and over 0.999 at 0.9.
     """
-    most = round(64 * lanes * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    keyed = fps.select("fp").distinct().mapInArrow(_sampled_keys(lanes, TABLES, KEY_BITS), "t int, key long, fp binary")
-    return _classes(keyed, lanes, most)
+    keyed = found.select("fp").distinct().mapInArrow(_sampled_keys(lanes, TABLES, KEY_BITS), "t int, key long, fp binary")
+    links = written(_links(keyed, lanes, bits_apart((3 + similarity) / 4, lanes), bits_apart(similarity - 0.12, lanes)))
+    sure = components(links.where("sure").select("a", "b"))
+    root = lambda c: sure.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    pairs = links.where("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    pairs = written(pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
+    one = written(found.join(ends, "fp").groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("x")).select("fp", "x.*"))
+    sets = texts.join(one, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("fp", "text").mapInArrow(_shingle_sets(words), "fp binary, set array<long>")
+    sets = written(sets)
+    side = lambda c, v: sets.select(F.col("fp").alias(c), F.col("set").alias(v))
+    true = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a binary, b binary")
+    return components(links.where("sure").select("a", "b").unionByName(true))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
@@ -247,7 +317,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumn(k1, F.xxhash64(text)).withColumn(k2, F.xxhash64(F.lit(7), F.col("doc_id").isNull(), "doc_id", text))
     found = written(fingerprints(keyed.select("doc_id", F.col(k1).alias("k1"), F.col(k2).alias("k2"), text.alias("text")), words, WIDTH))
-    roots = near_classes(found, similarity)
+    texts = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), text.alias("text"))
+    roots = near_classes(found, texts, words, similarity)
     rooted = found.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "k1", "k2", F.coalesce("root", "fp").alias("root"))
     rows = rooted.groupBy("root", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("m"))
     kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "m")).alias("x"))
