@@ -64,8 +64,8 @@ class WordTokens(dict):
         if word.isalpha():  # ASCII
             return [t.id for t in self.merge(word.lower().decode())]
         text = word.decode()
-        if text.isalpha() and unicodedata.is_normalized("NFC", text):
-            lower = "".join([c.lower() for c in text])
+        lower = "".join([c.lower() for c in text])
+        if text.isalpha() and lower.isalpha() and unicodedata.is_normalized("NFC", text):
             return [t.id for t in self.merge(lower.encode().decode("latin-1").translate(self.letters))]
         return self.encode(text, add_special_tokens=False).ids
 
