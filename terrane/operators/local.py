@@ -33,10 +33,10 @@ def n_terms(obs: DataFrame) -> int:
     return sum(c[0] == "x" and c[1:].isdigit() for c in obs.columns)
 
 
-def pairs(obs: DataFrame, within: str | None = None, radius: float | None = None) -> DataFrame:
+def pairs(obs: DataFrame, within: str | None = None, radius: float | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """(i, j, d2, focal columns f_*, columns of j) for each row and each that may weigh on it, itself included."""
     p = n_terms(obs)
-    own = ["px", "py", "yy", *(f"x{a}" for a in range(p)), *([within] if within else [])]
+    own = ["px", "py", "yy", *(f"x{a}" for a in range(p)), *([within] if within else []), *carry]
     focal = obs.select(F.col("id").alias("i"), *(F.col(c).alias(f"f_{c}") for c in own))
     other = obs.select(F.col("id").alias("j"), *own)
     if radius is not None:
@@ -44,7 +44,7 @@ def pairs(obs: DataFrame, within: str | None = None, radius: float | None = None
         steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
         focal = focal.withColumn("s", F.explode(steps)).withColumn("cx", cell("f_px") + F.col("s.a")).withColumn("cy", cell("f_py") + F.col("s.b")).drop("s")
         other = other.withColumn("cx", cell("px")).withColumn("cy", cell("py"))
-        joined = focal.join(other, ["cx", "cy"] + ([] if not within else []))
+        joined = focal.join(other, ["cx", "cy"])
         joined = joined.where(F.col(f"f_{within}").eqNullSafe(F.col(within))) if within else joined
     elif within:
         joined = focal.join(other, F.col(f"f_{within}") == F.col(within))

@@ -11,6 +11,7 @@ from ..config import VARIANTS
 from ..functions.columns import dense_labels, labels_by_centroid, scaled
 from ..operators import graph, local, metrics, partition
 from ..operators.search import best, curve
+from ..operators.sensitivity import searched_regimes
 from .graphs import CUT
 from .register import Register
 from .tables import EDGES, PAIRS, PTS, edges, fit_sql, observed, points, reach_sql
@@ -45,6 +46,13 @@ def regime_gwr_shared_k(spark, d):
     return local.shared_fit(observed(spark, d), 150)
 
 
+@query()
+def shared_k_search(spark, d):
+    """AICc of each shared number of neighbours, and whether every row could be told."""
+    scores = curve(observed(spark, d), 8, 200, mask="regime")
+    return scores.select("k", F.when(F.col("aicc") < float("inf"), F.col("aicc")).alias("aicc"), F.when(F.col("aicc") < float("inf"), "fit").otherwise("unidentified").alias("status"))
+
+
 @query()
 def regime_gwr_independent(spark, d):
     """The best number of neighbours of each regime by its own search, and its fit's figures."""
@@ -164,12 +172,9 @@ def lambda_sensitivity(spark, d):
 
 @query()
 def k_sensitivity(spark, d):
-    """Figures of a fit within each Ward partition."""
+    """Figures of a fit within each Ward partition, each regime with its own search."""
     labels = graph._kept(partition.ward_labels(_slopes(spark, d), edges(spark, d), ["b1", "b2"], range(2, 7)))
-    obs = observed(spark, d, keep=()).join(labels.select("id", "k", "regime"), "id")
-    both = obs.withColumn("regime", F.concat_ws("/", "k", "regime"))
-    keyed = both.withColumn("id", F.concat_ws("/", "k", "id"))
-    return local.diagnostics(local.regime_fit(keyed), keyed, ["k"])
+    return searched_regimes(observed(spark, d, keep=()), labels)[0]
 
 
 # -- recovery ------------------------------------------------------------------------------------

@@ -134,3 +134,28 @@ def test_small_regimes_merge_and_tree_cuts():
     assert partition.cut_tree(5, tree, 3).tolist() == [0, 0, 1, 1, 2]
     assert partition.merge_small(np.array([0, 0, 1, 1, 2]), x, line, 2).tolist() == [0, 0, 1, 1, 1]
     assert partition.feasible_regimes(10, 5, 4) == 2 and partition.feasible_regimes(3, 5, 4) == 1
+
+
+def test_every_partition_with_its_own_searches(spark, obs):
+    from terrane.operators.sensitivity import searched_regimes
+
+    labels = pd.read_csv(HERE / "georgia_initial_labels.csv")
+    ids = pd.read_csv(HERE / "georgia_counties.csv")["AreaKey"]
+    wide = labels.set_index("AreaKey").loc[ids].reset_index(drop=True)
+    long = pd.concat([pd.DataFrame({"k": k, "id": range(len(wide)), "regime": wide[f"K{k}"]}) for k in range(2, 16)])
+    got = {r.k: r for r in searched_regimes(obs.drop("regime"), spark.createDataFrame(long))[0].collect()}
+    want = {2: (0.57225, 306.609), 3: (0.55129, 310.492), 4: (0.54037, 320.947), 5: (0.53018, 336.031), 6: (0.52064, 354.011)}
+    for k, (rmse, score) in want.items():
+        assert got[k].status == "fit" and got[k].rmse == pytest.approx(rmse, abs=1e-5) and got[k].aicc == pytest.approx(score, abs=1e-3)
+    assert {got[k].status for k in (7, 8, 9)} == {"infeasible_bandwidth_search"}
+    assert {got[k].status for k in range(10, 16)} == {"infeasible_small_regime"}
+
+
+def test_shared_bandwidth_search(obs):
+    scores = curve(obs, 8, 159, mask="regime").cache()
+    row = best(scores).first()
+    assert row.k == 159 and row.aicc == pytest.approx(329.6517, abs=1e-4)
+    one = local.diagnostics(local.shared_fit(obs, 140), obs).first()
+    at = scores.where("k = 140").first()
+    assert (at.rss, at.trace) == (pytest.approx(one.rss, rel=1e-9), pytest.approx(one.trace, rel=1e-9))
+    assert scores.where("k = 8").first().aicc == float("inf")
