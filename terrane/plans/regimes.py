@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import VARIANTS
 from ..functions.columns import dense_labels, labels_by_centroid, scaled
 from ..operators import graph, local, metrics, partition
+from ..operators.multiscale import multiscale_fit
 from ..operators.search import best, curve
 from ..operators.sensitivity import searched_regimes
 from .graphs import CUT
@@ -177,6 +178,13 @@ def k_sensitivity(spark, d):
     return searched_regimes(observed(spark, d, keep=()), labels)[0]
 
 
+@query()
+def multiscale_gwr(spark, d):
+    """A bandwidth for each term, by back-fitting."""
+    obs = local.observations(points(spark, d), "yy", ["x1"]).withColumn("instance", F.lit("lattice"))
+    return multiscale_fit(obs, ["x0", "x1"]).withColumn("bandwidths", F.array_join("bandwidths", ";"))
+
+
 # -- recovery ------------------------------------------------------------------------------------
 
 F60 = fit_sql("f", reach_sql("60"))

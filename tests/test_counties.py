@@ -159,3 +159,11 @@ def test_shared_bandwidth_search(obs):
     at = scores.where("k = 140").first()
     assert (at.rss, at.trace) == (pytest.approx(one.rss, rel=1e-9), pytest.approx(one.trace, rel=1e-9))
     assert scores.where("k = 8").first().aicc == float("inf")
+
+
+def test_multiscale_back_fitting(obs):
+    from terrane.operators.multiscale import multiscale_fit
+
+    fit = multiscale_fit(obs.withColumn("instance", F.lit("g")), ["x0", "x1", "x2", "x3"]).toPandas()
+    assert list(fit.bandwidths[0]) == [92, 101, 136, 158]
+    assert (fit.resid**2).sum() == pytest.approx(50.8994, abs=1e-4) and fit.trace[0] == pytest.approx(11.3683, abs=1e-4)

@@ -18,7 +18,7 @@ from terrane.streaming import windowed_means
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Plans of many small jobs, run by the bench and the driver.
-SLOW = {"mst_edges", "knn_mst_graph", "bandwidth_fixed_golden", "ward_diagnostics", "ward_merge_cost"}
+SLOW = {"multiscale_gwr", "mst_edges", "knn_mst_graph", "bandwidth_fixed_golden", "ward_diagnostics", "ward_merge_cost"}
 
 
 def values(df):
