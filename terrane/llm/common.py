@@ -27,14 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computed now, kept in the shared folder, lineage cut there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
-    """As cut(), but as a Parquet table: smaller, and columns can be pruned.
+    """Computed now, kept as a Parquet table in the shared folder, lineage cut there.
 
     The shuffle files that made it go when it is written: a held DataFrame
     would keep them, and they aren't needed again.
