@@ -101,9 +101,15 @@ def pivot_table(bits: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(bits ^ r).sum(1, dtype=np.int16) for r in references])
 
 
-def reach(bits: np.ndarray, most: int) -> np.ndarray:
-    """For each row the first row of its component, where rows of at most so many differing bits are linked."""
-    distances, root = pivot_table(bits), np.arange(len(bits))
+def _may_link(distances: np.ndarray, most: int) -> bool:
+    """Whether any two of a few rows of a pivot table agree everywhere to so many bits."""
+    apart = np.abs(distances[:, :, None] - distances[:, None, :]).max(0)
+    return int((apart <= most).sum()) > apart.shape[0]
+
+
+def reach(bits: np.ndarray, distances: np.ndarray, most: int) -> np.ndarray:
+    """For each row the first row of its component, where rows of at most so many differing bits are linked. distances: the rows' pivot table."""
+    root = np.arange(len(bits))
     pool = np.arange(1, len(bits))
     queue, top = [0], 0
     while len(pool):
@@ -125,10 +131,10 @@ def reach(bits: np.ndarray, most: int) -> np.ndarray:
     return root
 
 
-def unsure(bits: np.ndarray, root: np.ndarray, most: int) -> list[tuple[int, int]]:
+def unsure(bits: np.ndarray, distances: np.ndarray, root: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Links of at most so many differing bits between components, shortest first: each component but the
     largest takes its closest row outside, those that meet are one, and so on; fewer links than components."""
-    distances, out, root = pivot_table(bits), [], root.copy()
+    out, root = [], root.copy()
     while True:
         names, counts = np.unique(root, return_counts=True)
         closest: dict[int, tuple[int, int, int]] = {}
@@ -158,17 +164,24 @@ def _bucket_links(lanes: int, most: int, perhaps: int = 0):
         return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, lanes)
 
     def links(bits: np.ndarray, groups: list[tuple[int, int]]):
-        a, b, sure = [], [], []
+        table, limit = pivot_table(bits), max(most, perhaps)
+        two = np.array([i for i, j in groups if j - i == 2], int)
+        two = two[(np.abs(table[:, two] - table[:, two + 1]) <= limit).all(0)]
+        d = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1)
+        two, d = two[d <= limit], d[d <= limit]
+        a, b, sure = [bits[two]], [bits[two + 1]], [d <= most]
         for i, j in groups:
-            root = reach(bits[i:j], most)
+            if j - i == 2 or j - i <= 64 and not _may_link(table[:, i:j], limit):
+                continue
+            root = reach(bits[i:j], table[:, i:j], most)
             moved = np.flatnonzero(root != np.arange(j - i))
-            pairs = np.array(unsure(bits[i:j], root, perhaps) if perhaps else [], int).reshape(-1, 2)
+            pairs = np.array(unsure(bits[i:j], table[:, i:j], root, perhaps) if perhaps else [], int).reshape(-1, 2)
             a += [bits[i + moved], bits[i + pairs[:, 0]]]
             b += [bits[i + root[moved]], bits[i + pairs[:, 1]]]
             sure += [np.ones(len(moved), bool), np.zeros(len(pairs), bool)]
-        if not a:
-            return
         a, b, sure = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
+        if not len(a):
+            return
         if lanes == 1:
             ends = [pa.array(x[:, 0].view(np.int64)) for x in (a, b)]
         else:
