@@ -95,10 +95,10 @@ def many_to_one_double_join(spark, d):
     return read(spark, d, "supplier").join(named, "s_nationkey").join(means, "s_nationkey").select("s_suppkey", "n_name", (F.col("s_acctbal") - F.col("mean")).alias("above"))
 
 
-@query("SELECT 'customer' AS model, c_nationkey::BIGINT AS nation, count(*) AS n, " + R("avg(c_acctbal)") + " AS balance, NULL::BIGINT AS parts FROM customer GROUP BY c_nationkey UNION ALL SELECT 'supplier', s_nationkey, count(*), NULL, count(DISTINCT s_suppkey) FROM supplier GROUP BY s_nationkey")
+@query("SELECT 'customer' AS model, c_nationkey::BIGINT AS nation, count(*) AS n, " + R("avg(c_acctbal)") + " AS balance, NULL::DOUBLE AS parts FROM customer GROUP BY c_nationkey UNION ALL SELECT 'supplier', s_nationkey, count(*), NULL, count(DISTINCT s_suppkey)::DOUBLE FROM supplier GROUP BY s_nationkey")
 def outer_union_models(spark, d):
     a = read(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("balance")).withColumn("model", F.lit("customer"))
-    b = read(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s_suppkey").alias("parts")).withColumn("model", F.lit("supplier"))
+    b = read(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s_suppkey").cast("double").alias("parts")).withColumn("model", F.lit("supplier"))
     return metrics.outer_union(a, b)
 
 
