@@ -7,7 +7,8 @@ each class has a row of Hamming distances to many reference fingerprints; by
 the triangle inequality two classes whose rows differ anywhere by more than
 the limit are too far apart, and only what is left is verified on the bits. A
 bucket emits a link to one of its members for each other member that it can
-reach, never its pairs, and a member that is reached is not compared again.
+reach, not its pairs, and a member that is reached is not compared again. Links
+that are still to be verified aren't thinned: what isn't one class yet is asked.
 
 Up to three differing bits are found without a miss: six blocks of bits, and a
 table for each three of them (three differing bits leave three blocks equal).
@@ -31,6 +32,9 @@ from .common import table, utf8, within, written
 from .components import components
 
 REFERENCES, WIDTH, TABLES, KEY_BITS = 12, 8, 64, 20
+#: Rows that a row of a bucket is verified against in the first turn.
+ASKED = 1
+_LINK = ["a", "b", "sure", "t", "key"]
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -131,81 +135,107 @@ def reach(bits: np.ndarray, distances: np.ndarray, most: int) -> np.ndarray:
     return root
 
 
-def unsure(bits: np.ndarray, distances: np.ndarray, root: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links of at most so many differing bits between components, shortest first: each component but the
-    largest takes its closest row outside, those that meet are one, and so on; fewer links than components."""
-    out, root = [], root.copy()
-    while True:
-        names, counts = np.unique(root, return_counts=True)
-        closest: dict[int, tuple[int, int, int]] = {}
-        for x in np.flatnonzero(root != names[counts.argmax()]).tolist():
-            near = np.flatnonzero(root != root[x])
-            for row in distances:
-                near = near[np.abs(row[near] - row[x]) <= most]
-            d = np.bitwise_count(bits[near] ^ bits[x]).sum(1)
-            if len(d) and d.min() <= most:
-                found = (int(d.min()), x, int(near[d.argmin()]))
-                closest[int(root[x])] = min(found, closest.get(int(root[x]), found))
-        if not closest:
-            return out
-        for _, x, y in sorted(closest.values()):
-            if root[x] != root[y]:
-                out.append((x, y))
-                root[root == root[x]] = root[y]
-
-
-def _bucket_links(lanes: int, most: int, perhaps: int = 0):
-    """Of (t, key, fp) sorted by t and key: links (a, b) between classes of a bucket. sure is false
-    for those of over `most` and up to `perhaps` differing bits, which are to be verified on the texts."""
+def unsure(bits: np.ndarray, distances: np.ndarray, root: np.ndarray, most: int, turn: int = 0, known: np.ndarray | None = None):
+    """(x, rows, more) for each row x outside the largest component: what it is to be verified against in this turn.
+
+    The rows outside its component within so many differing bits, closest
+    first, are taken ASKED at a time, four times as many each turn. Those known
+    to be x's class by now are left out. more: whether any is left for later turns.
+    """
+    known = root if known is None else known
+    first, last = (ASKED * 4 ** (turn - 1) if turn else 0), ASKED * 4**turn
+    names, counts = np.unique(root, return_counts=True)
+    for x in np.flatnonzero(root != names[counts.argmax()]).tolist():
+        near = np.flatnonzero(root != root[x])
+        for row in distances:
+            near = near[np.abs(row[near] - row[x]) <= most]
+            if len(near) <= first:
+                break
+        if len(near) <= first:
+            continue
+        d = np.bitwise_count(bits[near] ^ bits[x]).sum(1)
+        near = near[d <= most][np.argsort(d[d <= most], kind="stable")]
+        now, later = near[first:last], near[last:]
+        now, more = now[known[now] != known[x]], bool((known[later] != known[x]).any())
+        if len(now) or more:
+            yield x, now, more
+
+
+def _bucket_links(lanes: int, most: int, perhaps: int = 0, turn: int = 0):
+    """Of (t, key, fp) sorted by all three: links (a, b) between classes of a bucket. sure is false
+    for those of over `most` and up to `perhaps` differing bits, which are to be verified on the texts.
+
+    A bucket that has more of these than a turn asks for gives a row of its t and key, without a
+    link. Turns after the first take such buckets again, with one more column: known, the class so far."""
 
     def lanes_of(column) -> np.ndarray:
         if lanes == 1:
             return column.to_numpy().view(np.uint64).reshape(-1, 1)
         return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, lanes)
 
-    def links(bits: np.ndarray, groups: list[tuple[int, int]]):
+    def ends_of(x: np.ndarray) -> pa.Array:
+        return pa.array(x[:, 0].view(np.int64)) if lanes == 1 else pa.array([r.tobytes() for r in x], pa.binary())
+
+    def made(a: list, b: list, sure: list) -> pa.RecordBatch:
+        a, b, sure = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
+        none = [pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())]
+        return pa.RecordBatch.from_arrays([ends_of(a), ends_of(b), pa.array(sure), *none], _LINK)
+
+    def links(bits: np.ndarray, known: np.ndarray, keys: np.ndarray, groups: list[tuple[int, int]]):
         table, limit = pivot_table(bits), max(most, perhaps)
-        two = np.array([i for i, j in groups if j - i == 2], int)
-        two = two[(np.abs(table[:, two] - table[:, two + 1]) <= limit).all(0)]
-        d = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1)
-        two, d = two[d <= limit], d[d <= limit]
-        a, b, sure = [bits[two]], [bits[two + 1]], [d <= most]
+        a, b, sure, left = [], [], [], []
+        if not turn:
+            two = np.array([i for i, j in groups if j - i == 2], int)
+            two = two[(np.abs(table[:, two] - table[:, two + 1]) <= limit).all(0)]
+            d = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1)
+            two, d = two[d <= limit], d[d <= limit]
+            a, b, sure = [bits[two]], [bits[two + 1]], [d <= most]
+        held = 0
         for i, j in groups:
             if j - i == 2 or j - i <= 64 and not _may_link(table[:, i:j], limit):
                 continue
             root = reach(bits[i:j], table[:, i:j], most)
-            moved = np.flatnonzero(root != np.arange(j - i))
-            pairs = np.array(unsure(bits[i:j], table[:, i:j], root, perhaps) if perhaps else [], int).reshape(-1, 2)
-            a += [bits[i + moved], bits[i + pairs[:, 0]]]
-            b += [bits[i + root[moved]], bits[i + pairs[:, 1]]]
-            sure += [np.ones(len(moved), bool), np.zeros(len(pairs), bool)]
-        a, b, sure = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
-        if not len(a):
-            return
-        if lanes == 1:
-            ends = [pa.array(x[:, 0].view(np.int64)) for x in (a, b)]
-        else:
-            ends = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (a, b)]
-        yield pa.RecordBatch.from_arrays([*ends, pa.array(sure)], ["a", "b", "sure"])
+            if not turn:
+                moved = np.flatnonzero(root != np.arange(j - i))
+                a, b, sure = [*a, bits[i + moved]], [*b, bits[i + root[moved]]], [*sure, np.ones(len(moved), bool)]
+            open_ = False
+            for x, now, more in unsure(bits[i:j], table[:, i:j], root, perhaps, turn, known[i:j] if turn else None) if perhaps else ():
+                open_ |= more
+                a.append(np.broadcast_to(bits[i + x], (len(now), lanes)))
+                b.append(bits[i + now])
+                sure.append(np.zeros(len(now), bool))
+                held += len(now)
+                if held > 1 << 16:
+                    yield made(a, b, sure)
+                    a, b, sure, held = [], [], [], 0
+            if open_:
+                left.append(keys[:, i])
+        if sum(map(len, a)):
+            yield made(a, b, sure)
+        if left:
+            t, key = np.array(left).T
+            no = pa.nulls(len(left), pa.int64() if lanes == 1 else pa.binary())
+            yield pa.RecordBatch.from_arrays([no, no, pa.array(np.zeros(len(left), bool)), pa.array(t, pa.int32()), pa.array(key, pa.int64())], _LINK)
 
     def run(batches):
-        rest, at = np.zeros((0, lanes), np.uint64), None
+        rest, at = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column("t").to_numpy(), batch.column("key").to_numpy()])
             bits = lanes_of(batch.column("fp"))
+            known = batch.column("known").to_numpy(zero_copy_only=False) if turn else np.zeros(len(bits), np.int8)
             starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
             if at is not None and (keys[:, 0] == at).all():
-                bits, starts = np.concatenate([rest, bits]), np.concatenate([[0], starts[1:] + len(rest)])
-            elif len(rest) > 1:
-                yield from links(rest, [(0, len(rest))])
-            ends = starts[1:]
-            sizes = np.diff(starts)
-            yield from links(bits, [(int(starts[k]), int(ends[k])) for k in np.flatnonzero(sizes > 1)])
-            rest, at = bits[starts[-1] :], keys[:, -1]
-        if len(rest) > 1:
-            yield from links(rest, [(0, len(rest))])
+                starts = np.concatenate([[0], starts[1:] + len(rest[0])])
+                bits, known, keys = np.concatenate([rest[0], bits]), np.concatenate([rest[1], known]), np.concatenate([rest[2], keys], 1)
+            elif at is not None and len(rest[0]) > 1:
+                yield from links(*rest, [(0, len(rest[0]))])
+            sizes, ends = np.diff(starts), starts[1:]
+            yield from links(bits, known, keys, [(int(starts[k]), int(ends[k])) for k in np.flatnonzero(sizes > 1)])
+            rest, at = (bits[starts[-1] :], known[starts[-1] :], keys[:, starts[-1] :]), keys[:, -1]
+        if rest is not None and len(rest[0]) > 1:
+            yield from links(*rest, [(0, len(rest[0]))])
 
     return run
 
@@ -234,9 +264,10 @@ def _sampled_keys(lanes: int, tables: int, bits: int):
     return run
 
 
-def _links(dealt: DataFrame, lanes: int, most: int, perhaps: int = 0) -> DataFrame:
+def _links(dealt: DataFrame, lanes: int, most: int, perhaps: int = 0, turn: int = 0) -> DataFrame:
     kind = dealt.schema["fp"].dataType.simpleString()
-    return dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_bucket_links(lanes, most, perhaps), f"a {kind}, b {kind}, sure boolean")
+    order = ["t", "key", "fp"] if perhaps else ["t", "key"]  # turns count on the same order
+    return dealt.repartition("t", "key").sortWithinPartitions(*order).mapInArrow(_bucket_links(lanes, most, perhaps, turn), f"a {kind}, b {kind}, sure boolean, t int, key long")
 
 
 def linked_classes(fps: DataFrame, most: int = 3) -> DataFrame:
@@ -278,6 +309,16 @@ def _similar(least: float):
     return run
 
 
+def _verified(pairs: DataFrame, found: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) of fingerprints whose texts' shingle sets are so similar."""
+    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
+    one = written(found.join(ends, "fp").groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("x")).select("fp", "x.*"))
+    sets = texts.join(one, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("fp", "text").mapInArrow(_shingle_sets(words), "fp binary, set array<long>")
+    sets = written(sets)
+    side = lambda c, v: sets.select(F.col("fp").alias(c), F.col("set").alias(v))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a binary, b binary")
+
+
 def near_classes(found: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = WIDTH) -> DataFrame:
     """(node, root) of wide fingerprints whose texts have a Jaccard similarity of at least so much, through any chain.
 
@@ -288,19 +329,25 @@ def near_classes(found: DataFrame, texts: DataFrame, words: int = 5, similarity:
     0.99 at 0.85 and over 0.999 at 0.9.
     """
     keyed = found.select("fp").distinct().mapInArrow(_sampled_keys(lanes, TABLES, KEY_BITS), "t int, key long, fp binary")
-    links = written(_links(keyed, lanes, bits_apart((3 + similarity) / 4, lanes), bits_apart(similarity - 0.12, lanes)))
-    sure = components(links.where("sure").select("a", "b"))
-    root = lambda c: sure.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    pairs = links.where("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    pairs = written(pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
-    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
-    one = written(found.join(ends, "fp").groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("x")).select("fp", "x.*"))
-    sets = texts.join(one, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("fp", "text").mapInArrow(_shingle_sets(words), "fp binary, set array<long>")
-    sets = written(sets)
-    side = lambda c, v: sets.select(F.col("fp").alias(c), F.col("set").alias(v))
-    true = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a binary, b binary")
-    return components(links.where("sure").select("a", "b").unionByName(true))
+    limits = bits_apart((3 + similarity) / 4, lanes), bits_apart(similarity - 0.12, lanes)
+    links = written(_links(keyed, lanes, *limits))
+    roots, turn, asked = components(links.where("sure").select("a", "b")), 0, None
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    while True:
+        pairs = links.where("not sure and a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        if asked is not None:
+            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+        pairs = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        pairs = written(pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+        if not pairs.isEmpty():
+            true = _verified(pairs, found, texts, words, similarity)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(true))
+        left = links.where("t is not null").select("t", "key")
+        if left.isEmpty():
+            return roots
+        asked, turn = pairs if asked is None else asked.unionByName(pairs), turn + 1
+        again = keyed.join(left, ["t", "key"], "left_semi").join(root("fp"), "fp", "left").select("t", "key", "fp", F.coalesce("fp_root", "fp").alias("known"))
+        links = written(_links(again, lanes, *limits, turn))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
