@@ -25,7 +25,7 @@ KEY, ROUNDS = b"an example key; pass your own", 8
 
 _FORM = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|sk-)[A-Za-z0-9]{20,}|(?<![A-Za-z0-9])(?=[0-9a-f]*\d)[0-9a-f]{32,}(?![A-Za-z0-9]))"
+    r"|(?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|sk-)[A-Za-z0-9]{20,}|(?<![A-Za-z0-9])(?=[0-9a-f]*\d)[0-9a-f]{32,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[0-9A-F]*\d)[0-9A-F]{32,}(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
     r"|(?P<ymd>(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-]))"
@@ -165,6 +165,8 @@ def _email(x: str, key: bytes) -> str:
 def _secret(x: str, key: bytes) -> str:
     if re.fullmatch("[0-9a-f]+", x):
         return _mixed(x, _HEX, key, b"secret")
+    if re.fullmatch("[0-9A-F]+", x):  # the same value, in capitals
+        return _mixed(x.lower(), _HEX, key, b"secret").upper()
     head = re.match(r"AKIA|ASIA|gh[pousr]_|sk-", x)[0]
     return head + _mixed(x[len(head) :], _RADIX, key, b"secret")
 
