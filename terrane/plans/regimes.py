@@ -145,22 +145,22 @@ def _start(spark, d):
     return local.observations(points(spark, d).withColumn("regime", off), "yy", ["x1"], keep=["regime"])
 
 
-_GRID = {f"{p:g}": replace(VARIANTS["monte_carlo"], penalty=p, sweeps=3) for p in (0.0, 0.5, 2.0)}
+_GRID = {f"{p:g}": replace(VARIANTS["monte_carlo"], penalty=p) for p in (0.0, 0.5, 2.0)}
 
 
 @query()
 def refine_history(spark, d):
-    return partition.refined(_start(spark, d), edges(spark, d), replace(VARIANTS["monte_carlo"], sweeps=3))[1]
+    return partition.refined(_start(spark, d), edges(spark, d), VARIANTS["monte_carlo"])[1]
 
 
 @query()
 def refine_labels(spark, d):
-    return partition.refined(_start(spark, d), edges(spark, d), replace(VARIANTS["monte_carlo"], sweeps=3))[0]
+    return partition.refined(_start(spark, d), edges(spark, d), VARIANTS["monte_carlo"])[0]
 
 
 @query()
 def move_drivers(spark, d):
-    moves = partition.refined(_start(spark, d), edges(spark, d), replace(VARIANTS["monte_carlo"], sweeps=3))[2]
+    moves = partition.refined(_start(spark, d), edges(spark, d), VARIANTS["monte_carlo"])[2]
     return partition.decisive_moves(moves).drop("instance")
 
 
