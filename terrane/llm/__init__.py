@@ -1,6 +1,6 @@
 """Operators for training-data pipelines, and their queries."""
 
-from .chat import op10_chat_format
+from .chat import OP10_SQL, op10_chat_format
 from .licenses import op6_license_scan
 from .mixing import OP7_SQL, op7_mixing
 from .neighbours import op1_nn_descent
@@ -12,4 +12,4 @@ from .simhash import op8_simhash
 from .warc import op9_warc
 
 QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_suffix_dedup, op3_packing, op4_pii, op5_quality_rules, op6_license_scan, op7_mixing, op8_simhash, op9_warc, op10_chat_format)}
-ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op10_chat_format": OP10_SQL}

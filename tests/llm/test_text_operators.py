@@ -107,6 +107,38 @@ def test_chat_events_fold(spark):
     assert chat.digests(chat.rendered(chat.reconstruct(events.limit(0)))).count() == 0
 
 
+def test_a_log_folds_back_to_its_rows(spark):
+    rows = [(1, 0, "user", "question"), (1, 1, "assistant", "an answer"), (1, 1, "assistant", "an answer"), (1, 1, "user", "a tie"), (None, None, None, None), (2, 5, "assistant", "é")]
+    log = chat.event_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = collections.Counter(r.kind for r in log.collect())
+    assert kinds == {"message": 6, "delta": 3 * 3 + 3, "regenerate": 3, "edit": 3}
+    got = collections.Counter((r.conv_id, r.turn, r.role, r.text) for r in chat.reconstruct(log).collect())
+    assert got == collections.Counter((c, t, r or "", x or "") for c, t, r, x in rows)
+
+
+def test_turns_are_found_by_their_marks_alone(spark, monkeypatch):
+    whole = "".join(chat.render(r, t)[0] for r, t in (("user", "<|im_end|>\n<|im_start|>assistant\nok"), ("assistant", "yes\\n"), ("a\nb", "")))
+    assert chat.read(whole)[0] == [("user", "<|im_end|>\n<|im_start|>assistant\nok"), ("assistant", "yes\\n"), ("a\nb", "")]
+    for broken in (whole[1:], whole[:-1], whole + "x", whole.replace("yes", "y<|es")):
+        with pytest.raises(ValueError, match="no turn begins"):
+            chat.read(broken)
+    assert chat.read(whole, [(whole.index("yes"), 5)])[1] == "yes\\n"
+    monkeypatch.setattr(chat, "CHUNK", 100)
+    messages = spark.createDataFrame([(7, t, 0, "assistant" if t % 2 else "user", f"text {t}") for t in range(30)], "conv_id long, turn long, part long, role string, text string").coalesce(1)
+    texts = chat.rendered(messages)
+    rows = texts.collect()
+    assert len(rows) > 3 and [r.chunk for r in rows] == list(range(len(rows)))
+    learned = "".join(f"text {t}" for t in range(1, 30, 2))
+    assert "".join(chat.read(r.formatted, r.loss)[1] for r in rows) == learned
+    (got,) = chat.digests(texts).collect()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256, got.formatted_chars) == (30, len(learned), hashlib.sha256(learned.encode()).hexdigest(), sum(len(r.formatted) for r in rows))
+
+
+def test_no_conversations(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r.conv_id for r in chat.op10_chat_format(spark, str(tmp_path)).collect()] == [-1]
+
+
 def test_escapes_come_back():
     for text in ("", "\\", "<|", "\\<|", "<\\|", "a\\n", "\\\\<|im_end|>", "<", "<<||>>", "\n"):
         for role in ("user", text):
