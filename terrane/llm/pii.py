@@ -3,7 +3,10 @@
 What a detector finds is validated (Luhn, mod 97, octets, calendar), taken to a
 number within its format, permuted there under a key, and written back with the
 same punctuation. A permutation keeps equal values equal in every document and
-different values different, and pseudonyms are valid where the originals are.
+different values different, and pseudonyms are valid where the originals are:
+each format is a set of strings, permuted in itself. The key is the caller's; a
+session without one (spark.terrane.pii.key) gets a random one, so nobody can
+turn its pseudonyms back, and pseudonyms are linked within that session only.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable
 
 import numpy as np
@@ -21,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import table, utf8, within
 
-KEY, ROUNDS = b"an example key; pass your own", 8
+ROUNDS, KEY_SETTING = 8, "spark.terrane.pii.key"
+#: Country calling codes of one and of two digits; others have three.
+CALLING_1, CALLING_2 = "1 7".split(), "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 _FORM = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
@@ -101,10 +107,7 @@ def _number(x: str, key: bytes) -> str:
     if luhn(digits[:-1]) == int(digits[-1]):
         body = _mixed(digits[:-1], _DIGITS, key, b"card")
         return _refill(x, body + str(luhn(body)))
-    while True:  # a number that isn't valid stays so
-        digits = _mixed(digits, _DIGITS, key, b"number")
-        if luhn(digits[:-1]) != int(digits[-1]):
-            return _refill(x, digits)
+    return _refill(x, _within(digits, key, b"number", lambda n: luhn(n[:-1]) == int(n[-1])))  # and stays so
 
 
 def _iban_check(country: str, rest: str) -> int:
@@ -132,28 +135,59 @@ def _ip(x: str, key: bytes) -> str | None:
 _FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73049
 
 
-def _day(y: int, m: int, d: int, key: bytes) -> datetime.date | None:
+def _day(y: int, m: int, d: int, key: bytes, fits: Callable[[datetime.date], bool]) -> datetime.date | None:
+    """The pseudonym of a date of 1900 to 2099 among the dates that fit, which the date itself does; None if it is no such date."""
     try:
         n = datetime.date(y, m, d).toordinal() - _FIRST
     except ValueError:
         return None
-    return datetime.date.fromordinal(_FIRST + permute(n, _DAYS, key, b"date")) if 0 <= n < _DAYS else None
+    if not 0 <= n < _DAYS:
+        return None
+    while True:  # following a cycle to its next date that fits is one to one
+        n = permute(n, _DAYS, key, b"date")
+        if fits(day := datetime.date.fromordinal(_FIRST + n)):
+            return day
 
 
 def _ymd(x: str, key: bytes) -> str | None:
-    day = _day(*map(int, x.split("-")), key)
+    day = _day(*map(int, x.split("-")), key, lambda _: True)
     return day and day.isoformat()
 
 
 def _dmy(x: str, key: bytes) -> str | None:
+    """Day first where that is a date, else month first. Month-first dates stay those that can't be read day first, and one digit stays one digit."""
     sep = "." if "." in x else "/"
-    d, m, y = x.split(sep)
-    swap = int(m) > 12 >= int(d)  # month first
-    day = _day(int(y), int(d if swap else m), int(m if swap else d), key)
+    a, b, y = x.split(sep)
+    swap = int(b) > 12 >= int(a)  # month first
+    d, m = (b, a) if swap else (a, b)
+    day = _day(int(y), int(m), int(d), key, lambda t: (t.day > 12 or not swap) and (t.day < 10 or len(d) > 1) and (t.month < 10 or len(m) > 1))
     if day is None:
         return None
-    parts = (day.month, day.day) if swap else (day.day, day.month)
-    return sep.join([*(f"{p:02d}" if len(old) == 2 else str(p) for p, old in zip(parts, (d, m))), str(day.year)])
+    parts = {True: (day.month, day.day), False: (day.day, day.month)}[swap]
+    return sep.join([*(f"{p:0{len(old)}d}" for p, old in zip(parts, (a, b))), str(day.year)])
+
+
+def _within(digits: str, key: bytes, tweak: bytes, valid: Callable[[str], bool]) -> str:
+    """Digits permuted among those as valid, or as invalid, as they are."""
+    good = valid(digits)
+    while True:
+        digits = _mixed(digits, _DIGITS, key, tweak)
+        if valid(digits) == good:
+            return digits
+
+
+def _ssn(x: str, key: bytes) -> str:
+    return _refill(x, _within(re.sub(r"\D", "", x), key, b"ssn", lambda n: n[:3] not in ("000", "666") and n[0] != "9" and n[3:5] != "00" and n[5:] != "0000"))
+
+
+def _phone(x: str, key: bytes) -> str:
+    """The country's code stays. Numbers of ten digits in North America's plan stay valid, or invalid, there: area and exchange begin with 2 to 9."""
+    digits = re.sub(r"\D", "", x)
+    code = (digits[:1] if digits[:1] in CALLING_1 else digits[:2] if digits[:2] in CALLING_2 else digits[:3]) if x[0] == "+" else ""
+    rest = digits[len(code) :]
+    if code in ("", "1") and len(rest) == 10:
+        return _refill(x, code + _within(rest, key, b"phone1", lambda n: n[0] > "1" and n[3] > "1"))
+    return _refill(x, code + _mixed(rest, _DIGITS, key, b"phone" + code.encode()))
 
 
 def _email(x: str, key: bytes) -> str:
@@ -173,11 +207,11 @@ def _secret(x: str, key: bytes) -> str:
 
 PSEUDONYMS: dict[str, Callable[[str, bytes], str | None]] = {
     "email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "ymd": _ymd, "dmy": _dmy, "number": _number,
-    "ssn": lambda x, key: _mixed(x, _DIGITS, key, b"ssn"), "phone": lambda x, key: _mixed(x, _DIGITS, key, b"phone"),
+    "ssn": _ssn, "phone": _phone,
 }
 
 
-def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
+def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms for what is validated in it, and how many of each kind."""
     out, last, count, at = [], 0, {}, 0
     while m := _FORM.search(text, at):
@@ -192,7 +226,7 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     return ("".join(out) + text[last:] if out else text), count
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY) -> tuple[DataFrame, str]:
+def pseudonymised(docs: DataFrame, key: bytes) -> tuple[DataFrame, str]:
     """docs with pseudonyms in text, and one more column, whose name is returned: a map from kind to number found.
 
     Null and empty texts stay as they are. Rows are taken one by one, so
@@ -223,9 +257,17 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY) -> tuple[DataFrame, str]:
     return docs.mapInArrow(run, schema), name
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key of this session: the setting spark.terrane.pii.key, or one made at random for it."""
+    if not (key := spark.conf.get(KEY_SETTING, None)):
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, n_found, and kinds (kind=number, comma-joined)."""
-    out, found = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out, found = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     kinds = F.transform(F.map_entries(found), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     total = F.aggregate(F.map_values(found), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select("doc_id", "text", total.alias("n_found"), F.array_join(kinds, ",").alias("kinds"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from terrane.llm import chat, licenses, pii, warc
 from terrane.llm.common import shared_dir
 
+KEY = b"a key of these tests"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -183,7 +184,7 @@ def test_permutation_is_one_to_one_and_inverts():
 
 def test_formats_are_kept():
     text = "card 4111 1111 1111 1111, iban DE89 3704 0044 0532 0130 00, ip 10.1.2.3, not 300.1.2.3, day 2024-02-29 and 31.12.1999, no day 2023-02-30, mail jo.ann+x@mail.example.com, call +1 (017) 555-7713, ssn 078-05-1120, token = \"9b0b3c6a43eb78aa99cbd7049c572391524f37a8\", n 4929348385146301"
-    new, found = pii.pseudonymise(text)
+    new, found = pii.pseudonymise(text, KEY)
     assert found == {"number": 2, "iban": 1, "ip": 1, "ymd": 1, "dmy": 1, "email": 1, "phone": 1, "ssn": 1, "secret": 1}
     assert "300.1.2.3" in new and "2023-02-30" in new
     for old in ("4111 1111", "DE89", "10.1.2.3", "2024-02-29", "31.12.1999", "jo.ann", "555-7713", "078-05", "9b0b3c", "49293483"):
@@ -192,17 +193,17 @@ def test_formats_are_kept():
     assert pii.luhn(card[:-1]) == int(card[-1])
     iban = re.search(r"iban ([A-Z0-9 ]+),", new)[1]
     assert pii._iban(iban, b"k") is not None
-    assert pii.pseudonymise("x 4111-1111-1111-1111")[0].replace("-", "")[2:] == card
+    assert pii.pseudonymise("x 4111-1111-1111-1111", KEY)[0].replace("-", "")[2:] == card
     assert re.sub(r"[A-Za-z0-9]", "", new) == re.sub(r"[A-Za-z0-9]", "", text)
 
 
 def test_pseudonyms_of_a_table(spark):
     rows = [(1, "a 10.0.0.1", 5), (2, None, 6), (None, "", 7), (1, "b 10.0.0.1 " + "w" * 300_000, 5), (3, "clean text 12", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, pseudonyms long")
-    out, name = pii.pseudonymised(docs)
+    out, name = pii.pseudonymised(docs, KEY)
     got = {r[1] if r[1] is None else r[1][:1]: r for r in out.collect()}
     assert name == "pseudonyms_" and got["a"][1].split()[1] == got["b"][1].split()[1] != "10.0.0.1"
     assert got[None][0] == 2 and got[""][0] is None and got["c"][1] == "clean text 12" and not got["c"][3]
     assert got["b"][2] == 5 and got["b"][3] == {"ip": 1} and len(got["b"][1]) > 300_000
-    assert pii.pseudonymised(docs.limit(0))[0].count() == 0
+    assert pii.pseudonymised(docs.limit(0), KEY)[0].count() == 0
     assert out.where(F.col("doc_id") == 1).count() == 2
