@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised step handles at once.
 SLICE = 1 << 19
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where it is unset (local runs and tests)."""
-    context = spark.sparkContext
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in
+    a local session without one, a temporary one. On a cluster it must be set."""
+    context, path = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not path and context.getCheckpointDir() is None and not re.match(r"local(\[[^,]*\])?$", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="shared-"))
+    return path or context.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -40,7 +45,18 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Removes tables made by written() that nothing will read again; others, and none, are left alone."""
+    for df in tables:
+        if df is not None and (path := _PATHS.pop(df, None)):
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

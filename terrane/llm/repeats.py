@@ -199,7 +199,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widt
 
     A null text is empty; a text shorter than length loses nothing. Rows with
     equal doc_id, null ids and repeated rows are documents of their own, and
-    repeated rows are copies of each other. Other columns are not read.
+    repeated rows are copies of each other: they share one list of spans, so work
+    grows with their number. Other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), F.col("doc_id").isNull(), "doc_id", text).alias("k2"))
@@ -215,7 +216,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widt
         return df.join(digits.where("copies > 1").select(*by, digit), [*by, digit]), digits.join(mixed, by).select("gram", "one.*")
 
     def per_document(df: DataFrame, *columns: str) -> DataFrame:
-        return df.groupBy("k1", "k2").agg(F.collect_list(F.struct(*columns)).alias("spans"))
+        # a set: rows that are equal in id and text share their keys, and each has the same spans
+        return df.groupBy("k1", "k2").agg(F.collect_set(F.struct(*columns)).alias("spans"))
 
     def of_windows(spans: DataFrame, split, schema: str) -> DataFrame:
         return texts.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(_rows_of_windows(split), "k1 long, k2 long, " + schema)
@@ -235,3 +237,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widt
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).drop("removed")
+
+
+OP2_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, hash(b[i + 1 : i + 200]) AS h FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d)),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i, coalesce(i - lag(i) OVER o > 200, true)::INT AS new FROM w SEMI JOIN twice USING (h) WINDOW o AS (PARTITION BY r ORDER BY i)),
+run AS (SELECT r, min(i) AS s, max(i) + 200 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM hit) GROUP BY r, g),
+gap AS (
+  SELECT r, s AS till, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS since FROM run
+  UNION ALL SELECT d.r, octet_length(b), NULL, coalesce(max(e), 0) FROM d LEFT JOIN run USING (r) GROUP BY d.r, b),
+kept AS (SELECT g.r, string_agg(hex(b[since + 1 : till]), '' ORDER BY since) AS x FROM gap g JOIN d USING (r) WHERE till > since GROUP BY g.r),
+sums AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans FROM run GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(x, ''))) AS kept_sha256
+FROM d LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""

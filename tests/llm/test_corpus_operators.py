@@ -61,6 +61,26 @@ def test_repeats_match_counting_every_window(docs, rows):
     assert repeats.repeated_spans(docs.limit(0)).count() == 0
 
 
+def test_repeats_follow_sql(spark, docs):
+    table = docs.select("doc_id", "text").toPandas()
+    table["doc_id"] = table["doc_id"].astype("Int64")
+    con = duckdb.connect()
+    con.register("documents", table)
+    want = con.execute(repeats.OP2_SQL).fetchall()
+    assert sorted((tuple(r)[:5] for r in repeats.repeated_spans(docs).collect()), key=str) == sorted(want, key=str)
+
+
+def test_many_equal_rows_share_one_list(spark):
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(300))
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    df = rows.unionByName(spark.createDataFrame([(1, "x" + text[5:900] + "y" * 150), (2, "z" * 300)], "doc_id long, text string"))
+    got = repeats.repeated_spans(df)
+    found = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, len(r.removed)) for r in got.collect())
+    n = len(text)
+    assert found == {(None, n, n, 1, 1): 4000, (1, 1046, 895, 1, 1): 1, (2, 300, 300, 1, 1): 1}
+
+
 def test_long_texts_are_cut_into_segments(spark, monkeypatch):
     rng = random.Random(1)
     long = "".join(rng.choice("abcdefgh ") for _ in range(1 << 20))
@@ -118,6 +138,19 @@ def test_quality_counts(spark, docs, rows):
     assert kept[9] and not judged.where("text LIKE 'very%'").select(f"{q}.kept").first()[0]
 
 
+def test_quality_follows_sql(spark, docs):
+    more = [(1, "a b c d e a b c d e"), (8, "very *** clean $$$ " * 9), (9, "A tidy text about the sea and the land, of men and of ships that sail to it."), (10, "LOUD WORDS ONLY AND MORE OF THEM AGAIN TO BE SURE OF IT"), (11, "- a the\n" * 70), (12, "12 34 56 78 90 12 35 57 79 91 the"), (13, "one line of the text...\n" + "\n".join(f"another {k} of the lines…" for k in range(40)))]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    judged, q = quality.judge(df)
+    table = df.toPandas()
+    table["doc_id"] = table["doc_id"].astype("Int64")
+    con = duckdb.connect()
+    con.register("documents", table)
+    got = judged.select("doc_id", *(f"{q}.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))).collect()
+    want = con.execute(quality.OP5_SQL).fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and {r.kept for r in got} == {True, False}
+
+
 def test_mix_follows_sql(spark, docs):
     mixed, q = mixing.mix(docs)
     got = mixed.select("doc_id", *(f"{q}.{k}" for k in ("size", "source_size", "target", "taken"))).toPandas()
