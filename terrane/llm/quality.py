@@ -139,3 +139,36 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, st
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, q = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *(F.col(f"{q}.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
+def sql(rules: Sequence[Rule] = RULES) -> str:
+    """The same judgement in DuckDB's SQL, from the same tables of words and thresholds."""
+    space = r"[\x20\x09-\x0D]"
+    held = " AND ".join(["n_repeat_words * 5 <= n_words", "n_words >= 10", *(f"(n_words < {r.words} OR {r.count} BETWEEN {r.of} * {r.low}::DOUBLE AND {r.of} * {r.high}::DOUBLE)" for r in rules)])
+    stops = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+p AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+w AS (SELECT r, unnest(range(1, len(words) - 3)) AS i, words FROM p WHERE len(words) >= 5),
+g AS (SELECT r, i, hash(words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4]) AS h FROM w),
+t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, h) AS n FROM g) WHERE n > 1),
+c AS (SELECT r, sum(least(5, i - before)) AS n FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), i - 5) AS before FROM t) GROUP BY r),
+m AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '{space}+', '', 'g'))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(text, '!'))::BIGINT AS n_exclaims,
+    len(list_filter(words, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_capitals,
+    len(list_filter(words, lambda x: lower(x) <> upper(x))) AS n_letters,
+    len(list_filter(words, lambda x: rtrim(lower(x), '.,;:!?') IN ({stops}))) AS n_stops,
+    len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    len(list_filter(lines, lambda x: ltrim(x)[1:1] IN ('-', '*', '•'))) AS n_bullets,
+    len(list_filter(lines, lambda x: rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) AS n_ellipses,
+    coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM p LEFT JOIN c USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {held} AS kept
+FROM m
+"""
+
+
+OP5_SQL = sql()
