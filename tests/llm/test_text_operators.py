@@ -1,9 +1,11 @@
 """License scans, WARC, chat formatting and pseudonyms against plain versions."""
 
 import collections
+import difflib
 import gzip
 import hashlib
 import io
+import random
 import re
 import uuid
 
@@ -54,6 +56,56 @@ def test_license_scan(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_license_labels_against_a_plain_matcher(spark):
+    rng, t = random.Random(12), licenses.TEMPLATES
+    say = lambda n: " ".join(f"w{rng.randint(0, 999)}" for _ in range(n))
+
+    def broken(label, at, words):
+        w = t[label].split()
+        return " ".join([*w[:at], *words, *w[at:]])
+
+    cases = {label: say(30) + " " + text + " " + say(30) for label, text in t.items()}  # each template finds itself
+    cases |= {"far": broken("mit-text", 30, say(15).split()), "torn": broken("mit-text", 30, say(70).split()), "cut": " ".join(t["bsd-text"].split()[:20]), "two": t["isc-text"] + say(200) + " " + t["isc-text"], "none": say(300), "both": t["gpl-notice"] + " " + t["lgpl-notice"]}
+    df = spark.createDataFrame([(k, x) for k, x in cases.items()], "doc_id string, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+
+    def plain(text):
+        """Templates whose words are mostly found in order, by the longest common subsequence, within a stretch of about their length."""
+        words, found = WORD.findall(lower(text)), {}
+        for label, body in t.items():
+            b = WORD.findall(lower(body))
+            best = 0.0
+            for i in range(0, max(1, len(words) - len(b) // 2), 5):
+                for size in (len(b), len(b) + len(b) // 3):
+                    w = words[i : i + size + 5]
+                    blocks = difflib.SequenceMatcher(None, w, b, autojunk=False).get_matching_blocks()
+                    n = sum(m.size for m in blocks if m.size >= 5)
+                    span = [m for m in blocks if m.size >= 5]
+                    best = max(best, n / max(len(b), span[-1].a + span[-1].size - span[0].a)) if span else best
+            if best >= (1.0 if len(b) <= licenses.SHORT else licenses.SHARE):
+                found[label] = best
+        for family in {licenses.FAMILIES.get(k, k) for k in found}:
+            most = max(v for k, v in found.items() if licenses.FAMILIES.get(k, k) == family)
+            found = {k: v for k, v in found.items() if licenses.FAMILIES.get(k, k) != family or v > most - 1e-9}
+        return found
+
+    for k, x in cases.items():
+        base = set(plain_scan(x)[4].split(",")) - {""}
+        assert set(got[k].labels.split(",")) - {""} == set(plain(x)) | base, k
+        assert got[k].score == pytest.approx(1.0 if base else max(plain(x).values(), default=0.0)), k
+        assert k not in t or k in got[k].labels.split(",")
+    assert "mit-text" in got["far"].labels and got["far"].score < 1 and not got["none"].labels and not got["cut"].labels
+
+
+def test_places_of_templates_may_be_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "under the MIT License"), (2, licenses.TEMPLATES["isc-text"])], "doc_id long, text string")
+    want = sorted(map(tuple, licenses.scan(df).collect()))
+    monkeypatch.setattr(licenses, "SENT_PLACES", 0)
+    assert sorted(map(tuple, licenses.scan(df).collect())) == want and want[0][6] == "mit"
+    with pytest.raises(ValueError, match="two|2 words"):
+        licenses.scan(df, phrases={"gpl": "gpl"})
+
+
 def test_warc_round_trip(spark, monkeypatch):
     big = "é" * 600 + "<html>"
     rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (2, None, big), (3, "http://c%0A", "small"), (4, None, None), (5, "", "small"), (None, "http://n", big), (6, "http://d", "z" * 300_000)]
