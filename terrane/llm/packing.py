@@ -24,6 +24,8 @@ from .common import table, utf8
 LENGTH, SEPARATOR, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Pieces that one task packs, about.
 GROUP = 1 << 17
+#: What a vocabulary is tried on before its words are looked up one by one.
+PROBES = ("It's THE   end.\n\tOf a,b;c: \"d\" e--f (g) x..y 3.14 ~ \u00c9t\u00e9 Stra\u00dfe \u4f60\u597d \U0001f600 ok? yes!", "don't stop, un believable\u00a0words", "<|endoftext|> a_b http://x.org/y?z=1&w=2", " lead and trail ")
 _KEPT_WORDS, _LONG_WORD, _FINAL = 600_000, 64, (b".", b",", b";", b":", b"!", b"?")
 
 
@@ -41,7 +43,8 @@ class WordTokens(dict):
     dropped, and no token spans it. A text's ids are then those of its words;
     words are looked up once seen, up to a number of them (the frequent ones come
     early). A word of letters alone goes straight to the merges, and a final full
-    stop or the like after a letter or digit is a token of its own.
+    stop or the like after a letter or digit is a token of its own. A vocabulary
+    that gives PROBES other ids is refused.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,6 +52,9 @@ class WordTokens(dict):
 
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.merge, self.letters = tokenizer.encode, tokenizer.model.tokenize, _byte_letters()
+        for text in PROBES:
+            if self(text.encode()) != np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes():
+                raise ValueError(f"the words of {path} can't be looked up one by one")
 
     def __missing__(self, word: bytes) -> bytes:
         if word[-1:] in _FINAL and word[-2:-1].isalnum():
@@ -185,8 +191,11 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
 
     A null or empty text is its separator alone. Rows with equal or null ids
     are documents of their own; extra columns are not read; no rows give none.
+    A task packs about `group` pieces, at most: a row has one, and one more for
+    each `length` bytes (a token has a byte or more).
     """
-    groups = max(1, -(-docs.count() // group))
+    rows, most = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.floor(F.octet_length("text") / length)), F.lit(0))).first()
+    groups = max(1, -(-(rows + most) // group))
     return pack(pieces(docs, vocabulary, length), groups, length)
 
 

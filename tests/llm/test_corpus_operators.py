@@ -109,6 +109,20 @@ def test_pieces_and_places(spark, docs, rows):
     assert packing.packed(df.limit(0)).count() == 0
 
 
+def test_groups_follow_pieces_and_not_rows(spark):
+    df = spark.createDataFrame([(i, "word " * 20_000) for i in range(12)], "doc_id long, text string")
+    got = packing.packed(df, group=30).toPandas()
+    held = got.assign(group=got.sequence_id // (1 << 40)).groupby("group").size()
+    assert len(got) == 60 and len(held) > 3 and held.max() <= 30
+
+
+def test_other_vocabularies_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="one by one"):
+        packing.WordTokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_places_are_close_to_the_bound():
     lengths = np.random.default_rng(3).gamma(1.2, 600, 20_000).astype(int).clip(1, 4096)
     which, offset = packing.place(lengths.tolist())
