@@ -28,10 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8, within, written
+from .common import released, table, utf8, within, written
 from .components import components
 
-REFERENCES, WIDTH, TABLES, KEY_BITS = 12, 8, 64, 20
+REFERENCES, WIDTH = 12, 8
+#: Bits of a table's key at least, classes that a key of unrelated texts should have at most, and the share of pairs just
+#: similar enough that all tables together may miss.
+KEY_BITS, IN_BUCKET, MISSED = 20, 64, 0.0875
 #: Rows that a row of a bucket is verified against in the first turn.
 ASKED = 1
 _LINK = ["a", "b", "sure", "t", "key"]
@@ -218,24 +221,30 @@ def _bucket_links(lanes: int, most: int, perhaps: int = 0, turn: int = 0):
             yield pa.RecordBatch.from_arrays([no, no, pa.array(np.zeros(len(left), bool)), pa.array(t, pa.int32()), pa.array(key, pa.int64())], _LINK)
 
     def run(batches):
-        rest, at = None, None
+        held, at = [], None  # parts of the bucket that may go on
+
+        def closed():
+            if sum(len(part[0]) for part in held) > 1:
+                bits, known = (np.concatenate(x) for x in list(zip(*held))[:2])
+                yield from links(bits, known, np.concatenate([part[2] for part in held], 1), [(0, len(bits))])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column("t").to_numpy(), batch.column("key").to_numpy()])
             bits = lanes_of(batch.column("fp"))
             known = batch.column("known").to_numpy(zero_copy_only=False) if turn else np.zeros(len(bits), np.int8)
-            starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+            edges = np.concatenate([[0], 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)), [len(bits)]])
+            part = lambda i, j: (bits[i:j], known[i:j], keys[:, i:j])
             if at is not None and (keys[:, 0] == at).all():
-                starts = np.concatenate([[0], starts[1:] + len(rest[0])])
-                bits, known, keys = np.concatenate([rest[0], bits]), np.concatenate([rest[1], known]), np.concatenate([rest[2], keys], 1)
-            elif at is not None and len(rest[0]) > 1:
-                yield from links(*rest, [(0, len(rest[0]))])
-            sizes, ends = np.diff(starts), starts[1:]
-            yield from links(bits, known, keys, [(int(starts[k]), int(ends[k])) for k in np.flatnonzero(sizes > 1)])
-            rest, at = (bits[starts[-1] :], known[starts[-1] :], keys[:, starts[-1] :]), keys[:, -1]
-        if rest is not None and len(rest[0]) > 1:
-            yield from links(*rest, [(0, len(rest[0]))])
+                held.append(part(0, edges[1]))
+                edges = edges[1:]
+            if len(edges) > 1:  # the held bucket is whole, and the last one of this batch is held
+                yield from closed()
+                sizes = np.diff(edges[:-1])
+                yield from links(bits, known, keys, [(int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(sizes > 1)])
+                held, at = [part(edges[-2], edges[-1])], keys[:, -1]
+        yield from closed()
 
     return run
 
@@ -282,6 +291,19 @@ def bits_apart(similarity: float, lanes: int) -> int:
     return round(64 * lanes * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
 
 
+def key_plan(classes: int, similarity: float = 0.8) -> tuple[int, int]:
+    """Bits of a key and number of tables for so many classes.
+
+    Keys have KEY_BITS bits, and more from IN_BUCKET * 2^KEY_BITS classes on, so
+    that unrelated classes don't fill the buckets. A pair just similar enough
+    agrees in a bit with a known probability, and there are as many tables as it takes
+    for MISSED of such pairs to share no key.
+    """
+    bits = max(KEY_BITS, math.ceil(math.log2(max(1, classes) / IN_BUCKET)))
+    meet = (1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi) ** bits
+    return bits, math.ceil(math.log(MISSED) / math.log1p(-meet)) if meet < 1 else 1
+
+
 def _shingle_sets(words: int):
     def run(batches):
         for batch in batches:
@@ -324,11 +346,12 @@ def near_classes(found: DataFrame, texts: DataFrame, words: int = 5, similarity:
 
     found: k1, k2, fp; texts: k1, k2, text. Fingerprints that are much closer than
     the similarity asks are linked as they are; those about as close, or a
-    little less, are linked if the shingle sets of their texts say so. TABLES
-    tables of KEY_BITS bits let a pair meet with a probability of 0.93 at 0.8,
-    0.99 at 0.85 and over 0.999 at 0.9.
+    little less, are linked if the shingle sets of their texts say so. The tables
+    of key_plan() let a pair meet with a probability of 0.91 at 0.8, 0.98 at 0.85
+    and over 0.999 at 0.9; every candidate within the limits is linked or verified.
     """
-    keyed = found.select("fp").distinct().mapInArrow(_sampled_keys(lanes, TABLES, KEY_BITS), "t int, key long, fp binary")
+    bits, tables = key_plan(found.agg(F.approx_count_distinct("fp")).first()[0], similarity)
+    keyed = found.select("fp").distinct().mapInArrow(_sampled_keys(lanes, tables, bits), "t int, key long, fp binary")
     limits = bits_apart((3 + similarity) / 4, lanes), bits_apart(similarity - 0.12, lanes)
     links = written(_links(keyed, lanes, *limits))
     roots, turn, asked = components(links.where("sure").select("a", "b")), 0, None

@@ -32,7 +32,8 @@ def test_no_link_to_an_original_is_lost_behind_a_refuted_one(spark):
     fps = np.stack([simhash.fingerprint(t.encode(), 5, lanes) for t in texts])
     bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
     # copies that meet their original in a table, within the bits that are verified
-    places = [np.random.default_rng([17, t]).choice(64 * lanes, simhash.KEY_BITS, replace=False) for t in range(simhash.TABLES)]
+    bits_, tables = simhash.key_plan(len(texts))
+    places = [np.random.default_rng([17, t]).choice(64 * lanes, bits_, replace=False) for t in range(tables)]
     met = np.any([(bits[:, p] == bits[0, p]).all(1) for p in places], 0) & ((bits != bits[0]).sum(1) <= simhash.bits_apart(0.68, lanes))
     assert met.sum() > 130
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -57,3 +58,29 @@ def test_turns_ask_for_every_pair_of_two_components():
         got |= {(min(x, y), max(x, y)) for x, ys, _ in now for y in ys.tolist()}
         more, turn = any(left for *_, left in now), turn + 1
     assert got == want and turn > 2 and len(want) > 10_000
+
+
+def test_tables_grow_with_the_classes():
+    assert simhash.key_plan(0) == simhash.key_plan(10**6) == (20, 64)
+    before = 20
+    for n in (10**8, 10**9, 10**10):
+        bits, tables = simhash.key_plan(n)
+        share = (1 - simhash.bits_apart(0.8, 1 << 20) / (64 << 20)) ** bits
+        assert bits > before and n / 2**bits <= simhash.IN_BUCKET and (1 - share) ** tables <= simhash.MISSED + 1e-6
+        before = bits
+
+
+def test_buckets_may_span_many_batches(spark):
+    rng, rows = np.random.default_rng(1), []
+    for x in rng.integers(-(1 << 62), 1 << 62, 12).tolist():
+        rows += [(x,), *((x ^ (1 << int(b)),) for b in rng.choice(62, 40, replace=False))]
+    df = spark.createDataFrame(rows, "fp long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        roots = {r.node: r.root for r in simhash.linked_classes(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for g in range(12):
+        assert len({roots.get(x, x) for (x,) in rows[41 * g : 41 * g + 41]}) == 1
+    assert len({roots.get(x, x) for (x,) in rows}) == 12
