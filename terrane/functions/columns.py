@@ -49,6 +49,11 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b > TINY, a / b)
 
 
+def percent_better(a: Column, b: Column) -> Column:
+    """By how many per cent of b a is smaller; null where b is at most 1e-12."""
+    return 100.0 * safe_ratio(b - a, b)
+
+
 def key_text(key: Column) -> Column:
     """Numeric keys as whole numbers ("13001.0" is "13001"), others as they are."""
     return F.coalesce(key.cast("string").try_cast("double").try_cast("bigint").cast("string"), key.cast("string"))

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Computed now and cut from what made it, in the folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    path = f"{base}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..functions.columns import safe_ratio
+from ..tables import dropped, kept
+from .local import near_pairs
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -48,35 +38,61 @@ def contiguity_edges(vertices: DataFrame, key: str = "area", x: str = "vx", y: s
 
 def nearest_edges(points: DataFrame, k: int, x: str = "px", y: str = "py", key: str = "id") -> DataFrame:
     """Edges from each point to its k nearest others, ties to the smaller key, either way."""
-    a = points.select(F.col(key).alias("i"), F.col(x).alias("ax"), F.col(y).alias("ay"))
-    b = points.select(F.col(key).alias("j"), F.col(x).alias("bx"), F.col(y).alias("by"))
-    d2 = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
-    ranked = a.crossJoin(b).where("i <> j").withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(d2, "j")))
-    return canonical(ranked.where(F.col("r") <= k))
+    a = points.select(F.col(key).alias("i"), F.col(x).alias(f"f_{x}"), F.col(y).alias(f"f_{y}"))
+    b = points.select(F.col(key).alias("j"), x, y)
+    d2 = F.pow(F.col(f"f_{x}") - F.col(x), 2) + F.pow(F.col(f"f_{y}") - F.col(y), 2)
+    found = near_pairs(a, b, k + 1, points, x, y).where("i <> j")
+    return canonical(found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(d2, "j"))).where(F.col("r") <= k))
+
+
+def _ways(points: DataFrame, comp: DataFrame, radius: float) -> DataFrame:
+    """(i, j, d) of points (node, x, y) of different components that are up to radius apart, points at one place aside.
+
+    Cells are as wide as the radius. Points whose own and surrounding cells belong to one component have no way out and are left out."""
+    placed = points.join(comp, "node").select("node", "root", "x", "y", F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    around = lambda df: df.withColumn("s", F.explode(steps)).withColumn("cx", F.col("cx") + F.col("s.a")).withColumn("cy", F.col("cy") + F.col("s.b")).drop("s")
+    roots = placed.groupBy("cx", "cy").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = around(roots).groupBy("cx", "cy").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("cx", "cy")
+    rim = placed.join(mixed, ["cx", "cy"])
+    a = around(rim.select(F.col("node").alias("i"), F.col("root").alias("ri"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy"))
+    b = rim.select(F.col("node").alias("j"), F.col("root").alias("rj"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
+    d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
+    return a.join(b, ["cx", "cy"]).where("i < j and ri <> rj").select("i", "j", d.alias("d")).where((F.col("d") > 0) & (F.col("d") <= radius))
 
 
 def spanning_tree(points: DataFrame, x: str = "px", y: str = "py", key: str = "id") -> DataFrame:
-    """Edges (i, j, d) of the minimum spanning tree. Borůvka: each component takes its shortest way out, and
-    components that meet become one; a logarithm of rounds. Points at the same place aren't linked to each other directly."""
-    a = points.select(F.col(key).alias("i"), F.col(x).alias("ax"), F.col(y).alias("ay"))
-    b = points.select(F.col(key).alias("j"), F.col(x).alias("bx"), F.col(y).alias("by"))
-    d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    ways = _kept(a.crossJoin(b).where("i < j").select("i", "j", d.alias("d")).where("d > 0"))
-    comp = points.select(F.col(key).alias("node"), F.col(key).alias("root"))
-    tree = None
+    """Edges (i, j, d) of the minimum spanning tree. Points at the same place aren't linked to each other directly.
+
+    Short edges first: the tree's edges up to a radius are those of the graph of all such ways, found by Borůvka's rounds
+    (each component takes its shortest way out, and components that meet become one); then the radius grows, and only
+    points near another component ask."""
+    at = points.select(F.col(key).alias("node"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ends = at.agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    comp, tree = at.select("node", F.col("node").alias("root")), None
+    flat = max(ends.w or 0.0, ends.h or 0.0)
+    radius = 2.5 * math.sqrt(max(ends.w, flat / ends.n) * max(ends.h, flat / ends.n) / ends.n) if flat else 1.0
     while True:
-        out = ways.join(comp.select(F.col("node").alias("i"), F.col("root").alias("ri")), "i").join(comp.select(F.col("node").alias("j"), F.col("root").alias("rj")), "j").where("ri <> rj")
-        each = out.select(F.explode(F.array("ri", "rj")).alias("root"), "d", "i", "j")
-        chosen = _kept(each.groupBy("root").agg(F.min(F.struct("d", "i", "j")).alias("e")).select("e.i", "e.j", "e.d").distinct())
-        if chosen.isEmpty():
-            return tree if tree is not None else chosen
-        tree = _kept(chosen if tree is None else tree.unionByName(chosen).distinct())
-        comp = _kept(components(points.select(F.col(key).alias("id")), tree))
+        ways, more = kept(_ways(at, comp, radius)), True
+        while more:
+            out = ways.join(comp.select(F.col("node").alias("i"), F.col("root").alias("ri")), "i").join(comp.select(F.col("node").alias("j"), F.col("root").alias("rj")), "j").where("ri <> rj")
+            each = out.select(F.explode(F.array("ri", "rj")).alias("root"), "d", "i", "j")
+            chosen = kept(each.groupBy("root").agg(F.min(F.struct("d", "i", "j")).alias("e")).select("e.i", "e.j", "e.d").distinct())
+            if more := not chosen.isEmpty():
+                before, tree = tree, kept(chosen if tree is None else tree.unionByName(chosen).distinct())
+                old, comp = comp, kept(components(points.select(F.col(key).alias("id")), tree))
+                dropped(before, old)
+            elif tree is None:
+                tree = chosen
+        dropped(ways)
+        if radius > 2 * flat or comp.select("root").distinct().limit(2).count() < 2:
+            return tree
+        radius *= 3
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating star contractions."""
-    hung = _kept(canonical(edges).select(F.col("j").alias("a"), F.col("i").alias("b")))
+    hung = kept(canonical(edges).select(F.col("j").alias("a"), F.col("i").alias("b")))
     state = None
     while True:
         now = hung.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -84,11 +100,12 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame
             break
         state = now
         both = hung.unionByName(hung.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        before, low = hung, both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(floor, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        hung = _kept(moved.unionByName(floor.select("a", F.col("m").alias("b"))).distinct())
+        hung = kept(moved.unionByName(floor.select("a", F.col("m").alias("b"))).distinct())
+        dropped(before)
     return nodes.select(F.col(key).alias("node")).join(hung.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
@@ -101,7 +118,7 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFr
     """One row: nodes, edges, density, isolates and the degrees' min, max, mean and median."""
     d = degrees(nodes, edges, key)
     out = d.agg(F.count(F.lit(1)).alias("n_nodes"), (F.sum("degree") / 2).cast("long").alias("n_edges"), F.sum(F.when(F.col("degree") == 0, 1).otherwise(0)).cast("long").alias("isolates"), F.min("degree").alias("degree_min"), F.max("degree").alias("degree_max"), F.avg("degree").alias("degree_mean"), F.median("degree").alias("degree_median"))
-    return out.withColumn("density", 2 * F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)))
+    return out.withColumn("density", safe_ratio(2.0 * F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)))
 
 
 def with_ends(edges: DataFrame, values: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:

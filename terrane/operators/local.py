@@ -5,11 +5,15 @@ fit is a join of focal rows with the rows that may weigh on them, a weight
 column, and sums of w x_a x_b and w x_a y by focal row; only the sums, one row a
 focal row, go to a solver. For a kernel of bounded support and a fixed
 bandwidth the join is an equi-join on grid cells; within regimes it is one on
-the regime; else every row weighs on every row, as the method has it.
+the regime. For a bounded kernel that reaches the k-th neighbour it is one on
+cells too, of a ring around each cell that is sure to hold k rows. Unbounded
+kernels, and searches over all numbers of neighbours, weigh every row on every
+row, as the method has it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import TINY, kernel_weight
 from ..functions.linalg import regular, solve
+from ..tables import kept
 
 SMALL = 1e-12
 
@@ -33,8 +38,66 @@ def n_terms(obs: DataFrame) -> int:
     return sum(c[0] == "x" and c[1:].isdigit() for c in obs.columns)
 
 
-def pairs(obs: DataFrame, within: str | None = None, radius: float | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """(i, j, d2, focal columns f_*, columns of j) for each row and each that may weigh on it, itself included."""
+#: Cells of one level that make a side of a cell of the next.
+_COARSER = 4
+
+
+def rings(points: DataFrame, k: int, x: str = "px", y: str = "py") -> tuple[DataFrame, float] | None:
+    """(cx, cy, level, ring) of each cell that has points, and the cells' side: the k nearest points of any point of a cell
+    lie at most ring cells of that level away. None if there are so few points that cells would ask for most of them.
+
+    Cells hold about k / 4 points each; those of each level are four times as wide as those before. Cells are counted, not
+    points: blocks around a cell widen until they hold k points, and a point's k-th nearest is then no farther than the
+    block's far corner. What isn't found within two cells, in sparse places, is asked for at the next level.
+    """
+    ends = points.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{name}{c}") for c in (x, y) for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    if ends.n <= 4 * k:
+        return None
+    wide, high = ends[f"hi{x}"] - ends[f"lo{x}"], ends[f"hi{y}"] - ends[f"lo{y}"]
+    flat = max(wide, high)
+    side = math.sqrt(max(wide, flat / ends.n) * max(high, flat / ends.n) * k / (4 * ends.n)) or 1.0
+    cells = kept(points.groupBy(F.floor(F.col(x) / side).alias("cx"), F.floor(F.col(y) / side).alias("cy")).agg(F.count(F.lit(1)).alias("n")))
+    todo, done, level = cells.select("cx", "cy"), None, 0
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(max(abs(a), abs(b))).alias("m")) for a in range(-2, 3) for b in range(-2, 3)))
+    while True:
+        at = lambda c: F.floor(F.col(c) / _COARSER**level)  # noqa: B023, E731
+        now = todo.select("cx", "cy", at("cx").alias("ax"), at("cy").alias("ay"))
+        asks = now.select("ax", "ay").distinct().select("ax", "ay", F.inline(steps)).withColumn("bx", F.col("ax") + F.col("a")).withColumn("by", F.col("ay") + F.col("b"))
+        counts = cells.groupBy(at("cx").alias("bx"), at("cy").alias("by")).agg(F.sum("n").alias("n"))
+        enough = [F.sum(F.when(F.col("m") <= m, F.col("n")).otherwise(0)) >= k for m in range(3)]
+        found = asks.join(counts, ["bx", "by"]).groupBy("ax", "ay").agg(F.when(enough[0], 0).when(enough[1], 1).when(enough[2], 2).alias("m"))
+        placed = kept(now.join(found, ["ax", "ay"]))
+        ready = placed.where("m is not null").select("cx", "cy", F.lit(level).alias("level"), F.ceil((F.col("m") + 1) * math.sqrt(2)).cast("int").alias("ring"))
+        done = ready if done is None else done.unionByName(ready)
+        todo = placed.where("m is null").select("cx", "cy")
+        if todo.isEmpty():
+            return done, side
+        level += 1
+
+
+def near_pairs(focal: DataFrame, other: DataFrame, k: int, points: DataFrame, x: str = "px", y: str = "py") -> DataFrame:
+    """focal (f_x, f_y ..) joined with the rows of other (x, y ..) that may be among its k nearest; all of them are."""
+    if (found := rings(points, k, x, y)) is None:
+        return focal.crossJoin(other)  # up to four times k rows
+    ring, side = found
+    levels = sorted(r.level for r in ring.select("level").distinct().collect())  # a logarithm of the extent
+    cell = lambda c: F.floor(F.col(c) / side)
+    step, scale = F.sequence(-F.col("ring"), F.col("ring")), F.pow(F.lit(_COARSER), F.col("level"))
+    coarse = lambda c: F.floor(F.col(c) / scale).cast("long")
+    asks = focal.withColumn("cx", cell(f"f_{x}")).withColumn("cy", cell(f"f_{y}")).join(ring, ["cx", "cy"])
+    asks = asks.withColumn("a", F.explode(step)).withColumn("b", F.explode(step)).withColumn("cx", coarse("cx") + F.col("a")).withColumn("cy", coarse("cy") + F.col("b"))
+    there = other.withColumn("cx", cell(x)).withColumn("cy", cell(y)).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    there = there.withColumn("cx", coarse("cx")).withColumn("cy", coarse("cy"))
+    joined = asks.join(there, ["level", "cx", "cy"])
+    reach = F.col("ring") * side * F.pow(F.lit(_COARSER), F.col("level"))  # no less than the k-th nearest is far
+    close = F.pow(F.col(f"f_{x}") - F.col(x), 2) + F.pow(F.col(f"f_{y}") - F.col(y), 2) <= F.pow(reach, 2)
+    return joined.where(close).drop("cx", "cy", "a", "b", "ring", "level")
+
+
+def pairs(obs: DataFrame, within: str | None = None, radius: float | None = None, carry: Sequence[str] = (), nearest: int | None = None) -> DataFrame:
+    """(i, j, d2, focal columns f_*, columns of j) for each row and each that may weigh on it, itself included.
+
+    radius: only rows about so close; nearest: only rows that may be among each row's so many nearest, itself counted."""
     p = n_terms(obs)
     own = ["px", "py", "yy", *(f"x{a}" for a in range(p)), *([within] if within else []), *carry]
     focal = obs.select(F.col("id").alias("i"), *(F.col(c).alias(f"f_{c}") for c in own))
@@ -48,6 +111,8 @@ def pairs(obs: DataFrame, within: str | None = None, radius: float | None = None
         joined = joined.where(F.col(f"f_{within}").eqNullSafe(F.col(within))) if within else joined
     elif within:
         joined = focal.join(other, F.col(f"f_{within}") == F.col(within))
+    elif nearest is not None:
+        joined = near_pairs(focal, other, nearest, obs)
     else:
         joined = focal.crossJoin(other)
     dx, dy = F.col("f_px") - F.col("px"), F.col("f_py") - F.col("py")
@@ -57,7 +122,7 @@ def pairs(obs: DataFrame, within: str | None = None, radius: float | None = None
 def with_reach(table: DataFrame, k: Column, boundary: str = "next", when: Column | None = None) -> DataFrame:
     """table with b2, the squared distance to the k-th nearest row of each focal row.
 
-    A distance of nothing becomes the least one over 1e-12, or 1. The boundary
+    A distance of nothing becomes the least one of the table over 1e-12, or 1. The boundary
     "next" is the next number; its effect on a weight is under 1e-30 and is left
     out. when: rows that are counted.
     """
@@ -117,7 +182,7 @@ def local_fit(obs: DataFrame, bandwidth: int | float, kernel: str = "bisquare",
     """A local regression at each row: id, b0 .., fitted, resid, hat."""
     p, counts = n_terms(obs), isinstance(bandwidth, int) if counts is None else counts
     if counts:
-        table = with_reach(pairs(obs), F.lit(int(bandwidth)), boundary)
+        table = with_reach(pairs(obs, nearest=int(bandwidth) if kernel == "bisquare" else None), F.lit(int(bandwidth)), boundary)
     else:
         table = pairs(obs, radius=float(bandwidth) if kernel == "bisquare" else None).withColumn("b2", F.lit(float(bandwidth) ** 2))
     return _finished(table, p, kernel, strict)
@@ -149,7 +214,7 @@ def shared_fit(obs: DataFrame, k: int, kernel: str = "bisquare", regime: str = "
     """Bandwidths from all rows, then only rows of the same regime weigh; rows that can't be told get NaN."""
     p = n_terms(obs)
     keyed = obs.select("id", regime)
-    table = with_reach(pairs(obs), F.lit(k))
+    table = with_reach(pairs(obs, nearest=k if kernel == "bisquare" else None), F.lit(k))
     table = table.join(keyed.select(F.col("id").alias("i"), F.col(regime).alias("ri")), "i").join(keyed.select(F.col("id").alias("j"), F.col(regime).alias("rj")), "j")
     return _finished(table.where("ri = rj"), p, kernel, strict=True)
 
@@ -181,7 +246,8 @@ def diagnostics(fit: DataFrame, obs: DataFrame, by: Sequence[str] = ()) -> DataF
 def hat_rows(obs: DataFrame, bandwidth: int, boundary: str = "next", kernel: str = "bisquare") -> DataFrame:
     """(i, j, s): the weight of row j's y in row i's fitted value, where it isn't zero."""
     p = n_terms(obs)
-    weighted = with_reach(pairs(obs), F.lit(bandwidth), boundary).withColumn("w", kernel_weight(F.col("d2"), F.col("b2"), kernel)).where("w > 0")
+    table = pairs(obs, nearest=bandwidth if kernel == "bisquare" else None)
+    weighted = with_reach(table, F.lit(bandwidth), boundary).withColumn("w", kernel_weight(F.col("d2"), F.col("b2"), kernel)).where("w > 0")
     # C x_i solves M c = x_i, so that s_ij = w_ij x_j . c
     sums = moments(weighted, p)
     for a in range(p):

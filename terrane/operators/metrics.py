@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import interval95, safe_ratio
+from ..functions.columns import interval95, percent_better, safe_ratio
 from .graph import with_ends
 
 
@@ -64,6 +64,36 @@ def jump_recovery(edges: DataFrame, truth: DataFrame, estimate: DataFrame, colum
     return out.withColumn("ratio", safe_ratio(F.col("estimated_jump"), F.col("true_jump")))
 
 
+def pooled_jump_ratio(jumps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """ratio: the mean estimated jump over the mean true jump of all slopes together. jumps: true and estimated, a row an edge and slope."""
+    return jumps.groupBy(*by).agg(safe_ratio(F.avg("estimated"), F.avg("true")).alias("ratio"))
+
+
+def mean_jump_ratio(jumps: DataFrame, by: Sequence[str] = (), term: str = "term") -> DataFrame:
+    """ratio: the mean over slopes of each one's ratio of mean jumps; slopes without a true jump are left out."""
+    each = jumps.groupBy(*by, term).agg(safe_ratio(F.avg("estimated"), F.avg("true")).alias("r"))
+    return each.groupBy(*by).agg(F.avg("r").alias("ratio"))
+
+
+def spread_within(coef: DataFrame, columns: Sequence[str], regime: str = "regime") -> DataFrame:
+    """(regime, term, sd): how much each column varies within each regime; a truth that is constant there has zero."""
+    flat = coef.select(regime, F.inline(F.array(*(F.struct(F.lit(c).alias("term"), F.col(c).cast("double").alias("v")) for c in columns))))
+    return flat.groupBy(regime, "term").agg(F.stddev_pop("v").alias("sd"))
+
+
+def criteria(fit: DataFrame) -> DataFrame:
+    """diagnostics() with enp (effective parameters: the trace), aic, bic and adj_r2."""
+    n, rss, tr = F.col("n").cast("double"), F.col("rss"), F.col("trace")
+    deviance = n * F.ln(rss / n) + n * (1 + F.ln(F.lit(2.0) * F.pi()))
+    left = n - tr - 1
+    return fit.select("*", tr.alias("enp"), (deviance + 2 * (tr + 1)).alias("aic"), (deviance + (tr + 1) * F.ln(n)).alias("bic"), F.when(left > 0, 1 - (1 - F.col("r2")) * (n - 1) / left).alias("adj_r2"))
+
+
+def compared(rows: DataFrame, a: str, b: str, prefix: str) -> DataFrame:
+    """rows with prefix_diff, a - b, and prefix_pct, by how many per cent of b a is smaller."""
+    return rows.withColumn(f"{prefix}_diff", F.col(a) - F.col(b)).withColumn(f"{prefix}_pct", percent_better(F.col(a), F.col(b)))
+
+
 def gradient_recovery(edges: DataFrame, truth: DataFrame, estimate: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Signed differences along the given (uncut) edges: spread of both, rmse, mae and correlation by term."""
     t, e = with_ends(edges, truth, columns), with_ends(edges, estimate, columns)
@@ -96,7 +126,7 @@ def jump_summary(edges: DataFrame, by: Sequence[str] = ("term", "model")) -> Dat
 def jump_amplification(pairs: DataFrame, by: Sequence[str] = ("term",)) -> DataFrame:
     """Of jumps a and b of the same edges: mean and median of b - a, share of b > a, ratio of means."""
     d = F.col("b") - F.col("a")
-    return pairs.groupBy(*by).agg(F.avg(d).alias("mean_diff"), F.median(d).alias("median_diff"), F.avg(F.when(d > 0, 1.0).otherwise(0.0)).alias("share_greater"), (F.avg("b") / F.avg("a")).alias("ratio_of_means"))
+    return pairs.groupBy(*by).agg(F.avg(d).alias("mean_diff"), F.median(d).alias("median_diff"), F.avg(F.when(d > 0, 1.0).otherwise(0.0)).alias("share_greater"), safe_ratio(F.avg("b"), F.avg("a")).alias("ratio_of_means"))
 
 
 def describe(long: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -108,6 +138,46 @@ def scenario_summary(rows: DataFrame, metrics: Sequence[str], by: str = "scenari
     return rows.groupBy(by).agg(*(c for m in metrics for c in interval95(m, m)))
 
 
+def win_rates(rows: DataFrame, wins: dict[str, Column], by: Sequence[str]) -> DataFrame:
+    """For each named condition: name_rate, the share of rows of a group for which it holds, and name_n, the rows it can be told for."""
+    columns = [c for name, won in wins.items() for c in (F.avg(won.cast("double")).alias(f"{name}_rate"), F.count(won).alias(f"{name}_n"))]
+    return rows.groupBy(*by).agg(*columns)
+
+
+def value_counts(rows: DataFrame, column: str, by: Sequence[str], out: str = "counts") -> DataFrame:
+    """The number of rows of each value of a column, nulls aside, as a JSON object in the order of the values."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(column).cast("string"), "n"))))  # an entry a value
+    return counts.groupBy(*by).agg(F.to_json(entries).alias(out))
+
+
+def named_means(rows: DataFrame, by: Sequence[str], **named: Column) -> DataFrame:
+    """Groups with named aggregates, and n."""
+    return rows.groupBy(*by).agg(*(c.alias(name) for name, c in named.items()), F.count(F.lit(1)).alias("n"))
+
+
+def pivoted(rows: DataFrame, row: str, column: str, values: Sequence, value: Column) -> DataFrame:
+    """A grid: a row a value of row, a column a value of column, the latest row first."""
+    return rows.groupBy(row).pivot(column, list(values)).agg(value).orderBy(F.desc(row))
+
+
+def best_rows(rows: DataFrame, by: Sequence[str], score: str, key: str, largest: bool = False, out: str = "best") -> DataFrame:
+    """The key of each group's smallest (or largest) score; ties go to the smaller key."""
+    order = F.struct(-F.col(score) if largest else F.col(score), F.col(key))
+    return rows.groupBy(*by).agg(F.min_by(key, order).alias(out))
+
+
+def first_over(rows: DataFrame, by: Sequence[str], score: Column, key: str, out: str = "first") -> DataFrame:
+    """The smallest key of each group at which the condition holds, or null."""
+    return rows.groupBy(*by).agg(F.min(F.when(score, F.col(key))).alias(out))
+
+
+def study_summary(rows: DataFrame, metrics: Sequence[str], wins: dict[str, Column], stop: str = "stop", by: str = "scenario") -> DataFrame:
+    """scenario_summary() with win rates and a JSON object of how often each reason to stop occurred."""
+    out = scenario_summary(rows, metrics, by).join(win_rates(rows, wins, [by]), by)
+    return out.join(value_counts(rows, stop, [by], "stop_counts"), by, "left")
+
+
 def paired_differences(rows: DataFrame, pairs: Sequence[tuple[str, str]], by: str = "scenario") -> DataFrame:
     """(by, pair, mean, lo, hi, n, excludes_zero) of paired differences a - b."""
     flat = rows.select(by, F.inline(F.array(*(F.struct(F.lit(f"{a}-{b}").alias("pair"), (F.col(a) - F.col(b)).alias("d")) for a, b in pairs))))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import Refinement
 from ..functions.linalg import solve
+from ..tables import kept
 
 
 def neighbour_lists(n: int, edges: np.ndarray) -> list[np.ndarray]:
@@ -75,28 +77,44 @@ def feasible_regimes(n: int, regimes: int, least: int) -> int:
 
 
 def merge_small(labels: np.ndarray, features: np.ndarray, edges: np.ndarray, least: int) -> np.ndarray:
-    """The smallest regime under the least size goes to the neighbour (else any) with the nearest centroid, until none is left."""
-    near = neighbour_lists(len(labels), edges)
-    labels = np.unique(labels, return_inverse=True)[1]
-    while True:
-        counts = np.bincount(labels)
-        if counts.min() >= least or len(counts) == 1:
-            return labels
-        small = int(np.argmin(np.where(counts < least, counts, counts.max() + 1)))
-        rows = np.flatnonzero(labels == small)
-        around = {int(labels[j]) for i in rows for j in near[i]} - {small} or set(range(len(counts))) - {small}
-        centre = features[rows].mean(0)
-        labels[rows] = min(sorted(around), key=lambda r: float(np.linalg.norm(centre - features[labels == r].mean(0))))
-        labels = np.unique(labels, return_inverse=True)[1]
-
-
-def weights(d: np.ndarray, k: int | None) -> np.ndarray:
-    """Bisquare weights out to the k-th nearest, or the farthest."""
-    b = float(np.sort(d)[min(k or len(d), len(d)) - 1])
-    if b <= 1e-12:
-        b = float(d[d > 1e-12].min()) if (d > 1e-12).any() else 1.0
-    u = (d / np.nextafter(b, np.inf)) ** 2
-    return np.where(u < 1, (1 - u) ** 2, 0.0)
+    """The smallest regime under the least size goes to the neighbour (else any) with the nearest centroid, until none is left.
+
+    Regimes are rows of a table of sizes and sums of features; joining two adds one row to another, and the graph between
+    regimes counts the edges of the rows' graph."""
+    names, z = np.unique(labels, return_inverse=True)
+    k = len(names)
+    size, total, touch = np.bincount(z, minlength=k), np.zeros((k, features.shape[1])), np.zeros((k, k), np.int64)
+    np.add.at(total, z, features)
+    if len(edges):
+        np.add.at(touch, (z[edges[:, 0]], z[edges[:, 1]]), 1)
+    touch += touch.T
+    into, alive = np.arange(k), np.ones(k, bool)
+    while alive.sum() > 1 and (short := np.flatnonzero(alive & (size < least))).size:
+        r = short[np.argmin(size[short])]
+        others = np.flatnonzero(alive & (touch[r] > 0) & (np.arange(k) != r))
+        others = others if others.size else np.flatnonzero(alive & (np.arange(k) != r))
+        gap = np.sqrt(((total[others] / size[others, None] - total[r] / size[r]) ** 2).sum(1))
+        to = others[np.argmin(gap)]
+        size[to], total[to] = size[to] + size[r], total[to] + total[r]
+        touch[to] += touch[r]
+        touch[:, to] += touch[:, r]
+        into[into == r], alive[r] = to, False
+    return np.unique(into[z], return_inverse=True)[1]
+
+
+def weights(d: np.ndarray, bandwidth: int | float | None, kernel: str = "bisquare") -> np.ndarray:
+    """Weights out to the k-th nearest (an integer), the farthest (None), or a distance (a float)."""
+    if isinstance(bandwidth, float):
+        b = bandwidth
+    else:
+        b = float(np.sort(d)[min(bandwidth or len(d), len(d)) - 1])
+        if b <= 1e-12:
+            b = float(d[d > 1e-12].min()) if (d > 1e-12).any() else 1.0
+        b = np.nextafter(b, np.inf)
+    u = d / b
+    if kernel == "bisquare":
+        return np.where(u < 1, (1 - u * u) ** 2, 0.0)
+    return np.exp(-0.5 * u * u) if kernel == "gaussian" else np.exp(-u)
 
 
 class Instance:
@@ -115,7 +133,7 @@ class Instance:
             rows = np.flatnonzero(labels == g)
             xg = self.x[rows]
             for i in rows:
-                w = weights(self.d[i, rows], self.how.bandwidth)
+                w = weights(self.d[i, rows], self.how.bandwidth, self.how.kernel)
                 m[i] = (xg * w[:, None]).T @ xg
                 r[i, :, 0] = (xg * w[:, None]).T @ self.y[rows]
                 own[i] = w[np.searchsorted(rows, i)]
@@ -135,7 +153,7 @@ class Instance:
             return np.inf
         if self.how.full_rank and np.linalg.matrix_rank(self.x[rows]) < p:
             return np.inf
-        w = weights(self.d[i, rows], self.how.bandwidth)
+        w = weights(self.d[i, rows], self.how.bandwidth, self.how.kernel)
         xg = self.x[rows]
         beta = solve(((xg * w[:, None]).T @ xg)[None], ((xg * w[:, None]).T @ self.y[rows])[None, :, None])[0, :, 0]
         return float((self.y[i] - self.x[i] @ beta) ** 2)
@@ -177,8 +195,9 @@ class Instance:
                 z[i] = to
         return z, moves
 
-    def refine(self, labels: np.ndarray) -> tuple[np.ndarray, list[dict], list[dict], str]:
-        """Sweeps until nothing moves, the objective would grow, or there have been enough: labels, history, moves of accepted sweeps, why it ended."""
+    def refine(self, labels: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], list[dict], list[dict], str]:
+        """Sweeps until nothing moves, the objective would grow, or there have been enough: labels at the start and after each accepted
+        sweep (its number, labels), history, moves of accepted sweeps, why it ended."""
         how, stop = self.how, "max_iterations"
 
         def record(number: int, z: np.ndarray, changes: int) -> dict:
@@ -186,7 +205,7 @@ class Instance:
             rss, cuts = float(resid @ resid), self.cuts(z)
             return {"iteration": number, "accepted": True, "changes": changes, "rss": rss, "trace": float(hat.sum()), "cut_edges": cuts, "objective": rss + how.penalty * cuts, "sizes": ";".join(str(int(c)) for c in np.unique(z, return_counts=True)[1])}
 
-        history, moves = [record(0, labels, 0)], []
+        history, moves, path = [record(0, labels, 0)], [], [(0, labels)]
         for number in range(how.first, how.first + how.sweeps):
             z, proposed = self.sweep(labels, number)
             changes = int((z != labels).sum())
@@ -201,7 +220,8 @@ class Instance:
                 break
             moves += [m for m in proposed if z[m["node"]] != labels[m["node"]]]
             labels = z
-        return labels, history, moves, stop
+            path.append((number, z))
+        return path, history, moves, stop
 
 
 # -- on DataFrames -----------------------------------------------------------------------------
@@ -252,44 +272,70 @@ def merge_small_regimes(rows: DataFrame, edges: DataFrame, columns: Sequence[str
     return _on_one(rows, edges, run, "instance string, id long, regime long")
 
 
-def _refined(how: Mapping[str, Refinement], p: int, give):
-    def run(instance, r, e):
-        ids = r["id"].to_numpy()
-        one = Instance(r[[f"x{a}" for a in range(p)]].to_numpy(float), r["yy"].to_numpy(float), r[["px", "py"]].to_numpy(float), _edge_array(e, ids), how[instance])
-        return give(instance, ids, one, r["regime"].to_numpy().astype(int))
+_RECORDS = {
+    "labels": "id long, initial long, regime long",
+    "history": "iteration long, accepted boolean, changes long, rss double, trace double, cut_edges long, objective double, sizes string, stop string",
+    "moves": "iteration long, node long, from_regime long, to_regime long, old_cost double, old_error double, old_disagreement long, new_cost double, new_error double, new_disagreement long",
+    "path": "iteration long, id long, regime long",
+}
+
+
+class Refined(NamedTuple):
+    """labels (instance, id, initial, regime), history and moves of a refinement, and path: the labels (instance, iteration, id, regime)
+    at the start (iteration 0, or one before the first sweep) and after each accepted sweep."""
 
-    return run
+    labels: DataFrame
+    history: DataFrame
+    moves: DataFrame
+    path: DataFrame
 
 
-def refined(obs: DataFrame, edges: DataFrame, how: Refinement | Mapping[str, Refinement]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Labels (instance, id, initial, regime), history and moves of the refinement of obs (id, px, py, yy, x0 .., regime).
+def refined(obs: DataFrame, edges: DataFrame, how: Refinement | Mapping[str, Refinement]) -> Refined:
+    """The refinement of obs (id, px, py, yy, x0 .., regime), worked out once.
 
     A mapping gives settings by name, and each is an instance: a grid of
     penalties is refined side by side from the same start.
     """
     settings = dict(how) if isinstance(how, Mapping) else {"": how}
     p = sum(c[0] == "x" and c[1:].isdigit() for c in obs.columns)
-    rows = obs.crossJoin(F.broadcast(obs.sparkSession.createDataFrame([(k,) for k in settings], "instance string")))
-    def labels(instance, ids, one, z):
-        new, _, _, stop = one.refine(z)
-        return pd.DataFrame({"instance": instance, "id": ids, "initial": z, "regime": new})
-
-    def history(instance, ids, one, z):
-        _, rows, _, stop = one.refine(z)
-        return pd.DataFrame(rows).assign(instance=instance, stop=stop)[["instance", *rows[0], "stop"]]
-
-    columns = ["iteration", "node", "from_regime", "to_regime", "old_cost", "old_error", "old_disagreement", "new_cost", "new_error", "new_disagreement"]
-
-    def moves(instance, ids, one, z):
-        out = pd.DataFrame(one.refine(z)[2], columns=columns).assign(instance=instance)
-        out["node"] = ids[out["node"].to_numpy(int)] if len(out) else out["node"]
-        return out[["instance", *columns]]
-
-    return (
-        _on_one(rows, edges, _refined(settings, p, labels), "instance string, id long, initial long, regime long"),
-        _on_one(rows, edges, _refined(settings, p, history), "instance string, iteration long, accepted boolean, changes long, rss double, trace double, cut_edges long, objective double, sizes string, stop string"),
-        _on_one(rows, edges, _refined(settings, p, moves), "instance string, iteration long, node long, from_regime long, to_regime long, old_cost double, old_error double, old_disagreement long, new_cost double, new_error double, new_disagreement long"),
-    )
+    rows = obs.crossJoin(F.broadcast(obs.sparkSession.createDataFrame([(k,) for k in settings], "instance string")))  # a row a setting
+    fields: dict[str, str] = dict(f.split() for kind in _RECORDS.values() for f in kind.split(", "))
+
+    def run(instance, r, e):
+        ids = r["id"].to_numpy()
+        one = Instance(r[[f"x{a}" for a in range(p)]].to_numpy(float), r["yy"].to_numpy(float), r[["px", "py"]].to_numpy(float), _edge_array(e, ids), settings[instance])
+        z = r["regime"].to_numpy().astype(int)
+        path, history, moves, stop = one.refine(z)
+        parts = {
+            "labels": pd.DataFrame({"id": ids, "initial": z, "regime": path[-1][1]}),
+            "history": pd.DataFrame(history).assign(stop=stop),
+            "moves": pd.DataFrame([m | {"node": ids[m["node"]]} for m in moves]),
+            "path": pd.concat([pd.DataFrame({"iteration": n, "id": ids, "regime": x}) for n, x in path]),
+        }
+        out = pd.concat([part.assign(record=name) for name, part in parts.items()]).assign(instance=instance)
+        return out.reindex(columns=["instance", "record", *fields]).astype({f: "Int64" if k == "long" else "boolean" if k == "boolean" else object if k == "string" else float for f, k in fields.items()})
+
+    every = kept(_on_one(rows, edges, run, "instance string, record string, " + ", ".join(f"{f} {k}" for f, k in fields.items())))
+    return Refined(*(every.where(F.col("record") == name).select("instance", *(f.split()[0] for f in kind.split(", "))) for name, kind in _RECORDS.items()))
+
+
+def label_path(path: DataFrame, iterations: Sequence[int]) -> DataFrame:
+    """A row an id, a column (after_n, start for the first) for the labels at each of the iterations; what wasn't reached has the last ones."""
+    first, *rest = iterations
+    at = path.groupBy("id").agg(*(F.max_by(F.when(F.col("iteration") <= n, F.col("regime")), F.when(F.col("iteration") <= n, F.col("iteration"))).alias("start" if n == first else f"after_{n}") for n in (first, *rest)))
+    return at.join(path.groupBy("id").agg(F.max_by("regime", "iteration").alias("final")), "id")
+
+
+def nearest_seeds(points: DataFrame, targets: Sequence[tuple[float, float]]) -> DataFrame:
+    """(id, regime): for each target in turn (a place in the points' extent, as shares of it), the nearest point that isn't taken yet,
+    ties to the smaller id; regimes are numbered from 1. A job a target."""
+    lo = points.agg(*(f(c).alias(f"{n}{c}") for c in ("px", "py") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    share = lambda c: (F.col(c) - lo[f"lo{c}"]) / max(lo[f"hi{c}"] - lo[f"lo{c}"], 1e-12)
+    taken: list[int] = []
+    for x, y in targets:
+        away = F.pow(share("px") - x, 2) + F.pow(share("py") - y, 2)
+        taken.append(points.where(~F.col("id").isin(taken)).orderBy(away, "id").first().id)
+    return points.sparkSession.createDataFrame([(k, r) for r, k in enumerate(taken, 1)], "id long, regime long")
 
 
 def breadth_first(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:

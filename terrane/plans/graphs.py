@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, local, partition
+from ..simulate import CORNERS, on_a_map
 from .register import Register
 from .tables import EDGES, PTS, edges, points
 
@@ -42,12 +43,25 @@ def _shaken(spark, d):
     return points(spark, d).withColumn("px", F.col("px") + F.col("x1") / 40).withColumn("py", F.col("py") + F.col("x2") / 40)
 
 
-@query()
+# An edge of the tree has no third point nearer to both of its ends than they are to each other, and no way round over shorter edges.
+_TREE = f"""RECURSIVE {PTS}, sh AS (SELECT id, px + x1 / 40 AS px, py + x2 / 40 AS py FROM pts),
+ws AS (SELECT a.id AS i, b.id AS j, sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) AS d FROM sh a JOIN sh b ON a.id < b.id AND abs(a.px - b.px) < 4 AND abs(a.py - b.py) < 4),
+w2 AS (SELECT i, j, d FROM ws UNION ALL SELECT j, i, d FROM ws),
+lune AS (SELECT w.i, w.j, w.d FROM ws w WHERE NOT EXISTS (SELECT 1 FROM w2 a JOIN w2 b ON a.j = b.j WHERE a.i = w.i AND b.i = w.j AND a.d < w.d AND b.d < w.d)),
+l2 AS (SELECT i, j, d, i AS a, j AS b FROM lune UNION ALL SELECT j, i, d, i, j FROM lune),
+round_ AS (SELECT i AS a, j AS b, d, i AS node FROM lune UNION SELECT r.a, r.b, r.d, l.j FROM round_ r JOIN l2 l ON l.i = r.node AND (l.d, l.a, l.b) < (r.d, r.a, r.b)),
+tree AS (SELECT i, j, d FROM lune WHERE (i, j, j) NOT IN (SELECT a, b, node FROM round_))"""
+
+
+@query(f"WITH {_TREE} SELECT i, j, {R('d')} AS d FROM tree")
 def mst_edges(spark, d):
     return graph.spanning_tree(_shaken(spark, d))
 
 
-@query()
+_NEAR_SHAKEN = "(SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM w2)"
+
+
+@query(f"WITH {_TREE} SELECT least(i, j) AS i, greatest(i, j) AS j FROM {_NEAR_SHAKEN} WHERE r <= 8 UNION SELECT i, j FROM tree")
 def knn_mst_graph(spark, d):
     pts = _shaken(spark, d)
     return graph.canonical(graph.nearest_edges(pts, 8).unionByName(graph.spanning_tree(pts).select("i", "j")))
@@ -81,11 +95,34 @@ def regimes_connected(spark, d):
     return graph.regimes_connected(edges(spark, d), points(spark, d))
 
 
-@query()
+_WITHOUT = f"""RECURSIVE {PTS}, {EDGES}, {CUT}, near AS (SELECT i, j, ri AS regime FROM cut WHERE ri = rj UNION ALL SELECT j, i, ri FROM cut WHERE ri = rj),
+size AS (SELECT regime, count(*) AS n FROM pts GROUP BY regime),
+two AS (SELECT regime, min(id) AS one, (SELECT min(q.id) FROM pts q WHERE q.regime = p.regime AND q.id > min(p.id)) AS next_one FROM pts p GROUP BY regime),
+left_ AS (SELECT id AS gone, CASE WHEN id = one THEN next_one ELSE one END AS node FROM pts JOIN two USING (regime) UNION SELECT l.gone, n.j FROM left_ l JOIN near n ON n.i = l.node WHERE n.j <> l.gone),
+hit AS (SELECT gone, count(*) AS n FROM left_ GROUP BY gone)"""
+
+
+@query(f"WITH {_WITHOUT} SELECT p.regime, count(CASE WHEN s.n > 2 AND h.n < s.n - 1 THEN 1 END) AS n_critical FROM pts p JOIN size s USING (regime) JOIN hit h ON h.gone = p.id GROUP BY p.regime")
 def critical_nodes(spark, d):
     return partition.critical_nodes(points(spark, d), edges(spark, d))
 
 
+_SHARES = "sh AS (SELECT id, (px - min(px) OVER ()) / (max(px) OVER () - min(px) OVER ()) AS u, (py - min(py) OVER ()) / (max(py) OVER () - min(py) OVER ()) AS v FROM pts)"
+_PICKS = ", ".join(f"t{r} AS (SELECT id FROM sh {f'WHERE id NOT IN ({prior})' if (prior := ' UNION ALL '.join(f'SELECT id FROM t{q}' for q in range(1, r))) else ''} ORDER BY pow(u - {x}, 2) + pow(v - {y}, 2), id LIMIT 1)" for r, (x, y) in enumerate(CORNERS, 1))
+
+
+@query(" UNION ALL ".join(f"SELECT id, {r}::BIGINT AS regime FROM t{r}" for r in range(1, len(CORNERS) + 1)), ctes=(PTS, _SHARES, _PICKS))
+def nearest_seeds(spark, d):
+    return partition.nearest_seeds(points(spark, d), CORNERS)
+
+
+@query()
+def grown_map(spark, d):
+    """Regimes grown from seeds near the corners, and a response with their coefficients."""
+    seeds = partition.nearest_seeds(points(spark, d), CORNERS).withColumn("instance", F.lit("map"))
+    return on_a_map(points(spark, d), partition.breadth_first(seeds, edges(spark, d), points(spark, d)))
+
+
 @query()
 def multi_source_bfs(spark, d):
     pts = points(spark, d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import simulate
@@ -43,8 +45,10 @@ def paired_diff_ci(spark, d):
 
 @query(f"SELECT event_type, count(CASE WHEN a < 50 THEN 1 END) AS wins, {R('avg(CASE WHEN a < 50 THEN 1.0 ELSE 0.0 END)')} AS win_rate, {R('avg(least(a, b, c))')} AS mean_best FROM p GROUP BY event_type", ctes=(_PAIRED,))
 def win_rates(spark, d):
-    won = F.when(F.col("a") < 50, 1.0).otherwise(0.0)
-    return _paired(spark, d).groupBy("event_type").agg(F.sum(won).cast("long").alias("wins"), F.avg(won).alias("win_rate"), F.avg(F.least("a", "b", "c")).alias("mean_best"))
+    rows = _paired(spark, d)
+    rates = metrics.win_rates(rows, {"a": F.col("a") < 50}, ["event_type"])
+    means = metrics.named_means(rows, ["event_type"], wins=F.count_if(F.col("a") < 50), mean_best=F.avg(F.least("a", "b", "c"))).drop("n")
+    return rates.join(means, "event_type").select("event_type", "wins", F.col("a_rate").alias("win_rate"), "mean_best")
 
 
 @query(f"SELECT event_type, {', '.join(_interval(v, v) for v in 'abc')} FROM p GROUP BY event_type", ctes=(_PAIRED,))
@@ -54,33 +58,32 @@ def scenario_wide_summary(spark, d):
 
 @query("SELECT o_orderstatus, '{' || string_agg('\"' || o_orderpriority || '\":' || n, ',' ORDER BY o_orderpriority) || '}' AS counts FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_orderstatus")
 def value_counts_json(spark, d):
-    counts = read(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("o_orderpriority", "n"))))
-    return counts.groupBy("o_orderstatus").agg(F.to_json(entries).alias("counts"))
+    return metrics.value_counts(read(spark, d, "orders"), "o_orderpriority", ["o_orderstatus"])
 
 
 @query("SELECT year(l_shipdate)::BIGINT AS ship_year, " + ", ".join(f"{R(f'''avg(CASE WHEN l_returnflag = '{x}' THEN l_quantity END)''')} AS {x}" for x in "ANR") + " FROM lineitem GROUP BY 1")
 def pivot_grid(spark, d):
     rows = read(spark, d, "lineitem").withColumn("ship_year", F.year("l_shipdate").cast("long"))
-    return rows.groupBy("ship_year").pivot("l_returnflag", list("ANR")).agg(F.avg("l_quantity")).orderBy(F.desc("ship_year"))
+    return metrics.pivoted(rows, "ship_year", "l_returnflag", "ANR", F.avg("l_quantity"))
 
 
 @query(f"SELECT l_returnflag, l_linestatus, {R('avg(l_quantity)')} AS mean_quantity, {R('avg(l_discount)')} AS mean_discount, max(l_tax) AS max_tax, count(*) AS n FROM lineitem GROUP BY ALL")
 def group_named_means(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.avg("l_quantity").alias("mean_quantity"), F.avg("l_discount").alias("mean_discount"), F.max("l_tax").alias("max_tax"), F.count(F.lit(1)).alias("n"))
+    return metrics.named_means(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], mean_quantity=F.avg("l_quantity"), mean_discount=F.avg("l_discount"), max_tax=F.max("l_tax"))
 
 
 @query("SELECT p_brand, min(p_partkey) AS cheapest, max_part AS dearest FROM part p JOIN (SELECT p_brand, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY p_brand) m USING (p_brand) JOIN (SELECT p_brand, min(p_partkey) AS max_part FROM part a WHERE p_retailprice = (SELECT max(p_retailprice) FROM part b WHERE b.p_brand = a.p_brand) GROUP BY p_brand) x USING (p_brand) WHERE p_retailprice = lo GROUP BY p_brand, max_part")
 def best_row_argmin(spark, d):
     """Ties go to the smaller key."""
-    rows = read(spark, d, "part").groupBy("p_brand")
-    return rows.agg(F.min_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("cheapest"), F.min_by("p_partkey", F.struct(-F.col("p_retailprice"), F.col("p_partkey"))).alias("dearest"))
+    part = read(spark, d, "part")
+    cheapest, dearest = (metrics.best_rows(part, ["p_brand"], "p_retailprice", "p_partkey", largest, out) for largest, out in ((False, "cheapest"), (True, "dearest")))
+    return cheapest.join(dearest, "p_brand")
 
 
 @query("SELECT o_orderstatus, min(CASE WHEN total > 50 * 150000 THEN month END)::BIGINT AS first_month FROM (SELECT o_orderstatus, month(o_orderdate) AS month, sum(o_totalprice) AS total FROM orders GROUP BY ALL) GROUP BY o_orderstatus")
 def first_threshold(spark, d):
     monthly = read(spark, d, "orders").groupBy("o_orderstatus", F.month("o_orderdate").alias("month")).agg(F.sum("o_totalprice").alias("total"))
-    return monthly.groupBy("o_orderstatus").agg(F.min(F.when(F.col("total") > 50 * 150_000, F.col("month"))).cast("long").alias("first_month"))
+    return metrics.first_over(monthly, ["o_orderstatus"], F.col("total") > 50 * 150_000, "month", "first_month").withColumn("first_month", F.col("first_month").cast("long"))
 
 
 @query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -115,12 +118,33 @@ def lattice(spark, d):
     return simulate.lattice(spark).select("id", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"), "regime")
 
 
+_SCENARIOS = [("strong", 2.0, 0.35), ("null", 0.0, 0.75)]
+
+
 @query()
 def monte_carlo_replicates(spark, d):
-    """Two seeds of two scenarios: recovery of each replicate."""
-    return simulate.monte_carlo(spark, [("strong", 2.0, 0.35), ("null", 0.0, 0.75)], range(2)).drop("seconds")
+    """Two seeds of two scenarios: recovery of each replicate. How many there are is a parameter of the study."""
+    return simulate.monte_carlo(spark, _SCENARIOS, range(2)).drop("seconds")
 
 
 @query()
 def monte_carlo_summary(spark, d):
-    return metrics.scenario_summary(simulate.monte_carlo(spark, [("strong", 2.0, 0.35), ("null", 0.0, 0.75)], range(2)), ["ari", "f1", "slope_rmse_regime", "slope_rmse_local"])
+    """Intervals, win rates and reasons to stop of the same replicates, by scenario."""
+    rows = simulate.monte_carlo(spark, _SCENARIOS, range(2))
+    wins = {"regime_fit_better": F.col("fit_rmse_regime") < F.col("fit_rmse_local"), "regime_slope_better": F.col("slope_rmse_regime") < F.col("slope_rmse_local")}
+    return metrics.study_summary(rows, ["ari", "f1", "slope_rmse_regime", "slope_rmse_local", "slope_rmse_oracle", "jump_regime", "jump_local"], wins)
+
+
+@query()
+def strength_noise_grid(spark, d):
+    """A row a jump and noise of the published grid: the response's link to the terms, under the same random numbers."""
+    rows = [(float(a), float(s), float((y * (beta * np.column_stack([np.ones(len(y)), x])).sum(1)).mean()), float(np.ptp(beta[:, 1]))) for a, s, (x, y, beta) in simulate.strength_noise_grid()]
+    return spark.createDataFrame(rows, "delta double, sigma double, explained double, widest_slope double")
+
+
+@query()
+def smooth_within_recovery(spark, d):
+    """How much the true slopes of the smooth design vary within each regime."""
+    x, y, beta = simulate.smooth_within()
+    truth = spark.createDataFrame(pd.DataFrame(beta[:, 1:], columns=["b1", "b2", "b3"]).assign(regime=simulate.lattice_arrays()[1]))
+    return metrics.spread_within(truth, ["b1", "b2", "b3"])

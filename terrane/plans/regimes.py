@@ -7,12 +7,14 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..api import discover_regimes
 from ..config import VARIANTS
 from ..functions.columns import dense_labels, labels_by_centroid, scaled
 from ..operators import graph, local, metrics, partition
 from ..operators.multiscale import multiscale_fit
 from ..operators.search import best, curve
 from ..operators.sensitivity import searched_regimes
+from ..tables import kept
 from .graphs import CUT
 from .register import Register
 from .tables import EDGES, PAIRS, PTS, edges, fit_sql, observed, points, reach_sql
@@ -47,14 +49,37 @@ def regime_gwr_shared_k(spark, d):
     return local.shared_fit(observed(spark, d), 150)
 
 
-@query()
+def _running(source: str, weighs: str = "1.0") -> str:
+    """CTEs of running sums over each row's sorted neighbours: k, and the moments at the bandwidth of each k."""
+    sums = ", ".join(f"sum({weighs} * {t} * pow(u, {e})) OVER w AS {n}{e}" for n, t in (("a", "1.0"), ("b", "x1"), ("c", "x1 * x1"), ("p", "yy"), ("q", "x1 * yy")) for e in (0, 1, 2))
+    at = ", ".join(f"{n}0 - 2 * {n}1 / u + {n}2 / (u * u) AS {n}" for n in "abcpq")
+    return f"""rs AS (SELECT i, fr, fx, fy, u, rn AS k, sum({weighs}) OVER w AS held, {sums}
+  FROM (SELECT *, d2 / max(d2) OVER (PARTITION BY i) AS u, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS rn FROM {source})
+  WINDOW w AS (PARTITION BY i ORDER BY rn ROWS UNBOUNDED PRECEDING)),
+rv AS (SELECT i, fr, fx, fy, k, held, {at} FROM rs WHERE u > 0 AND k >= 8),
+rf AS (SELECT *, a*c - b*b AS det, a*c - b*b > 1e-10 * (a + c) * (a + c) AND held >= 2 AS told FROM rv),
+rr AS (SELECT *, CASE WHEN told THEN fy - ((c*p - b*q) + (a*q - b*p) * fx) / det END AS resid, CASE WHEN told THEN (c - 2*b*fx + a*fx*fx) / det END AS hat FROM rf)"""
+
+
+_AICC = "n * ln(rss / n) + n * ln(2 * pi()) + n * (n + tr) / (n - 2 - tr)"
+_SHARED = "sg AS (SELECT k, count(*)::DOUBLE AS n, count(resid) AS told, sum(resid * resid) AS rss, sum(hat) AS tr FROM rr GROUP BY k)"
+_CAN = "told = n AND n - 2 - tr > 0"
+
+
+@query(f"SELECT k::INT AS k, CASE WHEN {_CAN} THEN {R(_AICC)} END AS aicc, CASE WHEN {_CAN} THEN 'fit' ELSE 'unidentified' END AS status FROM sg", ctes=(PTS, PAIRS, _running("pairs", "CASE WHEN fr = regime THEN 1.0 ELSE 0.0 END"), _SHARED))
 def shared_k_search(spark, d):
     """AICc of each shared number of neighbours, and whether every row could be told."""
-    scores = curve(observed(spark, d), 8, 200, mask="regime")
+    scores = curve(observed(spark, d), 8, 10**9, mask="regime")
     return scores.select("k", F.when(F.col("aicc") < float("inf"), F.col("aicc")).alias("aicc"), F.when(F.col("aicc") < float("inf"), "fit").otherwise("unidentified").alias("status"))
 
 
-@query()
+_OWN = f"""og AS (SELECT fr, k, count(*)::DOUBLE AS n, count(resid) AS told, sum(resid * resid) AS rss, avg(abs(resid)) AS mae, sum(hat) AS tr FROM rr GROUP BY fr, k),
+os AS (SELECT *, {_AICC} AS aicc FROM og WHERE {_CAN}),
+ob AS (SELECT *, row_number() OVER (PARTITION BY fr ORDER BY aicc, k) AS place FROM os),
+ot AS (SELECT regime AS fr, var_pop(yy) * count(*) AS tss FROM pts GROUP BY regime)"""
+
+
+@query(f"SELECT fr AS regime, n::BIGINT AS n, {R('rss')} AS rss, {R('mae')} AS mae, {R('tr')} AS trace, {R('sqrt(rss / n)')} AS rmse, {R('1 - rss / tss')} AS r2, {R('aicc')} AS aicc, k::BIGINT AS k, {R('aicc')} AS search_aicc FROM ob JOIN ot USING (fr) WHERE place = 1", ctes=(PTS, PAIRS, _running("(SELECT * FROM pairs WHERE fr = regime)"), _OWN))
 def regime_gwr_independent(spark, d):
     """The best number of neighbours of each regime by its own search, and its fit's figures."""
     obs = observed(spark, d)
@@ -94,13 +119,13 @@ def _slopes(spark, d):
 
 @query()
 def ward_labels(spark, d):
-    return partition.ward_labels(_slopes(spark, d), edges(spark, d), ["b1", "b2"], range(2, 9))
+    return partition.ward_labels(_slopes(spark, d), edges(spark, d), ["b1", "b2"], range(2, 16))
 
 
 @query()
 def ward_diagnostics(spark, d):
     rows = _slopes(spark, d)
-    labels = graph._kept(partition.ward_labels(rows, edges(spark, d), ["b1", "b2"], range(1, 9)))
+    labels = kept(partition.ward_labels(rows, edges(spark, d), ["b1", "b2"], range(1, 16)))
     return partition.partition_summary(labels.join(rows, ["instance", "id"]), edges(spark, d), ["b1", "b2"])
 
 
@@ -112,7 +137,7 @@ def ward_merge_cost(spark, d):
 @query()
 def ward_label_table(spark, d):
     """A row an id, a column a number of regimes."""
-    return partition.ward_labels(_slopes(spark, d), edges(spark, d), ["b1", "b2"], range(2, 9)).withColumn("k", F.concat(F.lit("K"), F.col("k"))).groupBy("id").pivot("k", [f"K{k}" for k in range(2, 9)]).agg(F.first("regime") + 1)
+    return partition.ward_labels(_slopes(spark, d), edges(spark, d), ["b1", "b2"], range(2, 16)).withColumn("k", F.concat(F.lit("K"), F.col("k"))).groupBy("id").pivot("k", [f"K{k}" for k in range(2, 16)]).agg(F.first("regime") + 1)
 
 
 # a given labeling is summarized, so that SQL can follow
@@ -145,28 +170,45 @@ def _start(spark, d):
     return local.observations(points(spark, d).withColumn("regime", off), "yy", ["x1"], keep=["regime"])
 
 
-_GRID = {f"{p:g}": replace(VARIANTS["monte_carlo"], penalty=p) for p in (0.0, 0.5, 2.0)}
+#: The published penalties.
+PENALTIES = (0.0, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
+_GRID = {f"{p:g}": replace(VARIANTS["county"], penalty=p) for p in PENALTIES}
 
 
 @query()
 def refine_history(spark, d):
-    return partition.refined(_start(spark, d), edges(spark, d), VARIANTS["monte_carlo"])[1]
+    return partition.refined(_start(spark, d), edges(spark, d), VARIANTS["monte_carlo"]).history
 
 
 @query()
 def refine_labels(spark, d):
-    return partition.refined(_start(spark, d), edges(spark, d), VARIANTS["monte_carlo"])[0]
+    return partition.refined(_start(spark, d), edges(spark, d), VARIANTS["monte_carlo"]).labels
 
 
 @query()
 def move_drivers(spark, d):
-    moves = partition.refined(_start(spark, d), edges(spark, d), VARIANTS["monte_carlo"])[2]
+    moves = partition.refined(_start(spark, d), edges(spark, d), VARIANTS["monte_carlo"]).moves
     return partition.decisive_moves(moves).drop("instance")
 
 
+@query()
+def label_path(spark, d):
+    """Each row's regime at the start and after each sweep."""
+    path = kept(partition.refined(_start(spark, d), edges(spark, d), VARIANTS["monte_carlo"]).path)
+    reached = [r.iteration for r in path.select("iteration").distinct().orderBy("iteration").collect()]  # a row a sweep
+    return partition.label_path(path, reached)
+
+
+@query()
+def discover_regimes_labels(spark, d):
+    """End to end: pilot, graph, Ward, refinement with the estimator's own bandwidth, final fit."""
+    found = discover_regimes(points(spark, d), "yy", ["x1", "x2"], regimes=3, bandwidth=60, edges=edges(spark, d))
+    return found.coef.join(found.labels, "id").select("id", "regime", "b0", "b1", "b2", "fitted")
+
+
 @query()
 def lambda_sensitivity(spark, d):
-    history = partition.refined(_start(spark, d), edges(spark, d), _GRID)[1]
+    history = partition.refined(_start(spark, d), edges(spark, d), _GRID).history
     last = Window.partitionBy("instance").orderBy(F.desc("iteration"))
     return history.where("accepted").withColumn("r", F.row_number().over(last)).where("r = 1").drop("r")
 
@@ -174,7 +216,7 @@ def lambda_sensitivity(spark, d):
 @query()
 def k_sensitivity(spark, d):
     """Figures of a fit within each Ward partition, each regime with its own search."""
-    labels = graph._kept(partition.ward_labels(_slopes(spark, d), edges(spark, d), ["b1", "b2"], range(2, 7)))
+    labels = kept(partition.ward_labels(_slopes(spark, d), edges(spark, d), ["b1", "b2"], range(2, 16)))
     return searched_regimes(observed(spark, d, keep=()), labels)[0]
 
 
@@ -245,6 +287,41 @@ def edge_jump_summary(spark, d):
     return metrics.jump_summary(_edge_jumps(spark, d))
 
 
+_POOLED = "pj AS (SELECT m.term, m.model, abs(m.v - n.v) AS estimated, CASE m.term WHEN 'b0' THEN 1.0::DOUBLE ELSE abs(p.slope - q.slope) END AS \"true\" FROM cut c JOIN long m ON m.id = c.i JOIN long n ON n.id = c.j AND n.term = m.term AND n.model = m.model JOIN pts p ON p.id = c.i JOIN pts q ON q.id = c.j WHERE c.ri <> c.rj)"
+
+
+def _pooled(spark, d):
+    truth = points(spark, d).select("id", F.col("slope").alias("b1"))
+    true = metrics.jumps(graph.cut_edges(edges(spark, d), points(spark, d)).where("cut").select("i", "j"), truth, ["b1"]).select("i", "j", "jump_b1")
+    return _edge_jumps(spark, d).where("cut").join(true, ["i", "j"]).select("term", "model", F.col("jump").alias("estimated"), F.when(F.col("term") == "b0", 1.0).otherwise(F.col("jump_b1")).alias("true"))
+
+
+@query(f"SELECT model, {R('avg(estimated) / avg(\"true\")')} AS ratio FROM pj GROUP BY model", ctes=(PTS, EDGES, CUT, PAIRS, F60, F120, _MODELS, _POOLED))
+def pooled_jump_ratio(spark, d):
+    return metrics.pooled_jump_ratio(_pooled(spark, d), ["model"])
+
+
+@query(f"SELECT model, {R('avg(r)')} AS ratio FROM (SELECT model, term, avg(estimated) / avg(\"true\") AS r FROM pj GROUP BY model, term) GROUP BY model", ctes=(PTS, EDGES, CUT, PAIRS, F60, F120, _MODELS, _POOLED))
+def mean_jump_ratio(spark, d):
+    return metrics.mean_jump_ratio(_pooled(spark, d), ["model"])
+
+
+@query(f"SELECT regime, term, {R('stddev_pop(v)')} AS sd FROM (SELECT regime, unnest(['slope', 'x1', 'x2']) AS term, unnest([slope, x1, x2]) AS v FROM pts) GROUP BY regime, term", ctes=(PTS,))
+def spread_within_regimes(spark, d):
+    return metrics.spread_within(points(spark, d), ["slope", "x1", "x2"])
+
+
+_RMSE = "rm AS (SELECT label, sqrt(avg(pow(f.resid, 2))) AS a, sqrt(avg(pow(h.resid, 2))) AS b FROM f JOIN h USING (id) JOIN pts USING (id) GROUP BY label)"
+
+
+@query(f"SELECT label, {R('a')} AS a, {R('b')} AS b, {R('a - b')} AS fit_diff, {R('(b - a) / b * 100')} AS fit_pct FROM rm", ctes=(PTS, PAIRS, F60, F120, _RMSE))
+def fit_improvement(spark, d):
+    a, b = _two(spark, d)
+    rows = points(spark, d).select("id", "label").join(a.select("id", F.col("resid").alias("ra")), "id").join(b.select("id", F.col("resid").alias("rb")), "id")
+    rmse = rows.groupBy("label").agg(F.sqrt(F.avg(F.pow("ra", 2))).alias("a"), F.sqrt(F.avg(F.pow("rb", 2))).alias("b"))
+    return metrics.compared(rmse, "a", "b", "fit")
+
+
 @query(f"SELECT term, {R('avg(b - a)')} AS mean_diff, {R('median(b - a)')} AS median_diff, {R('avg(CASE WHEN b > a THEN 1.0 ELSE 0.0 END)')} AS share_greater, {R('avg(b) / avg(a)')} AS ratio_of_means FROM (SELECT term, i, j, max(CASE WHEN model = 'k120' THEN jump END) AS a, max(CASE WHEN model = 'k60' THEN jump END) AS b FROM lj WHERE cut GROUP BY term, i, j) GROUP BY term", ctes=(PTS, EDGES, CUT, PAIRS, F60, F120, _MODELS, _LONG))
 def jump_amplification(spark, d):
     wide = _edge_jumps(spark, d).where("cut").groupBy("term", "i", "j").pivot("model", ["k120", "k60"]).agg(F.first("jump"))

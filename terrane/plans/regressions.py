@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import kernel_weight, scaled
 from ..operators import local
-from ..operators.search import best, continuous_golden, curve, score_of, search
+from ..operators.metrics import criteria
+from ..operators.search import best, curve, search
 from .register import Register
 from .tables import FIXED, PAIRS, PTS, RADIUS, fit_sql, observed, points, reach_sql, read
 
@@ -43,7 +44,7 @@ def pair_distance(spark, d):
 
 @query(f"SELECT i, {R('max(sqrt(b2))')} AS b FROM ({reach_sql('30')}) GROUP BY i", ctes=(PTS, PAIRS))
 def kth_distance(spark, d):
-    return local.with_reach(local.pairs(observed(spark, d)), F.lit(30)).groupBy("i").agg(F.max(F.sqrt("b2")).alias("b"))
+    return local.with_reach(local.pairs(observed(spark, d), nearest=30), F.lit(30)).groupBy("i").agg(F.max(F.sqrt("b2")).alias("b"))
 
 
 def _kernel(name: str, weight: str) -> None:
@@ -111,19 +112,13 @@ def gwr_diagnostics(spark, d):
     return local.diagnostics(local.local_fit(obs, 60), obs)
 
 
-# Independent of the running sums: each number of neighbours is fitted by itself.
-_GRID = "(20, 40, 80, 160)"
-_BRUTE = f"""ks AS (SELECT unnest([20, 40, 80, 160])::BIGINT AS k),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS rn FROM pairs),
-reach AS (SELECT i, rn AS k, d2 AS b2 FROM ranked WHERE rn IN (SELECT k FROM ks)),
-km AS (SELECT r.i, k, any_value(fx) AS fx, any_value(fy) AS fy, sum(w) a, sum(w*x1) b, sum(w*x1*x1) c, sum(w*yy) p, sum(w*x1*yy) q FROM (
-  SELECT p.*, k, CASE WHEN d2 < b2 THEN pow(1 - d2 / b2, 2) ELSE 0 END AS w FROM pairs p JOIN reach USING (i)) r GROUP BY r.i, k),
-kf AS (SELECT k, count(*)::DOUBLE AS n, sum(pow(fy - ((c*p - b*q) + (a*q - b*p) * fx) / (a*c - b*b), 2)) AS rss, sum((c - 2*b*fx + a*fx*fx) / (a*c - b*b)) AS tr FROM km GROUP BY k)"""
+_DEVIANCE = "n * ln(rss / n) + n * (1 + ln(2 * pi()))"
 
 
-@query(f"SELECT k, {R('rss')} AS rss, {R('tr')} AS trace, {R(_AICC)} AS aicc FROM kf", ctes=(PTS, PAIRS, _BRUTE))
-def bandwidth_curve(spark, d):
-    return curve(observed(spark, d), 20, 160).where(f"k IN {_GRID}").withColumn("k", F.col("k").cast("long"))
+@query(f"SELECT n::BIGINT AS n, {R('tr')} AS enp, {R(f'{_DEVIANCE} + 2 * (tr + 1)')} AS aic, {R(_AICC)} AS aicc, {R(f'{_DEVIANCE} + (tr + 1) * ln(n)')} AS bic, {R('1 - rss / tss')} AS r2, {R('1 - rss / tss * (n - 1) / (n - tr - 1)')} AS adj_r2 {_DIAG[_DIAG.index('FROM'):]}", ctes=(PTS, PAIRS, fit_sql("f", reach_sql("60"))))
+def gwr_criteria(spark, d):
+    obs = observed(spark, d)
+    return criteria(local.diagnostics(local.local_fit(obs, 60), obs)).select("n", "enp", "aic", "aicc", "bic", "r2", "adj_r2")
 
 
 _SCAN = """s AS (SELECT i, fx, fy, u, rn AS k, """ + ", ".join(f"sum({t} * pow(u, {e})) OVER w AS {n}{e}" for n, t in (("a", "1.0"), ("b", "x1"), ("c", "x1 * x1"), ("p", "yy"), ("q", "x1 * yy")) for e in (0, 1, 2)) + """
@@ -133,6 +128,11 @@ v AS (SELECT i, k, fx, fy, """ + ", ".join(f"{n}0 - 2 * {n}1 / u + {n}2 / (u * u
 g AS (SELECT k, count(*)::DOUBLE AS n, sum(pow(fy - ((c*p - b*q) + (a*q - b*p) * fx) / (a*c - b*b), 2)) AS rss, sum((c - 2*b*fx + a*fx*fx) / (a*c - b*b)) AS tr FROM v GROUP BY k)"""
 
 
+@query(f"SELECT k::BIGINT AS k, {R('rss')} AS rss, {R('tr')} AS trace, {R(_AICC)} AS aicc FROM g WHERE k BETWEEN 20 AND 160", ctes=(PTS, PAIRS, _SCAN.replace("(SELECT greatest(3, ceil(0.05 * count(*))) FROM pts)", "20")))
+def bandwidth_curve(spark, d):
+    return curve(observed(spark, d), 20, 160).withColumn("k", F.col("k").cast("long"))
+
+
 @query(f"SELECT k::BIGINT AS k, {R('aicc')} AS aicc FROM (SELECT k, {_AICC} AS aicc FROM g) ORDER BY aicc, k LIMIT 1", ctes=(PTS, PAIRS, _SCAN))
 def bandwidth_best(spark, d):
     return best(curve(observed(spark, d))).select(F.col("k").cast("long").alias("k"), "aicc")
@@ -146,8 +146,7 @@ def bandwidth_compat_trace(spark, d):
 
 @query()
 def bandwidth_fixed_golden(spark, d):
-    obs = observed(spark, d).cache()
-    found, _, trace = continuous_golden(lambda b: score_of(local.local_fit(obs, b, strict=True)), 3.0, 24.0, tol=2e-2)
+    found, _, trace = search(observed(spark, d), counts=False)
     return spark.createDataFrame([(float(a), float(b), a == found) for a, b in trace], "bandwidth double, aicc double, chosen boolean")
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from terrane.config import VARIANTS, Local
 from terrane.functions.columns import scaled
-from terrane.operators import graph, local, partition
-from terrane.operators.search import best, continuous_golden, curve, discrete_golden, search
+from terrane.operators import graph, local, metrics, partition
+from terrane.operators.search import best, continuous_golden, curve, discrete_golden, scores_of, search
 
 HERE = Path(__file__).parent / "fixtures"
 TERMS = ["PctFB", "PctBlack", "PctRural"]
@@ -78,6 +78,20 @@ def test_curve_matches_single_fits(obs):
         assert (r.rss, r.trace, r.aicc) == tuple(pytest.approx(x, rel=1e-9) for x in (one.rss, one.trace, one.aicc))
 
 
+def test_criteria_are_the_published_ones(obs):
+    fit = metrics.criteria(local.diagnostics(local.local_fit(obs, 117, boundary="factor"), obs)).first()
+    assert (fit.aic, fit.bic) == (pytest.approx(296.61592295199813, rel=1e-11), pytest.approx(335.91253454413345, rel=1e-11))
+
+
+def test_other_kernels_score_in_batches(obs, monkeypatch):
+    got = {r.k: r.aicc for r in scores_of(obs, [40, 60, 90], "gaussian").collect()}
+    for k, score in got.items():
+        one = local.diagnostics(local.local_fit(obs, k, "gaussian", strict=True), obs).first()
+        assert score == pytest.approx(one.aicc, rel=1e-9)
+    k, score, trace = search(obs, "exponential", low=20, high=70)
+    assert len(trace) == 51 and score == min(v for _, v in trace) and dict(trace)[k] == score
+
+
 def test_graph_of_counties(spark, counties, edges):
     row = graph.graph_summary(counties, edges).first()
     assert (row.n_nodes, row.n_edges, row.degree_min, row.degree_max, row.degree_median, row.isolates) == (159, 431, 1, 11, 5, 0)
@@ -110,13 +124,15 @@ def test_ward_partitions_equal_published_ones(spark, counties, edges, obs):
 @pytest.mark.parametrize(("penalty", "accepted", "stop", "cuts", "rss", "trace"), [(0.05, 3, "no_label_changes", 113, 37.98060092498951, 38.1368274835972), (1.0, 8, "no_label_changes", 72, 41.20062506751219, 40.6905596659233), (0.2, 3, "objective_guard", 87, 37.50947828217361, 41.833142371488066)])
 def test_refinement_of_counties(obs, edges, penalty, accepted, stop, cuts, rss, trace):
     name = f"{penalty:g}"
-    labels, history, moves = partition.refined(obs, edges, {name: replace(VARIANTS["county"], penalty=penalty)})
+    labels, history, moves, path = partition.refined(obs, edges, {name: replace(VARIANTS["county"], penalty=penalty)})
     h = history.where("accepted").orderBy("iteration").toPandas()
     last = h.iloc[-1]
     assert (len(h) - 1, last.stop, last.cut_edges) == (accepted, stop, cuts)
     assert (last.rss, last.trace) == (pytest.approx(rss, rel=1e-9), pytest.approx(trace, rel=1e-9))
     want = pd.read_csv(HERE / "georgia_final_labels.csv")[f"lambda_{name}"].tolist()
     assert [r.regime for r in labels.orderBy("id").collect()] == want
+    ends = partition.label_path(path, range(accepted + 1)).orderBy("id").collect()
+    assert [r.final for r in ends] == want and ends[0].asDict().keys() == {"id", "start", *(f"after_{k}" for k in range(1, accepted + 1)), "final"}
     assert {r.node for r in moves.collect()} >= {r.id for r in labels.where("initial <> regime").collect()}
 
 

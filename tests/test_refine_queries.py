@@ -7,4 +7,4 @@ def test_refinements_end_by_their_stopping_rule(spark):
     stops = {r.stop for r in regimes.refine_history(spark, "/root/testdata/sf0.001").collect()}
     assert stops == {"no_label_changes"}
     ends = regimes.lambda_sensitivity(spark, "/root/testdata/sf0.001").collect()
-    assert len(ends) == 3 and all(r.stop != "max_iterations" for r in ends)
+    assert len(ends) == 9 and all(r.stop != "max_iterations" for r in ends)
