@@ -2,63 +2,26 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import dropped as released
+from ..tables import kept as written
+from ..tables import shared_folder as shared_dir
+
+__all__ = ["released", "shared_dir", "slices", "table", "utf8", "within", "written"]
+
 #: Bytes of text that a vectorised step handles at once.
 SLICE = 1 << 19
-_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, in
-    a local session without one, a temporary one. On a cluster it must be set."""
-    context, path = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
-    if not path and context.getCheckpointDir() is None and not re.match(r"local(\[[^,]*\])?$", context.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="shared-"))
-    return path or context.getCheckpointDir()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Computed now, kept as a Parquet table in the shared folder, lineage cut there.
-
-    The shuffle files that made it go when it is written: a held DataFrame
-    would keep them, and they aren't needed again.
-    """
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = f"{shared_dir(spark)}/{uuid.uuid4().hex}", spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-def released(*tables: DataFrame | None) -> None:
-    """Removes tables made by written() that nothing will read again; others, and none, are left alone."""
-    for df in tables:
-        if df is not None and (path := _PATHS.pop(df, None)):
-            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and its n + 1 offsets; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):
