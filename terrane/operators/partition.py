@@ -205,7 +205,7 @@ class Instance:
             rss, cuts = float(resid @ resid), self.cuts(z)
             return {"iteration": number, "accepted": True, "changes": changes, "rss": rss, "trace": float(hat.sum()), "cut_edges": cuts, "objective": rss + how.penalty * cuts, "sizes": ";".join(str(int(c)) for c in np.unique(z, return_counts=True)[1])}
 
-        history, moves, path = [record(0, labels, 0)], [], [(0, labels)]
+        history, moves, path = [record(0, labels, 0)], [], [(how.first - 1, labels)]
         for number in range(how.first, how.first + how.sweeps):
             z, proposed = self.sweep(labels, number)
             changes = int((z != labels).sum())
@@ -282,7 +282,7 @@ _RECORDS = {
 
 class Refined(NamedTuple):
     """labels (instance, id, initial, regime), history and moves of a refinement, and path: the labels (instance, iteration, id, regime)
-    at the start (iteration 0, or one before the first sweep) and after each accepted sweep."""
+    at the start (one before the first sweep's number) and after each accepted sweep."""
 
     labels: DataFrame
     history: DataFrame

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import closing
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +42,64 @@ def json_objects(spark: SparkSession, folder: str, pattern: str = "scenario_*.js
     return rows if n is None else assert_count(rows, n, "objects")
 
 
+def _at(path: str | Path):
+    """A path in the session's file systems, and its file system."""
+    context = SparkSession.active().sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(str(path))
+    return where, where.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def _write_text(path: str | Path, text: str) -> None:
+    where, fs = _at(path)
+    with closing(fs.create(where, True)) as out:
+        out.write(bytearray(text.encode()))
+
+
 def artifact(path: str | Path, *keys: str) -> object | None:
-    """A value within a JSON file on the driver; None if the file or a key is missing."""
-    if not Path(path).exists():
+    """A value within a small JSON file, read by the driver; None if the file or a key is missing."""
+    where, fs = _at(path)
+    if not fs.exists(where):
         return None
-    value = json.loads(Path(path).read_text())
+    with closing(fs.open(where)) as file:
+        value = json.loads(SparkSession.active()._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
     for k in keys:
         value = value.get(k) if isinstance(value, dict) else None
     return value
 
 
+#: The code of polygons in shapefiles, with and without further coordinates.
+POLYGONS = (5, 15, 25)
+
+
+def _outlines(raw: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(number of the record from 0, number of the ring, points) of a shapefile's polygons."""
+    at, record = 100, 0
+    while at + 8 <= len(raw):
+        words = int.from_bytes(raw[at + 4 : at + 8], "big")
+        body = raw[at + 8 : at + 8 + 2 * words]
+        if len(body) >= 44 and int.from_bytes(body[:4], "little") in POLYGONS:
+            rings, points = np.frombuffer(body, "<i4", 2, 36)
+            starts = [*np.frombuffer(body, "<i4", rings, 44).tolist(), int(points)]
+            xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * rings).reshape(-1, 2)
+            for ring, (a, b) in enumerate(zip(starts, starts[1:])):
+                yield record, ring, xy[a:b]
+        at, record = at + 8 + 2 * words, record + 1
+
+
+def shapefile_vertices(spark: SparkSession, path: str, pattern: str = "*.shp") -> DataFrame:
+    """(file, area, ring, seq, vx, vy) of the polygons of shapefiles under a path; area is the number of a record from 0. A file is a task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                for area, ring, xy in _outlines(raw):
+                    n = len(xy)
+                    yield pa.RecordBatch.from_pydict({"file": [name.rpartition("/")[2]] * n, "area": np.full(n, area), "ring": np.full(n, ring), "seq": np.arange(n), "vx": xy[:, 0], "vy": xy[:, 1]})
+
+    return files.mapInArrow(run, "file string, area long, ring long, seq long, vx double, vy double")
+
+
 def vertex_table(df: DataFrame, area: str, rings: str) -> DataFrame:
     """(area, seq, vx, vy) of polygons held as arrays of points with fields x and y."""
     flat = df.select(F.col(area).alias("area"), F.posexplode(rings).alias("seq", "v"))
@@ -63,11 +114,12 @@ def column_named(df: DataFrame, name: str) -> str:
     return found[0]
 
 
-def resolve(*candidates: str | Path) -> Path:
-    """The first of the paths that exists."""
+def resolve(*candidates: str | Path) -> str | Path:
+    """The first of the paths that exists in the session's file systems."""
     for p in candidates:
-        if Path(p).exists():
-            return Path(p)
+        where, fs = _at(p)
+        if fs.exists(where):
+            return p
     raise FileNotFoundError(", ".join(map(str, candidates)))
 
 
@@ -94,12 +146,14 @@ def write_json(summary: Mapping | DataFrame, path: str | Path) -> None:
     if isinstance(summary, DataFrame):
         (row,) = summary.limit(2).collect()
         summary = row.asDict(recursive=True)
-    Path(path).write_text(json.dumps(_plain(summary), indent=2) + "\n")
+    _write_text(path, json.dumps(_plain(summary), indent=2) + "\n")
 
 
-def write_report(df: DataFrame, path: str | Path, title: str) -> None:
-    """A small table as Markdown."""
+def write_report(df: DataFrame, path: str | Path, title: str, most: int = 1000) -> None:
+    """A small table as Markdown. One of more than `most` rows is refused: write it as CSV."""
     show = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has {most} rows at most")
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    lines += ["| " + " | ".join(map(show, r)) + " |" for r in df.collect()]
-    Path(path).write_text("\n".join(lines) + "\n")
+    _write_text(path, "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in rows)]) + "\n")

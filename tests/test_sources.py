@@ -18,7 +18,7 @@ from terrane.streaming import windowed_means
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Plans of many small jobs, run by the bench and the driver.
-SLOW = {"multiscale_gwr", "mst_edges", "knn_mst_graph", "bandwidth_fixed_golden", "ward_diagnostics", "ward_merge_cost"}
+SLOW = {"multiscale_gwr", "knn_mst_graph", "bandwidth_fixed_golden", "ward_merge_cost"}
 
 
 def values(df):
@@ -36,6 +36,28 @@ def duck():
     return con
 
 
+def test_polygons_of_a_shapefile(spark, tmp_path):
+    squares = [[(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0), (0.0, 0.0)], [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (1.0, 1.0)]]
+    body = []
+    for k, rings in enumerate([[squares[0]], [squares[1], squares[0]], []]):
+        if rings:
+            starts = np.cumsum([0, *(len(r) for r in rings)])
+            content = np.array([5], "<i4").tobytes() + bytes(32) + np.array([len(rings), starts[-1], *starts[:-1]], "<i4").tobytes() + np.array([p for r in rings for p in r], "<f8").tobytes()
+        else:
+            content = np.array([0], "<i4").tobytes()  # a null shape
+        body.append(np.array([k + 1, len(content) // 2], ">i4").tobytes() + content)
+    (tmp_path / "areas.shp").write_bytes(bytes(100) + b"".join(body))
+    got = sources.shapefile_vertices(spark, str(tmp_path)).orderBy("area", "ring", "seq").collect()
+    assert [(r.area, r.ring, r.seq, (r.vx, r.vy)) for r in got] == [(a, k, n, p) for a, rings in ((0, [squares[0]]), (1, [squares[1], squares[0]])) for k, ring in enumerate(rings) for n, p in enumerate(ring)]
+    assert got[0].file == "areas.shp"
+    assert graph.contiguity_edges(sources.shapefile_vertices(spark, str(tmp_path)), "area").count() == 1
+
+
+def test_long_reports_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="at most"):
+        sources.write_report(spark.range(11), tmp_path / "r.md", "Long", most=10)
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - SLOW))
 def test_query(spark, duck, name):
     got = catalogue.QUERIES[name](spark, DATA).toPandas()
