@@ -76,10 +76,10 @@ def interval95(value: str, prefix: str) -> list[Column]:
 def dense_labels(df: DataFrame, label: str = "regime", out: str | None = None, start: int = 0) -> DataFrame:
     """Labels as start, start + 1, ... in the order of the old ones; one row a label is ranked, not the table."""
     ranks = df.select(label).distinct().withColumn("_r", F.dense_rank().over(Window.orderBy(label)) - 1 + start)
-    return df.join(F.broadcast(ranks), label).withColumn(out or label, F.col("_r").cast("long")).drop("_r")
+    return df.join(ranks, label).withColumn(out or label, F.col("_r").cast("long")).drop("_r")
 
 
 def labels_by_centroid(df: DataFrame, label: str = "regime", x: str = "px", out: str | None = None, start: int = 1) -> DataFrame:
     """Labels as start, start + 1, ... in the order of the regimes' mean x, then of the old labels."""
     ranks = df.groupBy(label).agg(F.avg(x).alias("_c")).withColumn("_r", F.row_number().over(Window.orderBy("_c", label)) - 1 + start)
-    return df.join(F.broadcast(ranks.drop("_c")), label).withColumn(out or label, F.col("_r").cast("long")).drop("_r")
+    return df.join(ranks.drop("_c"), label).withColumn(out or label, F.col("_r").cast("long")).drop("_r")

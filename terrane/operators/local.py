@@ -206,7 +206,7 @@ def regime_sizes(obs: DataFrame, bandwidth: str | int | Mapping[int, int], regim
 
 def regime_fit(obs: DataFrame, bandwidth: str | int | Mapping[int, int] = "regime_size", kernel: str = "bisquare", regime: str = "regime") -> DataFrame:
     """A local regression at each row among the rows of its regime; distances are ranked within it."""
-    table = pairs(obs, within=regime).join(F.broadcast(regime_sizes(obs, bandwidth, regime).select(regime, "k")), regime)  # one row a regime
+    table = pairs(obs, within=regime).join(regime_sizes(obs, bandwidth, regime).select(regime, "k"), regime)
     return _finished(with_reach(table, F.col("k")), n_terms(obs), kernel)
 
 

@@ -161,7 +161,7 @@ def neighbour_disagreement(spark, d):
 def cut_objective(spark, d):
     pts = points(spark, d)
     coef = local.ols(local.observations(pts, "yy", ["x1"], keep=["regime"]), ["regime"])
-    rss = pts.join(F.broadcast(coef), "regime").agg(F.sum(F.pow(F.col("yy") - F.col("b0") - F.col("b1") * F.col("x1"), 2)).alias("rss"))
+    rss = pts.join(coef, "regime").agg(F.sum(F.pow(F.col("yy") - F.col("b0") - F.col("b1") * F.col("x1"), 2)).alias("rss"))
     cuts = graph.cut_edges(edges(spark, d), pts).agg(F.sum(F.col("cut").cast("long")).alias("cuts"))
     return rss.crossJoin(cuts).withColumn("objective", F.round("rss", 6) + 0.5 * F.col("cuts"))  # one row each
 
