@@ -64,7 +64,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
     taken = copies * size: the whole repeats, and one more if the document's
     place lies under its source's threshold. The source's words then differ
     from its target by at most half of one bucket of the last level, as a rule
-    half a document. Null texts have size 0; a null source is a source; rows
+    half a document. No row is taken more than `most` times. Null texts have size 0; a null source is a source; rows
     that agree in id and text share a place; other columns are kept as they are.
     """
     src, none, at, size, q = within(docs.columns, "src", "none", "place", "size", "mixed")
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
     limits = sums.join(state.select("src", "none", "target", "whole", F.col("prefix").alias("limit")), ["src", "none"], "left")
     limits = limits.select(F.col("src").alias(src), F.col("none").alias(none), F.struct("source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("limit", F.lit(0)).alias("limit")).alias(q))
     joined = full.join(F.broadcast(limits) if few else limits, [src, none])
-    copies = F.col(f"{q}.whole") + F.when(F.col(at) < F.col(f"{q}.limit"), 1).otherwise(0)
+    copies = F.least(F.col(f"{q}.whole") + F.when(F.col(at) < F.col(f"{q}.limit"), 1).otherwise(0), F.lit(most))
     found = F.struct(F.col(size).alias("size"), F.col(f"{q}.source_size").alias("source_size"), F.col(f"{q}.target").alias("target"), copies.alias("copies"), (copies * F.col(size)).alias("taken"))
     return joined.withColumn(q, found).select(*docs.columns, q), q
 

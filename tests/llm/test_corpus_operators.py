@@ -180,6 +180,13 @@ def test_mix_follows_sql(spark, docs):
     assert mixing.mix(docs.where("text IS NULL"))[0].count() == 1
 
 
+def test_no_row_is_taken_too_often(spark):
+    df = spark.createDataFrame([(i, "" if i % 2 else "a b", "small") for i in range(40)] + [(100 + i, "w " * 500, "large") for i in range(20)], "doc_id long, text string, source string")
+    mixed, q = mixing.mix(df)
+    copies = [r.copies for r in mixed.where("source = 'small'").select(f"{q}.copies").collect()]
+    assert max(copies) == 3 and len(copies) == 40
+
+
 def test_targets_stop_and_reshare(spark):
     sizes = spark.createDataFrame([("a", False, 10), ("b", False, 500), ("c", False, 400), ("d", False, 0), ("", True, 90)], "src string, none boolean, source_size long")
     got = {r.src or "null": r.target for r in mixing.targets(sizes).collect()}
