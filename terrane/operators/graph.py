@@ -73,17 +73,22 @@ def spanning_tree(points: DataFrame, x: str = "px", y: str = "py", key: str = "i
     flat = max(ends.w or 0.0, ends.h or 0.0)
     radius = 2.5 * math.sqrt(max(ends.w, flat / ends.n) * max(ends.h, flat / ends.n) / ends.n) if flat else 1.0
     while True:
-        ways, more = kept(_ways(at, comp, radius)), True
-        while more:
-            out = ways.join(comp.select(F.col("node").alias("i"), F.col("root").alias("ri")), "i").join(comp.select(F.col("node").alias("j"), F.col("root").alias("rj")), "j").where("ri <> rj")
-            each = out.select(F.explode(F.array("ri", "rj")).alias("root"), "d", "i", "j")
-            chosen = kept(each.groupBy("root").agg(F.min(F.struct("d", "i", "j")).alias("e")).select("e.i", "e.j", "e.d").distinct())
-            if more := not chosen.isEmpty():
-                before, tree = tree, kept(chosen if tree is None else tree.unionByName(chosen).distinct())
-                old, comp = comp, kept(components(points.select(F.col(key).alias("id")), tree))
-                dropped(before, old)
-            elif tree is None:
-                tree = chosen
+        ways = kept(_ways(at, comp, radius).join(comp.select(F.col("node").alias("i"), F.col("root").alias("ri")), "i").join(comp.select(F.col("node").alias("j"), F.col("root").alias("rj")), "j"))
+        while True:
+            each = ways.select(F.explode(F.array("ri", "rj")).alias("root"), F.struct("d", "i", "j", "ri", "rj").alias("e"))
+            chosen = kept(each.groupBy("root").agg(F.min("e").alias("e")).select("e.*").distinct())
+            if tree is None:
+                tree = chosen.select("i", "j", "d")
+            if chosen.isEmpty():
+                break
+            tree, before = kept(tree.unionByName(chosen.select("i", "j", "d")).distinct()), (tree, ways, comp)
+            # components of components: their nodes are the roots, and the edges those just chosen
+            new = kept(components(chosen.select(F.explode(F.array("ri", "rj")).alias("id")).distinct(), chosen.select(F.col("ri").alias("i"), F.col("rj").alias("j"))))
+            to = lambda c: new.select(F.col("node").alias(c), F.col("root").alias(f"{c}_new"))  # noqa: B023, E731
+            comp = kept(comp.join(to("root"), "root", "left").select("node", F.coalesce("root_new", "root").alias("root")))
+            moved = ways.join(to("ri"), "ri", "left").join(to("rj"), "rj", "left")
+            ways = kept(moved.select("i", "j", "d", F.coalesce("ri_new", "ri").alias("ri"), F.coalesce("rj_new", "rj").alias("rj")).where("ri <> rj"))
+            dropped(*before, chosen, new)
         dropped(ways)
         if radius > 2 * flat or comp.select("root").distinct().limit(2).count() < 2:
             return tree
@@ -93,12 +98,7 @@ def spanning_tree(points: DataFrame, x: str = "px", y: str = "py", key: str = "i
 def components(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating star contractions."""
     hung = kept(canonical(edges).select(F.col("j").alias("a"), F.col("i").alias("b")))
-    state = None
-    while True:
-        now = hung.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
+    while not _stars(hung):
         both = hung.unionByName(hung.select(F.col("b").alias("a"), F.col("a").alias("b")))
         before, low = hung, both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -109,6 +109,13 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame
     return nodes.select(F.col(key).alias("node")).join(hung.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def _stars(hung: DataFrame) -> bool:
+    """Whether every node (a) hangs under one other (b), which hangs under none."""
+    once = hung.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    under = hung.select(F.col("b").alias("a")).distinct().withColumn("holds", F.lit(True))
+    return once.join(under, "a", "left").where("n > 1 or holds").isEmpty()
+
+
 def degrees(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     counts = both_ways(edges).groupBy(F.col("i").alias(key)).agg(F.count(F.lit(1)).alias("degree"))
     return nodes.select(key).join(counts, key, "left").select(key, F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))

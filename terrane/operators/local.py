@@ -42,9 +42,9 @@ def n_terms(obs: DataFrame) -> int:
 _COARSER = 4
 
 
-def rings(points: DataFrame, k: int, x: str = "px", y: str = "py") -> tuple[DataFrame, float] | None:
-    """(cx, cy, level, ring) of each cell that has points, and the cells' side: the k nearest points of any point of a cell
-    lie at most ring cells of that level away. None if there are so few points that cells would ask for most of them.
+def rings(points: DataFrame, k: int, x: str = "px", y: str = "py") -> tuple[DataFrame, float, list[int]] | None:
+    """(cx, cy, level, ring) of each cell that has points, the cells' side, and the levels in use: the k nearest points of
+    any point of a cell lie at most ring cells of that level away. None if there are so few points that cells would ask for most of them.
 
     Cells hold about k / 4 points each; those of each level are four times as wide as those before. Cells are counted, not
     points: blocks around a cell widen until they hold k points, and a point's k-th nearest is then no farther than the
@@ -57,7 +57,7 @@ def rings(points: DataFrame, k: int, x: str = "px", y: str = "py") -> tuple[Data
     flat = max(wide, high)
     side = math.sqrt(max(wide, flat / ends.n) * max(high, flat / ends.n) * k / (4 * ends.n)) or 1.0
     cells = kept(points.groupBy(F.floor(F.col(x) / side).alias("cx"), F.floor(F.col(y) / side).alias("cy")).agg(F.count(F.lit(1)).alias("n")))
-    todo, done, level = cells.select("cx", "cy"), None, 0
+    todo, done, level, levels = cells.select("cx", "cy"), None, 0, []
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(max(abs(a), abs(b))).alias("m")) for a in range(-2, 3) for b in range(-2, 3)))
     while True:
         at = lambda c: F.floor(F.col(c) / _COARSER**level)  # noqa: B023, E731
@@ -70,8 +70,10 @@ def rings(points: DataFrame, k: int, x: str = "px", y: str = "py") -> tuple[Data
         ready = placed.where("m is not null").select("cx", "cy", F.lit(level).alias("level"), F.ceil((F.col("m") + 1) * math.sqrt(2)).cast("int").alias("ring"))
         done = ready if done is None else done.unionByName(ready)
         todo = placed.where("m is null").select("cx", "cy")
-        if todo.isEmpty():
-            return done, side
+        every, told = placed.agg(F.count(F.lit(1)), F.count("m")).first()
+        levels += [level] if told else []
+        if told == every:
+            return done, side, levels
         level += 1
 
 
@@ -79,8 +81,7 @@ def near_pairs(focal: DataFrame, other: DataFrame, k: int, points: DataFrame, x:
     """focal (f_x, f_y ..) joined with the rows of other (x, y ..) that may be among its k nearest; all of them are."""
     if (found := rings(points, k, x, y)) is None:
         return focal.crossJoin(other)  # up to four times k rows
-    ring, side = found
-    levels = sorted(r.level for r in ring.select("level").distinct().collect())  # a logarithm of the extent
+    ring, side, levels = found
     cell = lambda c: F.floor(F.col(c) / side)
     step, scale = F.sequence(-F.col("ring"), F.col("ring")), F.pow(F.lit(_COARSER), F.col("level"))
     coarse = lambda c: F.floor(F.col(c) / scale).cast("long")
