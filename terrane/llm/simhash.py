@@ -7,20 +7,19 @@ each class has a row of Hamming distances to many reference fingerprints; by
 the triangle inequality two classes whose rows differ anywhere by more than
 the limit are too far apart, and only what is left is verified on the bits. A
 bucket emits a link to one of its members for each other member that it can
-reach, not its pairs, and a member that is reached is not compared again. Links
-that are still to be verified aren't thinned: what isn't one class yet is asked.
+reach, not its pairs, and a member that is reached is not compared again.
 
 Up to three differing bits are found without a miss: six blocks of bits, and a
 table for each three of them (three differing bits leave three blocks equal).
-For a similarity of shingle sets, fingerprints are wider, tables take bits at
-fixed random places, and pairs near the limit are verified on their shingles;
-see near_classes().
+For a similarity of shingle sets, fingerprints are wider and of distinct
+shingles, tables take bits at fixed random places, and each link is verified on
+the sets; what isn't one class by then is asked again; see near_classes().
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import released, table, utf8, within, written
-from .components import components
 
 REFERENCES, WIDTH = 12, 8
 #: Bits of a table's key at least, classes that a key of unrelated texts should have at most, and the share of pairs just
 #: similar enough that all tables together may miss.
 KEY_BITS, IN_BUCKET, MISSED = 20, 64, 0.0875
-#: Rows that a row of a bucket is verified against in the first turn.
-ASKED = 1
-_LINK = ["a", "b", "sure", "t", "key"]
+#: Rows of a bucket up to which all its pairs are verified at once, and rows that one of a larger bucket is verified against in the first turn.
+SMALL, ASKED = 32, 16
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -71,7 +69,10 @@ def majority(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> np.ndarray:
     """lanes numbers of 64 bits. The first takes XXH64 with seed 42; each further one remixes that hash."""
-    hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, words)], np.uint64)
+    return _fingerprint_of(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, words)], np.uint64), lanes)
+
+
+def _fingerprint_of(hashes: np.ndarray, lanes: int) -> np.ndarray:
     if not len(hashes):
         return np.zeros(lanes, np.uint64)
     mixed = np.empty((lanes, len(hashes)), np.uint64)
@@ -85,6 +86,11 @@ def fingerprint(text: bytes, words: int = 3, lanes: int = 1) -> np.ndarray:
     return majority(mixed)
 
 
+def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, words)], np.uint64))
+
+
 def fingerprints(texts: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
     """All columns of texts but text, and fp: a long, or lanes * 8 bytes if lanes > 1."""
     rest = [c for c in texts.columns if c != "text"]
@@ -102,6 +108,23 @@ def fingerprints(texts: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
     return texts.mapInArrow(run, schema + (", fp long" if lanes == 1 else ", fp binary"))
 
 
+def set_fingerprints(texts: DataFrame, words: int = 5, lanes: int = WIDTH) -> DataFrame:
+    """All columns of texts but text, sk (16 bytes that tell the set of shingles) and fp (lanes * 8 bytes, of distinct shingles)."""
+    rest = [c for c in texts.columns if c != "text"]
+
+    def run(batches):
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            raw = data.tobytes()
+            sets = [shingle_set(raw[a:b], words) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            sk = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            fp = pa.array([_fingerprint_of(x, lanes).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), sk, fp], [*rest, "sk", "fp"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
+    return texts.mapInArrow(run, schema + ", sk binary, fp binary")
+
+
 def pivot_table(bits: np.ndarray) -> np.ndarray:
     """Hamming distances of each fingerprint (row of 64 bit lanes) to the reference fingerprints."""
     references = np.random.default_rng(11).integers(0, 1 << 64, (REFERENCES, bits.shape[1]), np.uint64, endpoint=False)
@@ -139,7 +162,7 @@ def reach(bits: np.ndarray, distances: np.ndarray, most: int) -> np.ndarray:
 
 
 def unsure(bits: np.ndarray, distances: np.ndarray, root: np.ndarray, most: int, turn: int = 0, known: np.ndarray | None = None):
-    """(x, rows, more) for each row x outside the largest component: what it is to be verified against in this turn.
+    """(x, rows, more) for each row x outside the largest class: what it is to be verified against in this turn.
 
     The rows outside its component within so many differing bits, closest
     first, are taken ASKED at a time, four times as many each turn. Those known
@@ -147,8 +170,8 @@ def unsure(bits: np.ndarray, distances: np.ndarray, root: np.ndarray, most: int,
     """
     known = root if known is None else known
     first, last = (ASKED * 4 ** (turn - 1) if turn else 0), ASKED * 4**turn
-    names, counts = np.unique(root, return_counts=True)
-    for x in np.flatnonzero(root != names[counts.argmax()]).tolist():
+    names, counts = np.unique(known, return_counts=True)
+    for x in np.flatnonzero(known != names[counts.argmax()]).tolist():
         near = np.flatnonzero(root != root[x])
         for row in distances:
             near = near[np.abs(row[near] - row[x]) <= most]
@@ -164,87 +187,118 @@ def unsure(bits: np.ndarray, distances: np.ndarray, root: np.ndarray, most: int,
             yield x, now, more
 
 
-def _bucket_links(lanes: int, most: int, perhaps: int = 0, turn: int = 0):
-    """Of (t, key, fp) sorted by all three: links (a, b) between classes of a bucket. sure is false
-    for those of over `most` and up to `perhaps` differing bits, which are to be verified on the texts.
+def _lanes_of(column: pa.Array, lanes: int) -> np.ndarray:
+    if lanes == 1:
+        return column.to_numpy().view(np.uint64).reshape(-1, 1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, lanes)
 
-    A bucket that has more of these than a turn asks for gives a row of its t and key, without a
-    link. Turns after the first take such buckets again, with one more column: known, the class so far."""
 
-    def lanes_of(column) -> np.ndarray:
-        if lanes == 1:
-            return column.to_numpy().view(np.uint64).reshape(-1, 1)
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, lanes)
+def _buckets(batches, lanes: int, others: tuple[str, ...] = ()):
+    """Of rows (t, key, fp and others) sorted by t and key: (bits, keys, others, groups) of whole buckets of two rows and more. One bucket is held."""
+    held, at = [], None  # parts of the bucket that may go on
 
-    def ends_of(x: np.ndarray) -> pa.Array:
-        return pa.array(x[:, 0].view(np.int64)) if lanes == 1 else pa.array([r.tobytes() for r in x], pa.binary())
+    def closed():
+        if sum(len(part[0]) for part in held) > 1:
+            bits, keys, *rest = zip(*held)
+            yield np.concatenate(bits), np.concatenate(keys, 1), [np.concatenate(x) for x in rest], [(0, sum(map(len, bits)))]
 
-    def made(a: list, b: list, sure: list) -> pa.RecordBatch:
-        a, b, sure = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
-        none = [pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())]
-        return pa.RecordBatch.from_arrays([ends_of(a), ends_of(b), pa.array(sure), *none], _LINK)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column("t").to_numpy(), batch.column("key").to_numpy()])
+        every = [_lanes_of(batch.column("fp"), lanes), *(batch.column(c).to_numpy(zero_copy_only=False) for c in others)]
+        edges = np.concatenate([[0], 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)), [batch.num_rows]])
+        part = lambda i, j: (every[0][i:j], keys[:, i:j], *(x[i:j] for x in every[1:]))  # noqa: B023, E731
+        if at is not None and (keys[:, 0] == at).all():
+            held.append(part(0, edges[1]))
+            edges = edges[1:]
+        if len(edges) > 1:  # the held bucket is whole, and the last one of this batch is held
+            yield from closed()
+            sizes = np.diff(edges[:-1])
+            yield every[0], keys, every[1:], [(int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(sizes > 1)]
+            held, at = [part(edges[-2], edges[-1])], keys[:, -1]
+    yield from closed()
+
+
+def _bucket_links(most: int):
+    """Of (t, key, fp) sorted by t and key: links (a, b) between 64 bit fingerprints of a bucket, one for each that is reached from another."""
 
-    def links(bits: np.ndarray, known: np.ndarray, keys: np.ndarray, groups: list[tuple[int, int]]):
-        table, limit = pivot_table(bits), max(most, perhaps)
-        a, b, sure, left = [], [], [], []
-        if not turn:
+    def run(batches):
+        for bits, _, _, groups in _buckets(batches, 1):
+            distances, a, b = pivot_table(bits), [], []
             two = np.array([i for i, j in groups if j - i == 2], int)
-            two = two[(np.abs(table[:, two] - table[:, two + 1]) <= limit).all(0)]
-            d = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1)
-            two, d = two[d <= limit], d[d <= limit]
-            a, b, sure = [bits[two]], [bits[two + 1]], [d <= most]
-        held = 0
-        for i, j in groups:
-            if j - i == 2 or j - i <= 64 and not _may_link(table[:, i:j], limit):
-                continue
-            root = reach(bits[i:j], table[:, i:j], most)
-            if not turn:
-                moved = np.flatnonzero(root != np.arange(j - i))
-                a, b, sure = [*a, bits[i + moved]], [*b, bits[i + root[moved]]], [*sure, np.ones(len(moved), bool)]
-            open_ = False
-            for x, now, more in unsure(bits[i:j], table[:, i:j], root, perhaps, turn, known[i:j] if turn else None) if perhaps else ():
-                open_ |= more
-                a.append(np.broadcast_to(bits[i + x], (len(now), lanes)))
-                b.append(bits[i + now])
-                sure.append(np.zeros(len(now), bool))
-                held += len(now)
-                if held > 1 << 16:
-                    yield made(a, b, sure)
-                    a, b, sure, held = [], [], [], 0
-            if open_:
-                left.append(keys[:, i])
-        if sum(map(len, a)):
-            yield made(a, b, sure)
-        if left:
-            t, key = np.array(left).T
-            no = pa.nulls(len(left), pa.int64() if lanes == 1 else pa.binary())
-            yield pa.RecordBatch.from_arrays([no, no, pa.array(np.zeros(len(left), bool)), pa.array(t, pa.int32()), pa.array(key, pa.int64())], _LINK)
+            two = two[(np.abs(distances[:, two] - distances[:, two + 1]) <= most).all(0)]
+            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1) <= most]
+            a, b = [two], [two + 1]
+            for i, j in groups:
+                if j - i > 2 and (j - i > 64 or _may_link(distances[:, i:j], most)):
+                    root = reach(bits[i:j], distances[:, i:j], most)
+                    moved = np.flatnonzero(root != np.arange(j - i))
+                    a, b = [*a, i + moved], [*b, i + root[moved]]
+            a, b = np.concatenate(a), np.concatenate(b)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(bits[x, 0].view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    def run(batches):
-        held, at = [], None  # parts of the bucket that may go on
+    return run
 
-        def closed():
-            if sum(len(part[0]) for part in held) > 1:
-                bits, known = (np.concatenate(x) for x in list(zip(*held))[:2])
-                yield from links(bits, known, np.concatenate([part[2] for part in held], 1), [(0, len(bits))])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column("t").to_numpy(), batch.column("key").to_numpy()])
-            bits = lanes_of(batch.column("fp"))
-            known = batch.column("known").to_numpy(zero_copy_only=False) if turn else np.zeros(len(bits), np.int8)
-            edges = np.concatenate([[0], 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)), [len(bits)]])
-            part = lambda i, j: (bits[i:j], known[i:j], keys[:, i:j])
-            if at is not None and (keys[:, 0] == at).all():
-                held.append(part(0, edges[1]))
-                edges = edges[1:]
-            if len(edges) > 1:  # the held bucket is whole, and the last one of this batch is held
-                yield from closed()
-                sizes = np.diff(edges[:-1])
-                yield from links(bits, known, keys, [(int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(sizes > 1)])
-                held, at = [part(edges[-2], edges[-1])], keys[:, -1]
-        yield from closed()
+def _first_asks(bits: np.ndarray, distances: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of rows of a bucket to verify first, and whether there may be more.
+
+    Rows are taken by components of links up to `most` bits. All pairs of a small one
+    are taken; of a large one each row with the one closest to what most of them
+    have, which is near to what copies were made from, and with the row before it in the order of their distances from there."""
+    n = len(bits)
+    root = np.zeros(n, int) if n <= SMALL else reach(bits, distances, most)
+    a, b, more = [], [], False
+    for top in np.unique(root):
+        rows = np.flatnonzero(root == top)
+        if len(rows) <= SMALL:
+            i, j = np.triu_indices(len(rows), 1)
+            i, j = rows[i], rows[j]
+        else:
+            middle = np.packbits(2 * np.unpackbits(np.ascontiguousarray(bits[rows]).view(np.uint8), axis=1).sum(0, dtype=np.int64) > len(rows)).view(np.uint64)
+            order = rows[np.argsort(np.bitwise_count(bits[rows] ^ middle).sum(1), kind="stable")]
+            i, j, more = np.concatenate([order[1:], order[2:]]), np.concatenate([np.full(len(order) - 1, order[0]), order[1:-1]]), True
+        near = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= most
+        a.append(i[near])
+        b.append(j[near])
+    return np.concatenate(a), np.concatenate(b), more
+
+
+def _near_pairs(lanes: int, most: int, turn: int):
+    """Of (t, key, node, fp and, after turn 0, known) sorted by t, key and node: pairs (a, b) of nodes of a bucket to verify in this
+    turn. A bucket that has more of them than a turn asks for gives a row of its t and key, without nodes."""
+    names = ["a", "b", "t", "key"]
+
+    def run(batches):
+        for bits, keys, (node, *known), groups in _buckets(batches, lanes, ("node", "known")[: 2 if turn else 1]):
+            distances, a, b, open_, held = pivot_table(bits), [], [], [], 0
+            made = lambda a, b: pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(x)]) for x in (a, b)] + [pa.nulls(sum(map(len, a)), k) for k in (pa.int32(), pa.int64())], names)  # noqa: B023, E731
+            for i, j in groups:
+                if j - i <= 64 and not _may_link(distances[:, i:j], most):
+                    continue
+                if not turn:
+                    x, y, more = _first_asks(bits[i:j], distances[:, i:j], most)
+                    asks = [(x, y, more)] if len(x) or more else []
+                else:
+                    asks = ((np.full(len(now), x), now, more) for x, now, more in unsure(bits[i:j], distances[:, i:j], np.arange(j - i), most, turn - 1, known[0][i:j]))
+                left = False
+                for x, y, more in asks:
+                    a.append(i + x)
+                    b.append(i + y)
+                    held, left = held + len(x), left or more
+                    if held > 1 << 16:
+                        yield made(a, b)
+                        a, b, held = [], [], 0
+                if left:
+                    open_.append(keys[:, i])
+            if held:
+                yield made(a, b)
+            if open_:
+                t, key = np.array(open_).T
+                no = pa.nulls(len(open_), pa.int64())
+                yield pa.RecordBatch.from_arrays([no, no, pa.array(t, pa.int32()), pa.array(key, pa.int64())], names)
 
     return run
 
@@ -258,7 +312,7 @@ def block_keys(fp: str = "fp", blocks: int = 6, keep: int = 3) -> F.Column:
 
 
 def _sampled_keys(lanes: int, tables: int, bits: int):
-    """Of (fp): a row (t, key, fp) for each table, keyed by bits at its fixed random places."""
+    """Of (node, fp): a row (t, key, node, fp) for each table, keyed by bits at its fixed random places."""
     places = np.stack([np.random.default_rng([17, t]).choice(64 * lanes, bits, replace=False) for t in range(tables)])
     powers = 1 << np.arange(bits, dtype=np.int64)
 
@@ -268,22 +322,25 @@ def _sampled_keys(lanes: int, tables: int, bits: int):
             if n:
                 each = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(n, -1), axis=1, bitorder="little")
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(each[:, places[t]] @ powers), column], ["t", "key", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(each[:, places[t]] @ powers), batch.column("node"), column], ["t", "key", "node", "fp"])
 
     return run
 
 
-def _links(dealt: DataFrame, lanes: int, most: int, perhaps: int = 0, turn: int = 0) -> DataFrame:
-    kind = dealt.schema["fp"].dataType.simpleString()
-    order = ["t", "key", "fp"] if perhaps else ["t", "key"]  # turns count on the same order
-    return dealt.repartition("t", "key").sortWithinPartitions(*order).mapInArrow(_bucket_links(lanes, most, perhaps, turn), f"a {kind}, b {kind}, sure boolean, t int, key long")
+def _classes(links: DataFrame) -> DataFrame:
+    """(node, root) of the ends of links (a, b), through any chain."""
+    links = written(links.select(F.col("a").alias("i"), F.col("b").alias("j")))
+    roots = written(components(links.select(F.explode(F.array("i", "j")).alias("id")).distinct(), links))
+    released(links)
+    return roots
 
 
 def linked_classes(fps: DataFrame, most: int = 3) -> DataFrame:
     """(node, root) of the 64 bit fingerprints in fps (fp) that differ in at most three bits from others, through any chain."""
     if most > 3:
         raise ValueError("the tables of three blocks of six find up to three differing bits")
-    return components(_links(fps.select("fp").distinct().select(F.inline(block_keys()), "fp"), 1, most).select("a", "b"))
+    dealt = fps.select("fp").distinct().select(F.inline(block_keys()), "fp")
+    return _classes(dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_bucket_links(most), "a long, b long"))
 
 
 def bits_apart(similarity: float, lanes: int) -> int:
@@ -309,14 +366,14 @@ def _shingle_sets(words: int):
         for batch in batches:
             data, at = utf8(batch.column("text"))
             raw = data.tobytes()
-            sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(raw[a:b], words)], np.uint64)).view(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "set"])
+            sets = [shingle_set(raw[a:b], words).view(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
     return run
 
 
 def _similar(least: float):
-    """Of (a, b, x, y): the pairs whose sorted sets x and y have a Jaccard similarity of at least so much."""
+    """Of (a, b, x, y): the pairs whose sets x and y have a Jaccard similarity of at least so much."""
 
     def run(batches):
         for batch in batches:
@@ -331,46 +388,48 @@ def _similar(least: float):
     return run
 
 
-def _verified(pairs: DataFrame, found: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) of fingerprints whose texts' shingle sets are so similar."""
-    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "fp")
-    one = written(found.join(ends, "fp").groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("x")).select("fp", "x.*"))
-    sets = texts.join(one, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("fp", "text").mapInArrow(_shingle_sets(words), "fp binary, set array<long>")
-    sets = written(sets)
-    side = lambda c, v: sets.select(F.col("fp").alias(c), F.col("set").alias(v))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a binary, b binary")
-
-
-def near_classes(found: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = WIDTH) -> DataFrame:
-    """(node, root) of wide fingerprints whose texts have a Jaccard similarity of at least so much, through any chain.
+def near_classes(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = WIDTH) -> DataFrame:
+    """(node, root) of shingle sets with a Jaccard similarity of at least so much, through any chain; sets without links aren't listed.
 
-    found: k1, k2, fp; texts: k1, k2, text. Fingerprints that are much closer than
-    the similarity asks are linked as they are; those about as close, or a
-    little less, are linked if the shingle sets of their texts say so. The tables
-    of key_plan() let a pair meet with a probability of 0.91 at 0.8, 0.98 at 0.85
-    and over 0.999 at 0.9; every candidate within the limits is linked or verified.
+    nodes: node, fp and the place k1, k2 of one text of each set; texts: k1, k2,
+    text. The tables of key_plan() let a pair meet with a probability of 0.91 at
+    0.8, 0.98 at 0.85 and over 0.999 at 0.9; every pair that meets within the limit of
+    differing bits, and isn't one class through others, is verified on its sets. Small buckets ask at once, large ones for a few
+    pairs a row that are likely, and in turns for what isn't one class by then.
     """
-    bits, tables = key_plan(found.agg(F.approx_count_distinct("fp")).first()[0], similarity)
-    keyed = found.select("fp").distinct().mapInArrow(_sampled_keys(lanes, tables, bits), "t int, key long, fp binary")
-    limits = bits_apart((3 + similarity) / 4, lanes), bits_apart(similarity - 0.12, lanes)
-    links = written(_links(keyed, lanes, *limits))
-    roots, turn, asked = components(links.where("sure").select("a", "b")), 0, None
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    while True:
-        pairs = links.where("not sure and a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    bits, tables = key_plan(nodes.count(), similarity)
+    keyed = nodes.select("node", "fp").mapInArrow(_sampled_keys(lanes, tables, bits), "t int, key long, node long, fp binary")
+    most = bits_apart(similarity - 0.12, lanes)
+    deal = lambda df, turn: df.repartition("t", "key").sortWithinPartitions("t", "key", "node").mapInArrow(_near_pairs(lanes, most, turn), "a long, b long, t int, key long")
+    links = written(deal(keyed, 0))
+    asked = sets = true = roots = None
+    for turn in count(1):
+        pairs = links.where("a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if asked is not None:
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
-        pairs = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        pairs = written(pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+            side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
+            pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+        pairs = written(pairs)
         if not pairs.isEmpty():
-            true = _verified(pairs, found, texts, words, similarity)
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(true))
-        left = links.where("t is not null").select("t", "key")
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            one = written((ends.join(sets.select("node"), "node", "left_anti") if sets is not None else ends).join(nodes.select("node", "k1", "k2"), "node"))
+            more = written(texts.join(one, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("node", "text").mapInArrow(_shingle_sets(words), "node long, set array<long>"))
+            sets = more if sets is None else sets.unionByName(more)
+            side = lambda c, v: sets.select(F.col("node").alias(c), F.col("set").alias(v))  # noqa: B023, E731
+            found = written(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"))
+            true = found if true is None else true.unionByName(found)
+            released(one, roots)
+            roots = _classes(true)
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        left = written(links.where("t is not null").select("t", "key"))  # of known size, so that keys are made and left out where they are
+        released(links)
         if left.isEmpty():
-            return roots
-        asked, turn = pairs if asked is None else asked.unionByName(pairs), turn + 1
-        again = keyed.join(left, ["t", "key"], "left_semi").join(root("fp"), "fp", "left").select("t", "key", "fp", F.coalesce("fp_root", "fp").alias("known"))
-        links = written(_links(again, lanes, *limits, turn))
+            break
+        again = keyed.join(left, ["t", "key"], "left_semi")
+        again = again.join(roots, "node", "left").select("t", "key", "node", "fp", F.coalesce("root", "node").alias("known")) if roots is not None else again.withColumn("known", F.col("node"))
+        links = written(deal(again, turn))
+        released(left)
+    return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
 
 
 def simhash_components(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
@@ -399,10 +458,13 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     k1, k2, m = within(docs.columns, "k1", "k2", "m")
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumn(k1, F.xxhash64(text)).withColumn(k2, F.xxhash64(F.lit(7), F.col("doc_id").isNull(), "doc_id", text))
-    found = written(fingerprints(keyed.select("doc_id", F.col(k1).alias("k1"), F.col(k2).alias("k2"), text.alias("text")), words, WIDTH))
+    found = written(set_fingerprints(keyed.select("doc_id", F.col(k1).alias("k1"), F.col(k2).alias("k2"), text.alias("text")), words, WIDTH))
     texts = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), text.alias("text"))
-    roots = near_classes(found, texts, words, similarity)
-    rooted = found.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "k1", "k2", F.coalesce("root", "fp").alias("root"))
+    nodes = found.groupBy("sk", "fp").agg(F.min(F.struct("k1", "k2")).alias("x")).select("sk", "fp", "x.*")
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
+    roots = near_classes(nodes, texts, words, similarity)
+    classed = nodes.select("sk", "node").join(roots, "node", "left").select("sk", F.coalesce("root", "node").alias("root"))
+    rooted = found.join(classed, "sk").select("doc_id", "k1", "k2", "root")
     rows = rooted.groupBy("root", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("m"))
     kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "m")).alias("x"))
     kept = kept.select(F.col("x.k1").alias(k1), F.col("x.k2").alias(k2), F.col("x.m").alias(m))
