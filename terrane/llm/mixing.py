@@ -5,8 +5,9 @@ documents are taken as often as they fit in the target, and of the rest the
 documents whose place lies under a threshold. The threshold is found without
 sorting documents: words are summed by source and bucket of the place, the
 bucket that crosses the budget is dealt into finer buckets, and so on for three
-levels of 4096; only documents of that bucket are summed again. Built-in
-functions only.
+levels of 4096; only documents of that bucket are summed again. Documents that
+share the last place, equal rows as a rule, are counted, and as many are taken as come nearest.
+Built-in functions only.
 """
 
 from __future__ import annotations
@@ -63,11 +64,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
 
     taken = copies * size: the whole repeats, and one more if the document's
     place lies under its source's threshold. The source's words then differ
-    from its target by at most half of one bucket of the last level, as a rule
-    half a document. No row is taken more than `most` times. Null texts have size 0; a null source is a source; rows
-    that agree in id and text share a place; other columns are kept as they are.
+    from its target by at most half a document. No row is taken more than `most` times. Null texts have size 0; a null
+    source is a source. Rows that agree in id and text share a place; where the threshold falls on it, some of them are
+    taken once more, in the order of their columns. Other columns are kept as they are.
     """
-    src, none, at, size, q = within(docs.columns, "src", "none", "place", "size", "mixed")
+    src, none, at, size, turn, q = within(docs.columns, "src", "none", "place", "size", "turn", "mixed")
     full = docs.withColumn(src, F.coalesce("source", F.lit(""))).withColumn(none, F.col("source").isNull())
     full = full.withColumn(size, n_words(F.col("text"))).withColumn(at, place(F.col("doc_id"), F.col("text")))
     sized = written(full.select(F.col(src).alias("src"), F.col(none).alias("none"), F.col(at).alias("place"), F.col(size).alias("size")))
@@ -81,15 +82,30 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
         shift = 4 * DIGITS * (LEVELS - 1 - level)
         inside = _attach(sized, state.select("src", "none", "prefix"), few).withColumn("b", F.shiftright("place", shift))
         inside = inside.where(F.shiftright("b", 4 * DIGITS) == F.col("prefix")) if level else inside
-        bars = inside.groupBy("src", "none", "b").agg(F.sum("size").alias("words")).withColumn("sum", F.sum("words").over(running))
-        crossing = bars.join(F.broadcast(state) if few else state, ["src", "none"]).where((F.col("sum") > F.col("budget")) & (F.col("sum") - F.col("words") <= F.col("budget")))
+        before = state.select("src", "none", "source_size", "target", "whole", "budget")
+        bars = inside.groupBy("src", "none", "b").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("m")).withColumn("sum", F.sum("words").over(running))
+        crossing = bars.join(F.broadcast(before) if few else before, ["src", "none"]).where((F.col("sum") > F.col("budget")) & (F.col("sum") - F.col("words") <= F.col("budget")))
         left = F.col("budget") - (F.col("sum") - F.col("words"))
-        end = F.col("b") + F.when(F.col("words") - left < left, 1).otherwise(0)
-        state = written(crossing.select("src", "none", "source_size", "target", "whole", left.alias("budget"), (end if level == LEVELS - 1 else F.col("b")).alias("prefix")))
-    limits = sums.join(state.select("src", "none", "target", "whole", F.col("prefix").alias("limit")), ["src", "none"], "left")
-    limits = limits.select(F.col("src").alias(src), F.col("none").alias(none), F.struct("source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("limit", F.lit(0)).alias("limit")).alias(q))
+        state = written(crossing.select("src", "none", "source_size", "target", "whole", left.alias("budget"), F.col("b").alias("prefix"), F.col("words").alias("edge_words"), F.col("m").alias("edge_m")))
+    # of the m documents at the last place, those that make up what is left, to the nearest whole one
+    share = F.col("budget") * F.col("edge_m") / F.col("edge_words")
+    more = (F.floor(share) + F.when(share - F.floor(share) > 0.5, 1).otherwise(0)).cast("long")
+    state = written(state.withColumn("more", more).select("src", "none", "target", "whole", F.when(F.col("more") == F.col("edge_m"), F.col("prefix") + 1).otherwise(F.col("prefix")).alias("limit"), F.when(F.col("more") == F.col("edge_m"), 0).otherwise(F.col("more")).alias("more")))
+    limits = sums.join(state, ["src", "none"], "left")
+    limits = limits.select(F.col("src").alias(src), F.col("none").alias(none), F.struct("source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("limit", F.lit(0)).alias("limit"), F.coalesce("more", F.lit(0)).alias("more")).alias(q))
     joined = full.join(F.broadcast(limits) if few else limits, [src, none])
-    copies = F.least(F.col(f"{q}.whole") + F.when(F.col(at) < F.col(f"{q}.limit"), 1).otherwise(0), F.lit(most))
+    under = (F.col(at) < F.col(f"{q}.limit")).cast("int")
+    if not state.where("more > 0").isEmpty():
+        # equal rows are one row while they are shared out, and only those at a threshold are
+        split = (F.col(at) == F.col(f"{q}.limit")) & (F.col(f"{q}.more") > 0)
+        ties = joined.where(split).groupBy(*docs.columns, src, none, at, size).agg(F.count(F.lit(1)).alias("m"), F.first(q).alias("q"))
+        upto = F.sum("m").over(Window.partitionBy(src, none).orderBy(size, "doc_id", F.md5("text"), *docs.columns).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ties = ties.withColumn("own", F.greatest(F.lit(0), F.least(F.col("m"), F.col("q.more") - (upto - F.col("m")))))
+        ties = ties.select(*docs.columns, src, none, at, size, F.col("q").alias(q), F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("m")), lambda k: (k <= F.col("own")).cast("int"))).alias(turn))
+        joined = joined.where(~split).withColumn(turn, under).unionByName(ties)
+    else:
+        joined = joined.withColumn(turn, under)
+    copies = F.least(F.col(f"{q}.whole") + F.col(turn), F.lit(most))
     found = F.struct(F.col(size).alias("size"), F.col(f"{q}.source_size").alias("source_size"), F.col(f"{q}.target").alias("target"), copies.alias("copies"), (copies * F.col(size)).alias("taken"))
     return joined.withColumn(q, found).select(*docs.columns, q), q
 
@@ -113,12 +129,13 @@ f AS (
 t AS (
   SELECT source, source_size, least(cap::DOUBLE, w * (SELECT arg_min(level, (cap / w)) FROM f WHERE cap > w * level)) AS target FROM f),
 k AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
-b AS (SELECT source, place, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+b AS (SELECT source, place, sum(size)::BIGINT AS words, count(*) AS m FROM d GROUP BY source, place),
 c AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY place) AS upto FROM b),
 l AS (
-  SELECT c.source, min(CASE WHEN words - (budget - (upto - words)) < budget - (upto - words) THEN place + 1 ELSE place END) AS upper
+  SELECT c.source, place AS edge, (budget - (upto - words)) * m / words AS share
   FROM c JOIN (SELECT *, target - whole * source_size AS budget FROM k) k ON c.source IS NOT DISTINCT FROM k.source
-  WHERE upto > budget AND upto - words <= budget GROUP BY c.source)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN place < coalesce(upper, 0) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source LEFT JOIN l ON d.source IS NOT DISTINCT FROM l.source
+  WHERE upto > budget AND upto - words <= budget),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, place ORDER BY size) AS nth FROM d)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN place < edge OR place = edge AND nth <= floor(share) + CASE WHEN share - floor(share) > 0.5 THEN 1 ELSE 0 END THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM n JOIN k ON n.source IS NOT DISTINCT FROM k.source LEFT JOIN l ON n.source IS NOT DISTINCT FROM l.source
 """
