@@ -24,6 +24,8 @@ from .common import table, utf8
 LENGTH, SEPARATOR, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Pieces that one task packs, about.
 GROUP = 1 << 17
+#: Equal pieces that are dealt to one group as one.
+TOGETHER = 64
 #: What a vocabulary is tried on before its words are looked up one by one.
 PROBES = ("It's THE   end.\n\tOf a,b;c: \"d\" e--f (g) x..y 3.14 ~ \u00c9t\u00e9 Stra\u00dfe \u4f60\u597d \U0001f600 ok? yes!", "don't stop, un believable\u00a0words", "<|endoftext|> a_b http://x.org/y?z=1&w=2", " lead and trail ")
 _KEPT_WORDS, _LONG_WORD, _FINAL = 600_000, 64, (b".", b",", b";", b":", b"!", b"?")
@@ -164,7 +166,7 @@ def repack(lengths: np.ndarray, which: np.ndarray, offset: np.ndarray, size: int
 
 
 def pack(found: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:
-    """found (doc_id, length and more columns) with sequence_id and offset."""
+    """found (doc_id, length and more columns) with sequence_id and offset. Pieces are dealt to groups by what they are; equal ones are counted and dealt TOGETHER by TOGETHER."""
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -178,10 +180,13 @@ def pack(found: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:
         which[order], offset[order] = place(n[order].tolist(), length)
         repack(n, which, offset, length)
         _, which = np.unique(which, return_inverse=True)
-        out = rows.drop_columns(["group_", "key"]).append_column("sequence_id", pa.array((int(group) << 40) + which)).append_column("offset", pa.array(offset))
+        out = rows.drop_columns(["group_", "key", "part"]).append_column("sequence_id", pa.array((int(group) << 40) + which)).append_column("offset", pa.array(offset))
         yield from out.to_batches(max_chunksize=20_000)
 
-    dealt = found.repartition(groups, "key", "piece").sortWithinPartitions("key", "piece", "start", "length", "ids_crc32").withColumn("group_", F.spark_partition_id().cast("long"))
+    same = found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("m"))
+    parts = same.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / TOGETHER)))).repartition(groups, "key", "piece", "part")
+    each = parts.withColumn("m", F.least(F.lit(TOGETHER).cast("long"), F.col("m") - F.col("part") * TOGETHER))
+    dealt = each.withColumn("m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("m").sortWithinPartitions("key", "piece", "start", "length", "ids_crc32").withColumn("group_", F.spark_partition_id().cast("long"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name != "key")
     return dealt.mapInArrow(run, schema + ", sequence_id long, offset long")
 
@@ -191,8 +196,8 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
 
     A null or empty text is its separator alone. Rows with equal or null ids
     are documents of their own; extra columns are not read; no rows give none.
-    A task packs about `group` pieces, at most: a row has one, and one more for
-    each `length` bytes (a token has a byte or more).
+    A task packs about `group` pieces: there are groups enough for a row's one, and one more for
+    each `length` bytes (a token has a byte or more), and equal rows are dealt out like others, TOGETHER at a time.
     """
     rows, most = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.floor(F.octet_length("text") / length)), F.lit(0))).first()
     groups = max(1, -(-(rows + most) // group))

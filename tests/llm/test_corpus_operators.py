@@ -290,3 +290,27 @@ def test_neighbours_with_ties_and_odd_vectors(spark):
     assert hits / total >= 0.95 and set(got.query_id) == set(ids[ids % 20 == 0].tolist())
     assert neighbours.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
     assert neighbours.nearest(df.limit(3), F.col("id") % 20 == 0).count() == 2
+
+
+def test_equal_rows_are_packed_in_many_groups(spark):
+    from pyspark.sql import functions as F
+
+    from terrane.llm import packing
+
+    df = spark.createDataFrame([(None, "")] * 4000 + [(1, "a b c")] * 3, "doc_id long, text string")
+    got = packing.packed(df, group=100).withColumn("g", F.shiftright("sequence_id", 40))
+    assert got.count() == 4003 and got.groupBy("g").count().agg(F.max("count")).first()[0] < 600
+    ends = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), (F.max(F.col("offset") + F.col("length"))).alias("end"), F.count_distinct("offset").alias("places"), F.count("*").alias("rows"))
+    assert ends.where("n <> end or places <> rows or n > 4096").isEmpty()
+
+
+def test_mix_of_equal_rows_meets_its_target(spark):
+    from pyspark.sql import functions as F
+
+    from terrane.llm import mixing
+
+    rows = [(None, "w " * 10, "a", 1)] * 1000 + [(k, "v " * (k % 7), "b", k) for k in range(3000)] + [(5, "u", "c", 2)] * 50
+    mixed, q = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, mixed int"))
+    by = {r.source: r for r in mixed.groupBy("source").agg(F.sum(f"{q}.taken").alias("taken"), F.max(f"{q}.target").alias("target"), F.count("*").alias("n"), F.max(f"{q}.copies").alias("most")).collect()}
+    assert {s: r.n for s, r in by.items()} == {"a": 1000, "b": 3000, "c": 50} and max(r.most for r in by.values()) <= 3
+    assert abs(by["a"].taken - by["a"].target) <= 5 and abs(by["b"].taken - by["b"].target) <= 4 and abs(by["c"].taken - by["c"].target) <= 1
