@@ -1,18 +1,21 @@
 """Format-preserving pseudonyms of personal data by a keyed Feistel permutation.
 
-What a detector finds is validated (Luhn, mod 97, octets, calendar), taken to a
+What a detector finds is validated (Luhn, mod 97, octets, calendar, numbering
+plans) and stays if it is not valid; else it is taken to a
 number within its format, permuted there under a key, and written back with the
 same punctuation. A permutation keeps equal values equal in every document and
-different values different, and pseudonyms are valid where the originals are:
+different values different, and pseudonyms are valid like the originals:
 each format is a set of strings, permuted in itself. The key is the caller's; a
-session without one (spark.terrane.pii.key) gets a random one, so nobody can
-turn its pseudonyms back, and pseudonyms are linked within that session only.
+session without one (spark.terrane.pii.secret, a name that Spark blanks out in
+its logs) gets a random one, so nobody can turn its pseudonyms back, and
+pseudonyms are linked within that session only.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 import secrets
 from collections.abc import Callable
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table, utf8, within
 
-ROUNDS, KEY_SETTING = 8, "spark.terrane.pii.key"
+ROUNDS, KEY_SETTING = 8, "spark.terrane.pii.secret"
 #: Country calling codes of one and of two digits; others have three.
 CALLING_1, CALLING_2 = "1 7".split(), "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
@@ -33,11 +36,12 @@ _FORM = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|sk-)[A-Za-z0-9]{20,}|(?<![A-Za-z0-9])(?=[0-9a-f]*\d)[0-9a-f]{32,}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[0-9A-F]*\d)[0-9A-F]{32,}(?![A-Za-z0-9]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    r"|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![\w:]|\.\d))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
     r"|(?P<ymd>(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-]))"
     r"|(?P<dmy>(?<![\d./])\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)\d{4}(?![\d/]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+.,/-])0[1-9]\d{0,3}[ /-]\d{3,4}(?:[ -]?\d{2,4}){1,2}(?![\w-]))"
     r"|(?P<number>(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]))"
 )
 _MAY = re.compile(rb"[0-9@]")
@@ -102,12 +106,12 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
-def _number(x: str, key: bytes) -> str:
+def _number(x: str, key: bytes) -> str | None:
     digits = re.sub(r"\D", "", x)
-    if luhn(digits[:-1]) == int(digits[-1]):
-        body = _mixed(digits[:-1], _DIGITS, key, b"card")
-        return _refill(x, body + str(luhn(body)))
-    return _refill(x, _within(digits, key, b"number", lambda n: luhn(n[:-1]) == int(n[-1])))  # and stays so
+    if luhn(digits[:-1]) != int(digits[-1]):
+        return None
+    body = _mixed(digits[:-1], _DIGITS, key, b"card")
+    return _refill(x, body + str(luhn(body)))
 
 
 def _iban_check(country: str, rest: str) -> int:
@@ -132,20 +136,33 @@ def _ip(x: str, key: bytes) -> str | None:
     return ".".join(map(str, n.to_bytes(4, "big")))
 
 
-_FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73049
+def _ip6(x: str, key: bytes) -> str | None:
+    """An address of 128 bits, with a digit and three groups at least (others are names in programs). Short forms stay short where zeros allow, capitals capitals."""
+    try:
+        n = int(ipaddress.IPv6Address(x))
+    except ValueError:
+        return None
+    if not re.search(r"\d", x):
+        return None
+    new = str(ipaddress.IPv6Address(permute(n, 1 << 128, key, b"ip6")))
+    return new.upper() if x.isupper() else new
+
+
+#: Dates of recent centuries are permuted among each other, and all other dates among themselves.
+_FIRST, _DAYS, _ALL = datetime.date(1900, 1, 1).toordinal(), 73049, datetime.date.max.toordinal()
 
 
 def _day(y: int, m: int, d: int, key: bytes, fits: Callable[[datetime.date], bool]) -> datetime.date | None:
-    """The pseudonym of a date of 1900 to 2099 among the dates that fit, which the date itself does; None if it is no such date."""
+    """The pseudonym of a date among the dates of its time that fit, which the date itself does; None if it is no date."""
     try:
-        n = datetime.date(y, m, d).toordinal() - _FIRST
+        n = datetime.date(y, m, d).toordinal()
     except ValueError:
         return None
-    if not 0 <= n < _DAYS:
-        return None
+    recent = 0 <= n - _FIRST < _DAYS
     while True:  # following a cycle to its next date that fits is one to one
-        n = permute(n, _DAYS, key, b"date")
-        if fits(day := datetime.date.fromordinal(_FIRST + n)):
+        n = _FIRST + permute(n - _FIRST, _DAYS, key, b"date") if recent else 1 + permute(n - 1, _ALL, key, b"far date")
+        day = datetime.date.fromordinal(n)
+        if (recent or not 0 <= n - _FIRST < _DAYS) and fits(day):
             return day
 
 
@@ -164,30 +181,37 @@ def _dmy(x: str, key: bytes) -> str | None:
     if day is None:
         return None
     parts = {True: (day.month, day.day), False: (day.day, day.month)}[swap]
-    return sep.join([*(f"{p:0{len(old)}d}" for p, old in zip(parts, (a, b))), str(day.year)])
+    return sep.join([*(f"{p:0{len(old)}d}" for p, old in zip(parts, (a, b))), f"{day.year:04d}"])
 
 
-def _within(digits: str, key: bytes, tweak: bytes, valid: Callable[[str], bool]) -> str:
-    """Digits permuted among those as valid, or as invalid, as they are."""
-    good = valid(digits)
+def _within(digits: str, key: bytes, tweak: bytes, valid: Callable[[str], bool]) -> str | None:
+    """Valid digits permuted among those that are valid; None for others."""
+    if not valid(digits):
+        return None
     while True:
         digits = _mixed(digits, _DIGITS, key, tweak)
-        if valid(digits) == good:
+        if valid(digits):
             return digits
 
 
-def _ssn(x: str, key: bytes) -> str:
-    return _refill(x, _within(re.sub(r"\D", "", x), key, b"ssn", lambda n: n[:3] not in ("000", "666") and n[0] != "9" and n[3:5] != "00" and n[5:] != "0000"))
+def _ssn(x: str, key: bytes) -> str | None:
+    new = _within(re.sub(r"\D", "", x), key, b"ssn", lambda n: n[:3] not in ("000", "666") and n[0] != "9" and n[3:5] != "00" and n[5:] != "0000")
+    return new and _refill(x, new)
 
 
-def _phone(x: str, key: bytes) -> str:
-    """The country's code stays. Numbers of ten digits in North America's plan stay valid, or invalid, there: area and exchange begin with 2 to 9."""
+def _phone(x: str, key: bytes) -> str | None:
+    """The country's code stays, and has to be one. Numbers of North America's plan have ten digits, and area and exchange begin with 2
+    to 9; others have 5 to 15 with their code. National numbers, 0 and an area first, have 9 to 12."""
     digits = re.sub(r"\D", "", x)
     code = (digits[:1] if digits[:1] in CALLING_1 else digits[:2] if digits[:2] in CALLING_2 else digits[:3]) if x[0] == "+" else ""
     rest = digits[len(code) :]
-    if code in ("", "1") and len(rest) == 10:
-        return _refill(x, code + _within(rest, key, b"phone1", lambda n: n[0] > "1" and n[3] > "1"))
-    return _refill(x, code + _mixed(rest, _DIGITS, key, b"phone" + code.encode()))
+    if code == "1" or not code and x[0] != "0":
+        new = _within(rest, key, b"phone1", lambda n: len(n) == 10 and n[0] > "1" and n[3] > "1")
+    elif not code:
+        new = _within(rest, key, b"national", lambda n: 9 <= len(n) <= 12 and n[0] == "0" and n[1] != "0")
+    else:
+        new = _mixed(rest, _DIGITS, key, b"phone" + code.encode()) if 5 <= len(digits) <= 15 and code[0] != "0" else None
+    return new and _refill(x, code + new)
 
 
 def _email(x: str, key: bytes) -> str:
@@ -206,7 +230,7 @@ def _secret(x: str, key: bytes) -> str:
 
 
 PSEUDONYMS: dict[str, Callable[[str, bytes], str | None]] = {
-    "email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "ymd": _ymd, "dmy": _dmy, "number": _number,
+    "email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "ip6": _ip6, "ymd": _ymd, "dmy": _dmy, "number": _number,
     "ssn": _ssn, "phone": _phone,
 }
 
@@ -258,7 +282,7 @@ def pseudonymised(docs: DataFrame, key: bytes) -> tuple[DataFrame, str]:
 
 
 def session_key(spark: SparkSession) -> bytes:
-    """The key of this session: the setting spark.terrane.pii.key, or one made at random for it."""
+    """The key of this session: the setting spark.terrane.pii.secret, or one made at random for it."""
     if not (key := spark.conf.get(KEY_SETTING, None)):
         key = secrets.token_hex(32)
         spark.conf.set(KEY_SETTING, key)
