@@ -37,11 +37,14 @@ def contiguity_edges(vertices: DataFrame, key: str = "area", x: str = "vx", y: s
 
 
 def nearest_edges(points: DataFrame, k: int, x: str = "px", y: str = "py", key: str = "id") -> DataFrame:
-    """Edges from each point to its k nearest others, ties to the smaller key, either way."""
+    """Edges from each point to its k nearest others, ties to the smaller key, either way. Of points at one place the first k + 1 are asked for, as no
+    other can be among anyone's nearest."""
+    at = Window.partitionBy(x, y).orderBy(key)
+    few = points.withColumn("nth", F.row_number().over(at)).where(F.col("nth") <= k + 1).drop("nth")
     a = points.select(F.col(key).alias("i"), F.col(x).alias(f"f_{x}"), F.col(y).alias(f"f_{y}"))
-    b = points.select(F.col(key).alias("j"), x, y)
+    b = few.select(F.col(key).alias("j"), x, y)
     d2 = F.pow(F.col(f"f_{x}") - F.col(x), 2) + F.pow(F.col(f"f_{y}") - F.col(y), 2)
-    found = near_pairs(a, b, k + 1, points, x, y).where("i <> j")
+    found = near_pairs(a, b, k + 1, few, x, y).where("i <> j")
     return canonical(found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(d2, "j"))).where(F.col("r") <= k))
 
 

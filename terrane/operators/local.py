@@ -6,7 +6,10 @@ column, and sums of w x_a x_b and w x_a y by focal row; only the sums, one row a
 focal row, go to a solver. For a kernel of bounded support and a fixed
 bandwidth the join is an equi-join on grid cells; within regimes it is one on
 the regime. For a bounded kernel that reaches the k-th neighbour it is one on
-cells too, of a ring around each cell that is sure to hold k rows. Unbounded
+cells too, of a ring around each cell that is sure to hold k rows. A bisquare
+weight that reaches the farthest row of a regime is a polynomial in the
+coordinates for all its rows, so that sums over the regime follow from its moments of
+coordinates up to order four, and no pairs are made. Unbounded
 kernels, and searches over all numbers of neighbours, weigh every row on every
 row, as the method has it.
 """
@@ -17,15 +20,18 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import TINY, kernel_weight
 from ..functions.linalg import regular, solve
-from ..tables import kept
+from ..tables import dropped, kept
 
 SMALL = 1e-12
+#: Regimes up to which their moments are sent to every task.
+MANY_REGIMES = 10_000
 
 
 def observations(df: DataFrame, y: str, predictors: Sequence[str], coords: tuple[str, str] = ("px", "py"), key: str = "id", intercept: bool = True, keep: Sequence[str] = ()) -> DataFrame:
@@ -42,11 +48,31 @@ def n_terms(obs: DataFrame) -> int:
 _COARSER = 4
 
 
+def _dense(points: DataFrame, k: int, side: float, most: float, x: str, y: str) -> list[DataFrame]:
+    """Tables (cx, cy) of cells that hold more than k points at more than one place, the first of cells of this side, each further one of
+    cells within those of the last, _COARSER times as narrow, until there are none."""
+    out: list[DataFrame] = []
+    while True:
+        width = side / _COARSER ** len(out)
+        cell = lambda c, w: F.floor(F.col(c) / w)
+        inside = points.select(x, y)
+        if out:
+            parent = width * _COARSER
+            inside = inside.join(out[-1], (cell(x, parent) == F.col("cx")) & (cell(y, parent) == F.col("cy")), "left_semi")
+        full = inside.groupBy(cell(x, width).alias("cx"), cell(y, width).alias("cy")).agg(F.count(F.lit(1)).alias("n"), (F.max(x) > F.min(x)).alias("wide"), (F.max(y) > F.min(y)).alias("high"))
+        full = kept(full.where((F.col("n") > k) & (F.col("wide") | F.col("high"))).select("cx", "cy"))
+        if full.isEmpty() or most / width * _COARSER > 2.0**50:
+            dropped(full)
+            return out
+        out.append(full)
+
+
 def rings(points: DataFrame, k: int, x: str = "px", y: str = "py") -> tuple[DataFrame, float, list[int]] | None:
     """(cx, cy, level, ring) of each cell that has points, the cells' side, and the levels in use: the k nearest points of
     any point of a cell lie at most ring cells of that level away. None if there are so few points that cells would ask for most of them.
 
-    Cells hold about k / 4 points each; those of each level are four times as wide as those before. Cells are counted, not
+    Cells hold about k / 4 points each, and are split where they hold over k at different places; those of each level are
+    four times as wide as those before, and a cell begins at the level of which it is a whole cell. Cells are counted, not
     points: blocks around a cell widen until they hold k points, and a point's k-th nearest is then no farther than the
     block's far corner. What isn't found within two cells, in sparse places, is asked for at the next level.
     """
@@ -56,8 +82,18 @@ def rings(points: DataFrame, k: int, x: str = "px", y: str = "py") -> tuple[Data
     wide, high = ends[f"hi{x}"] - ends[f"lo{x}"], ends[f"hi{y}"] - ends[f"lo{y}"]
     flat = max(wide, high)
     side = math.sqrt(max(wide, flat / ends.n) * max(high, flat / ends.n) * k / (4 * ends.n)) or 1.0
-    cells = kept(points.groupBy(F.floor(F.col(x) / side).alias("cx"), F.floor(F.col(y) / side).alias("cy")).agg(F.count(F.lit(1)).alias("n")))
-    todo, done, level, levels = cells.select("cx", "cy"), None, 0, []
+    dense = _dense(points, k, side, max(abs(v) for v in ends[1:]), x, y)
+    top = len(dense)
+    side /= _COARSER**top
+    cells = points.groupBy(F.floor(F.col(x) / side).alias("cx"), F.floor(F.col(y) / side).alias("cy")).agg(F.count(F.lit(1)).alias("n")).withColumn("begin", F.lit(top))
+    for j, table in enumerate(dense):
+        scale = _COARSER ** (top - j)
+        parents = table.select(F.col("cx").alias("dx"), F.col("cy").alias("dy"))
+        cells = cells.join(parents, (F.floor(F.col("cx") / scale) == F.col("dx")) & (F.floor(F.col("cy") / scale) == F.col("dy")), "left")
+        cells = cells.select("cx", "cy", "n", F.when(F.col("dx").isNotNull(), top - 1 - j).otherwise(F.col("begin")).alias("begin"))
+    cells = kept(cells)
+    dropped(*dense)
+    todo, done, level, levels = cells.where("begin = 0").select("cx", "cy"), None, 0, []
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(max(abs(a), abs(b))).alias("m")) for a in range(-2, 3) for b in range(-2, 3)))
     while True:
         at = lambda c: F.floor(F.col(c) / _COARSER**level)  # noqa: B023, E731
@@ -69,12 +105,13 @@ def rings(points: DataFrame, k: int, x: str = "px", y: str = "py") -> tuple[Data
         placed = kept(now.join(found, ["ax", "ay"]))
         ready = placed.where("m is not null").select("cx", "cy", F.lit(level).alias("level"), F.ceil((F.col("m") + 1) * math.sqrt(2)).cast("int").alias("ring"))
         done = ready if done is None else done.unionByName(ready)
-        todo = placed.where("m is null").select("cx", "cy")
         every, told = placed.agg(F.count(F.lit(1)), F.count("m")).first()
         levels += [level] if told else []
-        if told == every:
-            return done, side, levels
         level += 1
+        if told == every and level > top:
+            return done, side, levels
+        todo = placed.where("m is null").select("cx", "cy")
+        todo = todo.unionByName(cells.where(F.col("begin") == level).select("cx", "cy")) if level <= top else todo
 
 
 def near_pairs(focal: DataFrame, other: DataFrame, k: int, points: DataFrame, x: str = "px", y: str = "py") -> DataFrame:
@@ -205,10 +242,105 @@ def regime_sizes(obs: DataFrame, bandwidth: str | int | Mapping[int, int], regim
     return sizes.withColumn("k", F.least(k, F.col("n")))
 
 
+def _hull(xy: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of points, which are all that can be farthest from anywhere."""
+    xy = np.unique(xy[np.isfinite(xy).all(1)], axis=0)
+    if len(xy) > 64:  # what lies within the polygon of extremes in eight directions is no corner
+        way = np.array([[1, 0], [1, 1], [0, 1], [-1, 1], [-1, 0], [-1, -1], [0, -1], [1, -1]], float)
+        poly = xy[(xy @ way.T).argmax(0)]
+        edge = np.roll(poly, -1, 0) - poly
+        real = (edge != 0).any(1)
+        left = edge[real, 0, None] * (xy[None, :, 1] - poly[real, 1, None]) - edge[real, 1, None] * (xy[None, :, 0] - poly[real, 0, None])
+        xy = xy[~(left > 0).all(0)]
+    if len(xy) < 3:
+        return xy
+
+    def chain(points):
+        out: list = []
+        for p in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(chain(xy.tolist()) + chain(xy[::-1].tolist()))
+
+
+def hulls(points: DataFrame, by: str, x: str = "px", y: str = "py") -> DataFrame:
+    """by and hull, an array of the corners (x, y) of each group's points. Tasks give the corners of what they read, and these are what is
+    gathered: as a rule their number grows with the logarithm of the points, but points on one circle are all corners."""
+    kind = points.schema[by].dataType.simpleString()
+
+    def corners(frames):
+        held: dict = {}
+        for pdf in frames:
+            for g, rows in pdf.groupby(by, dropna=False):
+                xy = rows[["x", "y"]].to_numpy(float)
+                held[g] = _hull(np.concatenate([held[g], xy]) if g in held else xy)
+        for g, xy in held.items():
+            yield pd.DataFrame({by: [g] * len(xy), "x": xy[:, 0], "y": xy[:, 1]})
+
+    parts = points.select(by, F.col(x).alias("x"), F.col(y).alias("y")).mapInPandas(corners, f"`{by}` {kind}, x double, y double")
+    whole = parts.groupBy(by).applyInPandas(lambda pdf: next(corners([pdf]), pdf), f"`{by}` {kind}, x double, y double")
+    return whole.groupBy(by).agg(F.collect_list(F.struct("x", "y")).alias("hull"))
+
+
+def _products(p: int, y: str = "yy") -> dict[str, Column]:
+    """The products whose weighted sums a fit needs, by the names that moments() gives them."""
+    out = {f"m_{a}_{b}": F.col(f"x{a}") * F.col(f"x{b}") for a in range(p) for b in range(a, p)}
+    return out | {f"r_{a}": F.col(f"x{a}") * F.col(y) for a in range(p)}
+
+
+#: Powers of (x, y) by which a sum over (1 - d2/b2)^2 is made of moments.
+_ORDERS = ("0", "x", "y", "xx", "xy", "yy", "x3", "y3", "4")
+
+
+def coordinate_moments(obs: DataFrame, regime: str = "regime") -> DataFrame:
+    """A row a regime: n, its centre cx, cy, its width s, the corners of its hull, and for each product of a fit an array of its sums times the powers of
+    _ORDERS of the coordinates from the centre, in widths."""
+    centre = obs.groupBy(regime).agg(F.count(F.lit(1)).alias("n"), F.avg("px").alias("cx"), F.avg("py").alias("cy"), F.greatest(F.max("px") - F.min("px"), F.max("py") - F.min("py")).alias("s"))
+    centre = kept(centre.withColumn("s", F.when(F.col("s") > TINY, F.col("s")).otherwise(1.0)))
+    rows = obs.join(centre, obs[regime].eqNullSafe(centre[regime])).drop(centre[regime])
+    u, v = (F.col("px") - F.col("cx")) / F.col("s"), (F.col("py") - F.col("cy")) / F.col("s")
+    rows = rows.withColumn("u", u).withColumn("v", v).withColumn("q", F.col("u") * F.col("u") + F.col("v") * F.col("v"))
+    power = {"0": F.lit(1.0), "x": F.col("u"), "y": F.col("v"), "xx": F.col("u") * F.col("u"), "xy": F.col("u") * F.col("v"), "yy": F.col("v") * F.col("v"), "x3": F.col("q") * F.col("u"), "y3": F.col("q") * F.col("v"), "4": F.col("q") * F.col("q")}
+    sums = rows.groupBy(regime).agg(*(F.array(*(F.sum(z * power[o]) for o in _ORDERS)).alias(f"t_{name}") for name, z in _products(n_terms(obs)).items()))
+    own, hull = sums.withColumnRenamed(regime, "g1"), hulls(obs, regime).withColumnRenamed(regime, "g2")
+    return kept(centre.join(own, F.col(regime).eqNullSafe(F.col("g1"))).join(hull, F.col(regime).eqNullSafe(F.col("g2"))).drop("g1", "g2"))
+
+
+def _weighted_by_moments(rows: DataFrame, p: int) -> DataFrame:
+    """rows (focal columns, cx, cy, s, hull, t_*) with b2 and the sums m_a_b and r_a under bisquare weights that reach the farthest of a regime's rows."""
+    far = F.array_max(F.transform("hull", lambda c: F.pow(F.col("f_px") - c["x"], 2) + F.pow(F.col("f_py") - c["y"], 2)))
+    rows = rows.withColumn("b2", F.when(F.sqrt(far) <= TINY, 1.0).otherwise(far))
+    u, v = (F.col("f_px") - F.col("cx")) / F.col("s"), (F.col("f_py") - F.col("cy")) / F.col("s")
+    rows = rows.withColumn("u", u).withColumn("v", v).withColumn("q", F.col("u") * F.col("u") + F.col("v") * F.col("v")).withColumn("c", F.col("b2") / (F.col("s") * F.col("s")))
+    u, v, q, c = (F.col(k) for k in ("u", "v", "q", "c"))
+
+    def total(name: str) -> Column:
+        s = {o: F.col(f"t_{name}")[k] for k, o in enumerate(_ORDERS)}
+        along = u * s["x"] + v * s["y"]
+        two = q * s["0"] - 2 * along + s["xx"] + s["yy"]
+        four = q * q * s["0"] + s["4"] + 4 * (u * u * s["xx"] + 2 * u * v * s["xy"] + v * v * s["yy"]) + 2 * q * (s["xx"] + s["yy"]) - 4 * q * along - 4 * (u * s["x3"] + v * s["y3"])
+        return s["0"] - 2 * two / c + four / (c * c)
+
+    names = list(_products(p))
+    return rows.select(*(k for k in rows.columns if k not in {"hull", "u", "v", "q", "c", "cx", "cy", "s"} and not k.startswith("t_")), *(total(n).alias(n) for n in names))
+
+
+def _focal(obs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return obs.select(F.col("id").alias("i"), *(F.col(k).alias(f"f_{k}") for k in ("px", "py", "yy", *(f"x{a}" for a in range(n_terms(obs))))), *keep)
+
+
 def regime_fit(obs: DataFrame, bandwidth: str | int | Mapping[int, int] = "regime_size", kernel: str = "bisquare", regime: str = "regime") -> DataFrame:
-    """A local regression at each row among the rows of its regime; distances are ranked within it."""
+    """A local regression at each row among the rows of its regime; distances are ranked within it. Bisquare weights as far as the regime goes need no pairs."""
+    p = n_terms(obs)
+    if bandwidth == "regime_size" and kernel == "bisquare":
+        rows = _focal(obs.where(F.col(regime).isNotNull()), [regime]).join(coordinate_moments(obs, regime), regime)
+        sums = _weighted_by_moments(rows, p).withColumn("n_pos", F.col("n")).withColumn("w_own", F.lit(1.0))
+        return solved(sums, p).withColumnRenamed("i", "id")
     table = pairs(obs, within=regime).join(regime_sizes(obs, bandwidth, regime).select(regime, "k"), regime)
-    return _finished(with_reach(table, F.col("k")), n_terms(obs), kernel)
+    return _finished(with_reach(table, F.col("k")), p, kernel)
 
 
 def shared_fit(obs: DataFrame, k: int, kernel: str = "bisquare", regime: str = "regime") -> DataFrame:
@@ -259,17 +391,20 @@ def hat_rows(obs: DataFrame, bandwidth: int, boundary: str = "next", kernel: str
 
 
 def left_out_error(obs: DataFrame, least: int, regime: str = "regime") -> DataFrame:
-    """(id, target, n, error): the squared error at each row of a fit to another regime's rows, itself left out.
+    """(id, target, n, error): the squared error at each row of a fit to each regime's rows, itself left out.
 
     The bandwidth reaches the farthest of them. Fewer than least rows, or than
-    terms, give an infinite error.
+    terms, give an infinite error. A row and a regime are a row of the result; nothing else is made of them but from the regimes' moments.
     """
     p = n_terms(obs)
-    other = pairs(obs).join(obs.select(F.col("id").alias("j"), F.col(regime).alias("target")), "j").where("i <> j")
-    by = Window.partitionBy("i", "target")
-    far = F.sqrt(F.max("d2").over(by))
-    table = other.withColumn("b2", F.when(far <= TINY, 1.0).otherwise(F.pow(far, 2))).withColumn("n", F.count(F.lit(1)).over(by))
-    weighted = table.withColumn("w", kernel_weight(F.col("d2"), F.col("b2")))
-    sums = moments(weighted, p, ["i", "target"], ["n"])
-    fit = solved(sums, p, ["i", "target"]).select("i", "target", "resid").join(sums.select("i", "target", "n"), ["i", "target"])
+    moments_of = coordinate_moments(obs, regime)
+    few = moments_of.limit(MANY_REGIMES + 1).count() <= MANY_REGIMES
+    targets = moments_of.withColumnRenamed(regime, "target")
+    rows = _focal(obs, [regime]).crossJoin(F.broadcast(targets) if few else targets)
+    own = F.col(regime).eqNullSafe(F.col("target")).cast("int")
+    sums = _weighted_by_moments(rows, p).withColumn("n", F.col("n") - own).where("n > 0")
+    for name, z in ({f"m_{a}_{b}": F.col(f"f_x{a}") * F.col(f"f_x{b}") for a in range(p) for b in range(a, p)} | {f"r_{a}": F.col(f"f_x{a}") * F.col("f_yy") for a in range(p)}).items():
+        sums = sums.withColumn(name, F.col(name) - own * z)  # a row's own weight is 1
+    sums = sums.withColumn("n_pos", F.col("n")).withColumn("w_own", F.lit(0.0))
+    fit = solved(sums, p, ["i", "target", "n"])
     return fit.select(F.col("i").alias("id"), "target", "n", F.when(F.col("n") < max(least, p), float("inf")).otherwise(F.pow("resid", 2)).alias("error"))
