@@ -2,14 +2,15 @@
 
 Both are sequential by definition: each merge, and each move, sees the one
 before. One instance (a graph, its features or observations, a setting) is
-therefore one task; instances run side by side, one group each. An instance is
-a lattice or a map of areas, not the corpus.
+therefore one task; instances are dealt to many more partitions than there are, so that nearly each has a
+task of its own. An instance is a lattice or a map of areas, not the corpus. Growth over edges from seeds is a join.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..config import Refinement
 from ..functions.linalg import solve
-from ..tables import kept
+from ..tables import dropped, kept
+from .graph import both_ways
 
 
 def neighbour_lists(n: int, edges: np.ndarray) -> list[np.ndarray]:
@@ -233,15 +235,26 @@ def _edge_array(edges: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
     return np.stack([place.loc[out.i].to_numpy(), place.loc[out.j].to_numpy()], 1) if len(out) else np.zeros((0, 2), int)
 
 
+#: Partitions that each instance gets when instances are dealt out, so that few of them meet in one.
+SPREAD = 8
+
+
+def spread(df: DataFrame, *by: str, n: int | None = None) -> DataFrame:
+    """df dealt by its instances (the columns by; n of them, else they are counted), to many more partitions than there are instances. A number that is asked for isn't coalesced, so nearly all instances are tasks of their own."""
+    n = df.select(*by).distinct().count() if n is None else n
+    return df.repartition(max(1, min(SPREAD * n, 100_000)), *by)
+
+
 def _on_one(df: DataFrame, edges: DataFrame, run, schema: str) -> DataFrame:
     """run(rows, edges) for each instance of df (column instance; edges of all instances, or with the column too)."""
+    n = df.select("instance").distinct().count()
     keyed = edges.withColumnRenamed("instance", "of") if "instance" in edges.columns else edges.crossJoin(df.select(F.col("instance").alias("of")).distinct())
     names = [c.split()[0] for c in schema.split(", ")]
 
     def each(key, rows, lines):
         return run(key[0], rows.sort_values("id").reset_index(drop=True), lines) if len(rows) else pd.DataFrame(columns=names)
 
-    return df.groupBy("instance").cogroup(keyed.groupBy("of")).applyInPandas(each, schema)
+    return spread(df, "instance", n=n).groupBy("instance").cogroup(spread(keyed, "of", n=n).groupBy("of")).applyInPandas(each, schema)
 
 
 def ward_labels(features: DataFrame, edges: DataFrame, columns: Sequence[str], ks: Sequence[int], least: int = 0) -> DataFrame:
@@ -338,26 +351,31 @@ def nearest_seeds(points: DataFrame, targets: Sequence[tuple[float, float]]) ->
     return points.sparkSession.createDataFrame([(k, r) for r, k in enumerate(taken, 1)], "id long, regime long")
 
 
+#: Steps of a search that one job takes.
+STEPS = 8
+
+
 def breadth_first(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(instance, id, regime): every node takes the label of the seed (instance, id, regime) that reaches it first;
-    seeds by label, neighbours ascending, first in first out."""
-
-    def run(instance, r, e):
-        ids = r["id"].to_numpy()
-        near = neighbour_lists(len(ids), _edge_array(e, ids))
-        z = r["seed"].fillna(-1).to_numpy(int)
-        queue = sorted(np.flatnonzero(z >= 0).tolist(), key=lambda i: z[i])
-        for i in queue:  # grows as it goes
-            for j in near[i].tolist():
-                if z[j] < 0:
-                    z[j] = z[i]
-                    queue.append(j)
-        if (z < 0).any():
-            raise ValueError("some nodes can't be reached from a seed")
-        return pd.DataFrame({"instance": instance, "id": ids, "regime": z})
-
-    rows = nodes.select("id").crossJoin(seeds.select("instance").distinct()).join(seeds.select("instance", "id", F.col("regime").alias("seed")), ["instance", "id"], "left")
-    return _on_one(rows, edges, run, "instance string, id long, regime long")
+    seeds by label, neighbours ascending, first in first out.
+
+    In such a queue the nodes of one distance stand by label, so that a node takes the smallest label among the seeds nearest to it: the
+    least (distance, label). It spreads over edges from the nodes that were reached last, STEPS edges a job. A node that can't be reached is an error."""
+    hop = kept(both_ways(edges).withColumn("far", F.lit(1)).unionByName(nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0).alias("far"))).select(F.col("i").alias("id"), F.col("j").alias("to"), "far"))
+    done = kept(seeds.groupBy("instance", "id").agg(F.min("regime").cast("long").alias("regime")))
+    front = done.withColumn("d", F.lit(0))
+    while True:
+        for _ in range(STEPS):
+            front = front.join(hop, "id").groupBy("instance", F.col("to").alias("id")).agg(F.min(F.struct((F.col("d") + F.col("far")).alias("d"), "regime")).alias("m")).select("instance", "id", "m.*")
+        new, before = kept(front.join(done.select("instance", "id"), ["instance", "id"], "left_anti")), done
+        if new.isEmpty():
+            break
+        done, front = kept(done.unionByName(new.drop("d"))), new.where(F.col("d") == STEPS).withColumn("d", F.lit(0))
+        dropped(before)
+    dropped(hop, new)
+    asked = nodes.select("id").crossJoin(seeds.select("instance").distinct())  # a node an instance
+    out = asked.join(done, ["instance", "id"], "left")
+    return out.select("instance", "id", F.coalesce("regime", F.raise_error(F.lit("some nodes can't be reached from a seed")).cast("long")).alias("regime"))
 
 
 def critical_nodes(labels: DataFrame, edges: DataFrame, regime: str = "regime") -> DataFrame:
@@ -373,27 +391,48 @@ def critical_nodes(labels: DataFrame, edges: DataFrame, regime: str = "regime")
     return _on_one(labels.withColumn("instance", F.lit("")), edges, run, "regime long, n_critical long")
 
 
+def _assigned(gain: np.ndarray) -> np.ndarray:
+    """For each row of gains (rows <= columns) its column, so that the sum is largest: shortest augmenting paths over reduced costs."""
+    n, m = gain.shape
+    cost = gain.max(initial=0) - gain.astype(float)
+    row_of, pay, price = np.full(m, -1), np.zeros(n), np.zeros(m)
+    for start in range(n):
+        row, far, seen, back = start, np.full(m, np.inf), np.zeros(m, bool), np.full(m, -1)
+        steps = [(start, -1)]
+        while True:  # grow the tree of cheapest ways until it meets a free column
+            slack = cost[row] - pay[row] - price
+            last = steps[-1][1]
+            near = ~seen & (slack < far)
+            far[near], back[near] = slack[near], last
+            column = int(np.where(seen, np.inf, far).argmin())
+            step = far[column]
+            for r, c in steps:
+                pay[r] += step
+                if c >= 0:
+                    price[c] -= step
+            far[~seen] -= step
+            seen[column] = True
+            if row_of[column] < 0:
+                break
+            row = int(row_of[column])
+            steps.append((row, column))
+        while column >= 0:  # turn the way around
+            before = int(back[column])
+            row_of[column] = row_of[before] if before >= 0 else start
+            column = before
+    out = np.empty(n, int)
+    out[row_of[row_of >= 0]] = np.flatnonzero(row_of >= 0)
+    return out
+
+
 def best_match(counts: DataFrame) -> DataFrame:
-    """(pred, true): the matching of predicted to true labels (pred, true, n) that agrees most. One row a pair of labels; exact by subsets."""
+    """(pred, true): the matching of predicted to true labels (pred, true, n) that agrees most. One row a pair of labels, so a table of labels by labels; its time grows with their cube."""
 
     def run(pdf):
-        pred, true = sorted(pdf.pred.unique()), sorted(pdf.true.unique())
-        if len(pred) > len(true):
+        wide = pdf.pivot_table(index="pred", columns="true", values="n", aggfunc="sum", fill_value=0)
+        if wide.shape[0] > wide.shape[1]:
             raise ValueError("more predicted than true labels")
-        n = pdf.set_index(["pred", "true"]).n.to_dict()
-        best = {0: (0, ())}
-        for p in pred:
-            new: dict[int, tuple] = {}
-            for used, (total, chosen) in best.items():
-                for k, t in enumerate(true):
-                    if not used >> k & 1:
-                        value = (total + n.get((p, t), 0), (*chosen, t))
-                        key = used | 1 << k
-                        if key not in new or value[0] > new[key][0]:
-                            new[key] = value
-            best = new
-        chosen = max(best.values(), key=lambda v: v[0])[1]
-        return pd.DataFrame({"pred": pred, "true": list(chosen)})
+        return pd.DataFrame({"pred": wide.index, "true": wide.columns[_assigned(wide.to_numpy())]})
 
     return counts.withColumn("all_rows", F.lit(True)).groupBy("all_rows").applyInPandas(run, "pred long, true long")
 

@@ -123,8 +123,13 @@ def grown_map(spark, d):
     return on_a_map(points(spark, d), partition.breadth_first(seeds, edges(spark, d), points(spark, d)))
 
 
-@query()
+_SPREAD = f"""RECURSIVE {PTS}, {EDGES}, near AS (SELECT i, j FROM edges UNION ALL SELECT j, i FROM edges), one AS (SELECT min(id) AS id, regime FROM pts GROUP BY regime),
+walk AS (SELECT id, regime AS seed, 0 AS far FROM one UNION SELECT n.j, w.seed, w.far + 1 FROM walk w JOIN near n ON n.i = w.id WHERE w.far < (SELECT max(px) + max(py) FROM pts))"""
+
+
+@query(f"WITH {_SPREAD} SELECT 'lattice' AS instance, id, arg_min(seed, far * 1000 + seed) AS regime FROM walk GROUP BY id")
 def multi_source_bfs(spark, d):
+    """The label of the seed nearest over edges, the smallest on ties."""
     pts = points(spark, d)
     seeds = pts.groupBy("regime").agg(F.min("id").alias("id")).withColumn("instance", F.lit("lattice"))
     return partition.breadth_first(seeds, edges(spark, d), pts)
