@@ -5,7 +5,8 @@ run in the templates. A hit at word p of the document and word q of the template
 votes for the diagonal p - q; votes are summed by diagonal, diagonals a few
 words apart (words were put in or left out) are merged, and a merged span is
 verified: by the share of the template's words, or of its own if it has more,
-that its hits cover, each word once. Long templates, texts and notices of licenses, vote
+that its hits cover, each word once. Each diagonal is verified by itself and with those within a
+bounded distance above it, and of what overlaps the best is taken. Long templates, texts and notices of licenses, vote
 with runs of five words; phrases that name a license vote with runs of two and
 must be there whole, on one diagonal.
 """
@@ -91,6 +92,24 @@ TEMPLATES = {
         copy of this license, visit http://creativecommons.org/licenses/by/4.0/""",
     "cc-by-sa-4.0-notice": """This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International
         License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/""",
+    "bsd-3-clause": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission.""",
+    "apache-2.0-text": """Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby
+        grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to
+        reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and
+        such Derivative Works in Source or Object form.""",
+    "gpl-2.0-text": """The licenses for most software are designed to take away your freedom to share and change it. By contrast,
+        the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure
+        the software is free for all its users.""",
+    "gpl-3.0-text": """The GNU General Public License is a free, copyleft license for software and other kinds of works. The
+        licenses for most software and other practical works are designed to take away your freedom to share and change the
+        works.""",
+    "mpl-2.0-text": """Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: under intellectual
+        property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available,
+        modify, display, perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with
+        Modifications, or as part of a Larger Work""",
+    "cc-by-4.0-text": """By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and
+        conditions of this Creative Commons Attribution 4.0 International Public License""",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "gpl-3.0": "licensed under the GNU General Public License, version 3",
     "cc-by-4.0": "licensed under CC BY 4.0",
@@ -206,16 +225,21 @@ def named(votes: DataFrame, first: int, sizes: Sequence[int]) -> DataFrame:
 
 
 def spans(votes: DataFrame, sizes: Sequence[int], labels: Sequence[str], k: int = K, share: float = SHARE) -> DataFrame:
-    """k1, k2, label, first, last (words of the document) and share of each verified span of long templates (the first ones) of so many words."""
+    """k1, k2, label, first, last (words of the document) and share of each verified span of long templates (the first ones) of so many
+    words. Of diagonals that lie close the best run is a span: one by itself, or all within the template's words / SLACK above one."""
+    wide = _pick([max(1, n // SLACK) for n in sizes])
     order = Window.partitionBy("k1", "k2", "t").orderBy("d")
-    apart = F.coalesce(F.col("d") - F.lag("d").over(order) > _pick([n // SLACK for n in sizes]), F.lit(True)).cast("int")
-    merged = votes.where(F.col("t") < len(sizes)).withColumn("new", apart).withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy("k1", "k2", "t", "group").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"))
+    apart = F.coalesce(F.col("d") - F.lag("d").over(order) > wide, F.lit(True)).cast("int")
+    long = votes.where(F.col("t") < len(sizes)).withColumn("new", apart).withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    band = Window.partitionBy("k1", "k2", "t").orderBy("scaled").rangeBetween(0, 1 << 20)
+    runs = long.withColumn("scaled", F.floor(F.col("d") * (1 << 20) / wide)).select("k1", "k2", "t", "group", "at", "first", "last", F.flatten(F.collect_list("at").over(band)).alias("all"), F.min("first").over(band).alias("from"), F.max("last").over(band).alias("to"))
+    each = runs.select("k1", "k2", "t", "group", F.explode(F.array(F.struct("at", "first", "last"), F.struct(F.array_distinct("all").alias("at"), F.col("from").alias("first"), F.col("to").alias("last")))).alias("run")).select("k1", "k2", "t", "group", "run.at", "run.first", (F.col("run.last") + k - 1).alias("last"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda q: F.sequence(q, q + (k - 1))))))
     length = F.greatest(_pick(sizes).cast("long"), F.col("last") - F.col("first") + 1)  # words put in count against a span
-    verified = merged.withColumn("share", covered / length).where(F.col("share") >= _pick([1.0 if n <= SHORT else share for n in sizes]))
+    verified = each.withColumn("share", covered / length).where(F.col("share") >= _pick([1.0 if n <= SHORT else share for n in sizes]))
+    found = verified.groupBy("k1", "k2", "t", "group").agg(F.max(F.struct("share", (-F.col("first")).alias("early"), "first", "last")).alias("best")).select("k1", "k2", "t", "best.*")
     family = Window.partitionBy("k1", "k2", "family")
-    best = verified.withColumn("family", _pick([FAMILIES.get(x, x) for x in labels])).withColumn("most", F.max("share").over(family)).where("share = most")
+    best = found.withColumn("family", _pick([FAMILIES.get(x, x) for x in labels])).withColumn("most", F.max("share").over(family)).where("share = most")
     return best.select("k1", "k2", _pick(labels).alias("label"), "first", "last", "share")
 
 
