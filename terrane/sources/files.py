@@ -6,11 +6,12 @@ import json
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import closing
+from datetime import date
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import adjacency_wide, canonical
@@ -71,33 +72,143 @@ def artifact(path: str | Path, *keys: str) -> object | None:
 POLYGONS = (5, 15, 25)
 
 
-def _outlines(raw: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(number of the record from 0, number of the ring, points) of a shapefile's polygons."""
+#: Records of a shapefile or its table that one task reads at a time.
+RECORDS = 4096
+_VERTICES = "file string, area long, ring long, seq long, vx double, vy double"
+
+
+def _rings(body: bytes) -> Iterator[np.ndarray]:
+    """Points of each ring of a shapefile's record; none of what is no polygon."""
+    if len(body) >= 44 and int.from_bytes(body[:4], "little") in POLYGONS:
+        rings, points = np.frombuffer(body, "<i4", 2, 36)
+        starts = [*np.frombuffer(body, "<i4", rings, 44).tolist(), int(points)]
+        xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * rings).reshape(-1, 2)
+        yield from (xy[a:b] for a, b in zip(starts, starts[1:]))
+
+
+def _outlines(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """(number from 0, body) of the records of a whole shapefile."""
     at, record = 100, 0
     while at + 8 <= len(raw):
-        words = int.from_bytes(raw[at + 4 : at + 8], "big")
-        body = raw[at + 8 : at + 8 + 2 * words]
-        if len(body) >= 44 and int.from_bytes(body[:4], "little") in POLYGONS:
-            rings, points = np.frombuffer(body, "<i4", 2, 36)
-            starts = [*np.frombuffer(body, "<i4", rings, 44).tolist(), int(points)]
-            xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * rings).reshape(-1, 2)
-            for ring, (a, b) in enumerate(zip(starts, starts[1:])):
-                yield record, ring, xy[a:b]
-        at, record = at + 8 + 2 * words, record + 1
+        size = 2 * int.from_bytes(raw[at + 4 : at + 8], "big")
+        yield record, raw[at + 8 : at + 8 + size]
+        at, record = at + 8 + size, record + 1
+
+
+def _vertices(name: str, area: int, body: bytes) -> Iterator[pa.RecordBatch]:
+    for ring, xy in enumerate(_rings(body)):
+        n = len(xy)
+        yield pa.RecordBatch.from_pydict({"file": [name] * n, "area": np.full(n, area), "ring": np.full(n, ring), "seq": np.arange(n), "vx": xy[:, 0], "vy": xy[:, 1]})
+
+
+def _open(uri: str):
+    """A file for reading at any place, in a task."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
+def _sizes(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, length) of files under a path, and stem and name of each; nothing of them is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "length", F.regexp_replace("path", r"\.[^./]*$", "").alias("stem"), F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+def _ranges(files: DataFrame, n: Column) -> DataFrame:
+    """files with first and count, for each RECORDS of their n records; dealt out."""
+    some = files.withColumn("n", n.cast("long")).where("n > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RECORDS).cast("long"))))
+    return some.withColumn("count", F.least(F.lit(RECORDS).cast("long"), F.col("n") - F.col("first"))).repartition("path", "first")
 
 
 def shapefile_vertices(spark: SparkSession, path: str, pattern: str = "*.shp") -> DataFrame:
-    """(file, area, ring, seq, vx, vy) of the polygons of shapefiles under a path; area is the number of a record from 0. A file is a task."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
+    """(file, area, ring, seq, vx, vy) of the polygons of shapefiles under a path; area is the number of a record from 0.
 
-    def run(batches):
+    Where an index (.shx) lies beside a file, ranges of its records are read by tasks, a record at a time, so that a file may have any
+    size; a file without one is read whole by one task."""
+    shapes = _sizes(spark, path, pattern)
+    index = _sizes(spark, path, "*.shx").select("stem", F.col("path").alias("index"), F.col("length").alias("index_length"))
+
+    def by_range(batches):
         for batch in batches:
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                for area, ring, xy in _outlines(raw):
-                    n = len(xy)
-                    yield pa.RecordBatch.from_pydict({"file": [name.rpartition("/")[2]] * n, "area": np.full(n, area), "ring": np.full(n, ring), "seq": np.arange(n), "vx": xy[:, 0], "vy": xy[:, 1]})
+            for uri, index, name, first, count in zip(*(batch.column(c).to_pylist() for c in ("path", "index", "name", "first", "count"))):
+                with _open(index) as places, _open(uri) as file:
+                    places.seek(100 + 8 * first)
+                    for k, (offset, words) in enumerate(np.frombuffer(places.read(8 * count), ">i4").reshape(-1, 2).tolist()):
+                        file.seek(2 * (offset & 0xFFFFFFFF) + 8)
+                        yield from _vertices(name, first + k, file.read(2 * words))
+
+    def whole(batches):
+        for batch in batches:
+            for uri, name in zip(batch.column("path").to_pylist(), batch.column("name").to_pylist()):
+                with _open(uri) as file:
+                    for area, body in _outlines(file.read()):
+                        yield from _vertices(name, area, body)
+
+    indexed = _ranges(shapes.join(index, "stem"), (F.col("index_length") - 100) / 8)
+    return indexed.mapInArrow(by_range, _VERTICES).unionByName(shapes.join(index, "stem", "left_anti").mapInArrow(whole, _VERTICES))
+
+
+def _fields(head: bytes) -> list[tuple[str, str, int, int, int]]:
+    """(name, kind, place in a record, width, digits after the point) of the fields that the head of a table (.dbf) describes."""
+    out, at, place = [], 32, 1
+    while at + 32 <= len(head) and head[at] != 13:
+        out.append((head[at : at + 11].split(b"\0")[0].decode("ascii", "replace"), chr(head[at + 11]), place, head[at + 16], head[at + 17]))
+        at, place = at + 32, place + head[at + 16]
+    return out
+
+
+def _value(kind: str, digits: int, raw: str):
+    raw = raw.strip(" \0")
+    if kind in "NF":
+        number = raw if raw and not raw.startswith("*") else None
+        return number and (int(number) if kind == "N" and not digits and "." not in number else float(number))
+    if kind == "L":
+        return {"T": True, "Y": True, "F": False, "N": False}.get(raw.upper())
+    if kind == "D":
+        return date(int(raw[:4]), int(raw[4:6]), int(raw[6:8])) if raw.isdigit() and len(raw) == 8 and int(raw) else None
+    return raw
+
+
+def shapefile_attributes(spark: SparkSession, path: str, pattern: str = "*.dbf", encoding: str = "latin-1") -> DataFrame:
+    """(file, area and the fields) of the tables beside shapefiles under a path: area is the number of a record from 0, file the name of the
+    shapefile. All have the fields of the first. Ranges of records are read by tasks; the driver reads one head. Deleted records are left out, blanks are null but in texts."""
+    files = _sizes(spark, path, pattern)
+    one = files.select(F.min("path")).first()[0]
+    if one is None:
+        raise FileNotFoundError(f"no {pattern} under {path}")
+    where, fs = _at(one)
+    with closing(fs.open(where)) as file:
+        head = bytes(SparkSession.active()._jvm.org.apache.commons.io.IOUtils.toByteArray(file, min(65535, fs.getFileStatus(where).getLen())))
+    size = int.from_bytes(head[8:10], "little")
+    fields, width = _fields(head[:size]), int.from_bytes(head[10:12], "little")
+    kinds = {"L": "boolean", "D": "date", "F": "double"}
+    kind = lambda k, digits: ("double" if digits else "long") if k == "N" else kinds.get(k, "string")
+    arrow = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "date": pa.date32(), "string": pa.string()}
+    names = ["file", "area", *(f[0] for f in fields)]
+    types = [pa.string(), pa.int64(), *(arrow[kind(k, n)] for _, k, _, _, n in fields)]
 
-    return files.mapInArrow(run, "file string, area long, ring long, seq long, vx double, vy double")
+    def run(batches):
+        for batch in batches:
+            for uri, name, first, count in zip(*(batch.column(c).to_pylist() for c in ("path", "name", "first", "count"))):
+                with _open(uri) as file:
+                    if [f[:4] for f in _fields(file.read(size))] != [f[:4] for f in fields]:
+                        raise ValueError(f"{name} has other fields")
+                    file.seek(size + width * first)
+                    raw = file.read(width * count)
+                rows = [(k, raw[k * width : (k + 1) * width]) for k in range(len(raw) // width)]
+                rows = [(k, r) for k, r in rows if r[:1] != b"*"]
+                shape = name.rpartition(".")[0] + ".shp"
+                columns = [[shape] * len(rows), [first + k for k, _ in rows], *([_value(t, n, r[at : at + w].decode(encoding)) for _, r in rows] for _, t, at, w, n in fields)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, ("string", "long", *(kind(k, n) for _, k, _, _, n in fields))))
+    return _ranges(files, F.floor((F.col("length") - size) / width)).mapInArrow(run, schema)
+
+
+def shapefile_areas(spark: SparkSession, path: str) -> DataFrame:
+    """The vertices of shapefiles under a path with the fields of their areas (AreaKey, Name ..) beside them; areas without a row in a table have nulls."""
+    return shapefile_vertices(spark, path).join(shapefile_attributes(spark, path), ["file", "area"], "left")
 
 
 def vertex_table(df: DataFrame, area: str, rings: str) -> DataFrame:
