@@ -35,7 +35,7 @@ REFERENCES, WIDTH = 12, 8
 #: similar enough that all tables together may miss.
 KEY_BITS, IN_BUCKET, MISSED = 20, 64, 0.0875
 #: Rows of a bucket up to which all its pairs are verified at once, and rows that one of a larger bucket is verified against in the first turn.
-SMALL, ASKED = 32, 16
+SMALL, ASKED = 8, 16
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -247,7 +247,7 @@ def _first_asks(bits: np.ndarray, distances: np.ndarray, most: int) -> tuple[np.
 
     Rows are taken by components of links up to `most` bits. All pairs of a small one
     are taken; of a large one each row with the one closest to what most of them
-    have, which is near to what copies were made from, and with the row before it in the order of their distances from there."""
+    have, which is near to what copies were made from."""
     n = len(bits)
     root = np.zeros(n, int) if n <= SMALL else reach(bits, distances, most)
     a, b, more = [], [], False
@@ -258,8 +258,8 @@ def _first_asks(bits: np.ndarray, distances: np.ndarray, most: int) -> tuple[np.
             i, j = rows[i], rows[j]
         else:
             middle = np.packbits(2 * np.unpackbits(np.ascontiguousarray(bits[rows]).view(np.uint8), axis=1).sum(0, dtype=np.int64) > len(rows)).view(np.uint64)
-            order = rows[np.argsort(np.bitwise_count(bits[rows] ^ middle).sum(1), kind="stable")]
-            i, j, more = np.concatenate([order[1:], order[2:]]), np.concatenate([np.full(len(order) - 1, order[0]), order[1:-1]]), True
+            first = rows[np.bitwise_count(bits[rows] ^ middle).sum(1).argmin()]
+            i, j, more = rows[rows != first], np.full(len(rows) - 1, first), True
         near = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= most
         a.append(i[near])
         b.append(j[near])
