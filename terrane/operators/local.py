@@ -345,11 +345,8 @@ def regime_fit(obs: DataFrame, bandwidth: str | int | Mapping[int, int] = "regim
 
 def shared_fit(obs: DataFrame, k: int, kernel: str = "bisquare", regime: str = "regime") -> DataFrame:
     """Bandwidths from all rows, then only rows of the same regime weigh; rows that can't be told get NaN."""
-    p = n_terms(obs)
-    keyed = obs.select("id", regime)
-    table = with_reach(pairs(obs, nearest=k if kernel == "bisquare" else None), F.lit(k))
-    table = table.join(keyed.select(F.col("id").alias("i"), F.col(regime).alias("ri")), "i").join(keyed.select(F.col("id").alias("j"), F.col(regime).alias("rj")), "j")
-    return _finished(table.where("ri = rj"), p, kernel, strict=True)
+    table = with_reach(pairs(obs, nearest=k if kernel == "bisquare" else None, carry=[regime]), F.lit(k))
+    return _finished(table.where(F.col(f"f_{regime}") == F.col(regime)), n_terms(obs), kernel, strict=True)
 
 
 def ols(obs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
