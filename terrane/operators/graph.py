@@ -64,6 +64,27 @@ def _ways(points: DataFrame, comp: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["cx", "cy"]).where("i < j and ri <> rj").select("i", "j", d.alias("d")).where((F.col("d") > 0) & (F.col("d") <= radius))
 
 
+def _boruvka(ways: DataFrame, comp: DataFrame, tree: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The tree's edges (i, j, d) and components (node, root) after all rounds over ways (i, j, d, ri, rj) between components: each takes
+    its least way out, and components that meet become one. ways, comp and tree are removed."""
+    while True:
+        each = ways.select(F.explode(F.array("ri", "rj")).alias("root"), F.struct("d", "i", "j", "ri", "rj").alias("e"))
+        chosen = kept(each.groupBy("root").agg(F.min("e").alias("e")).select("e.*").distinct())
+        if tree is None:
+            tree = chosen.select("i", "j", "d")
+        if chosen.isEmpty():
+            dropped(ways)
+            return tree, comp
+        tree, before = kept(tree.unionByName(chosen.select("i", "j", "d")).distinct()), (tree, ways, comp)
+        # components of components: their nodes are the roots, and the edges those just chosen
+        new = kept(components(chosen.select(F.explode(F.array("ri", "rj")).alias("id")).distinct(), chosen.select(F.col("ri").alias("i"), F.col("rj").alias("j"))))
+        to = lambda c: new.select(F.col("node").alias(c), F.col("root").alias(f"{c}_new"))  # noqa: B023, E731
+        comp = kept(comp.join(to("root"), "root", "left").select("node", F.coalesce("root_new", "root").alias("root")))
+        moved = ways.join(to("ri"), "ri", "left").join(to("rj"), "rj", "left")
+        ways = kept(moved.select("i", "j", "d", F.coalesce("ri_new", "ri").alias("ri"), F.coalesce("rj_new", "rj").alias("rj")).where("ri <> rj"))
+        dropped(*before, chosen, new)
+
+
 def spanning_tree(points: DataFrame, x: str = "px", y: str = "py", key: str = "id") -> DataFrame:
     """Edges (i, j, d) of the minimum spanning tree. Points at the same place aren't linked to each other directly.
 
@@ -77,22 +98,7 @@ def spanning_tree(points: DataFrame, x: str = "px", y: str = "py", key: str = "i
     radius = 2.5 * math.sqrt(max(ends.w, flat / ends.n) * max(ends.h, flat / ends.n) / ends.n) if flat else 1.0
     while True:
         ways = kept(_ways(at, comp, radius).join(comp.select(F.col("node").alias("i"), F.col("root").alias("ri")), "i").join(comp.select(F.col("node").alias("j"), F.col("root").alias("rj")), "j"))
-        while True:
-            each = ways.select(F.explode(F.array("ri", "rj")).alias("root"), F.struct("d", "i", "j", "ri", "rj").alias("e"))
-            chosen = kept(each.groupBy("root").agg(F.min("e").alias("e")).select("e.*").distinct())
-            if tree is None:
-                tree = chosen.select("i", "j", "d")
-            if chosen.isEmpty():
-                break
-            tree, before = kept(tree.unionByName(chosen.select("i", "j", "d")).distinct()), (tree, ways, comp)
-            # components of components: their nodes are the roots, and the edges those just chosen
-            new = kept(components(chosen.select(F.explode(F.array("ri", "rj")).alias("id")).distinct(), chosen.select(F.col("ri").alias("i"), F.col("rj").alias("j"))))
-            to = lambda c: new.select(F.col("node").alias(c), F.col("root").alias(f"{c}_new"))  # noqa: B023, E731
-            comp = kept(comp.join(to("root"), "root", "left").select("node", F.coalesce("root_new", "root").alias("root")))
-            moved = ways.join(to("ri"), "ri", "left").join(to("rj"), "rj", "left")
-            ways = kept(moved.select("i", "j", "d", F.coalesce("ri_new", "ri").alias("ri"), F.coalesce("rj_new", "rj").alias("rj")).where("ri <> rj"))
-            dropped(*before, chosen, new)
-        dropped(ways)
+        tree, comp = _boruvka(ways, comp, tree)
         if radius > 2 * flat or comp.select("root").distinct().limit(2).count() < 2:
             return tree
         radius *= 3
@@ -119,6 +125,100 @@ def _stars(hung: DataFrame) -> bool:
     return once.join(under, "a", "left").where("n > 1 or holds").isEmpty()
 
 
+def spanning_forest(nodes: DataFrame, edges: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """A tree (i, j) of each component of the graph, and (node, root) with root its smallest node."""
+    ways = kept(canonical(edges).select("i", "j", F.lit(0).alias("d"), F.col("i").alias("ri"), F.col("j").alias("rj")))
+    tree, comp = _boruvka(ways, nodes.select(F.col(key).alias("node"), F.col(key).alias("root")), None)
+    return tree.select("i", "j"), comp
+
+
+def _tour(tree: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, parent, root, pre, last): where a walk around each tree, from its root, comes to a node and leaves it; a subtree is what is
+    come to from pre up to last. The root comes at 0 and has no parent.
+
+    After the step u to v the walk goes to v's neighbour that follows u, the first after the last one. Steps to the end are counted
+    by jumping: each round doubles what a step looks past, and a step is asked for by one other only."""
+    at = Window.partitionBy("i").orderBy("j")
+    around = both_ways(tree).withColumn("after", F.lead("j").over(at)).join(comp.select(F.col("node").alias("i"), "root"), "i")
+    first = both_ways(tree).groupBy("i").agg(F.min("j").alias("first"))
+    follows = F.when(F.col("after").isNotNull() | (F.col("i") != F.col("root")), F.coalesce("after", "first"))
+    # a row (i, j) tells what follows the step from j to i
+    steps = around.join(first, "i").select(F.col("j").alias("a"), F.col("i").alias("b"), "root", F.when(follows.isNotNull(), F.col("i")).alias("na"), follows.alias("nb"))
+    steps = kept(steps.withColumn("left", F.when(F.col("na").isNull(), 0).otherwise(1).cast("long")))
+    while not steps.where("na is not null").isEmpty():
+        before = steps
+        for _ in range(2):
+            ahead = steps.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("na").alias("ma"), F.col("nb").alias("mb"), F.col("left").alias("more"))
+            jumped = steps.where("na is not null").join(ahead, ["na", "nb"]).select("a", "b", "root", F.col("ma").alias("na"), F.col("mb").alias("nb"), (F.col("left") + F.col("more")).alias("left"))
+            steps = jumped.unionByName(steps.where("na is null"))
+        steps = kept(steps)
+        dropped(before)
+    whole = comp.groupBy("root").agg((2 * (F.count(F.lit(1)) - 1)).alias("size"))
+    pairs = steps.groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "root").agg(F.max(F.struct("left", "a", "b")).alias("down"), F.min("left").alias("up"))
+    below = pairs.join(whole, "root").select(F.col("down.b").alias("node"), F.col("down.a").alias("parent"), "root", (F.col("size") - F.col("down.left")).alias("pre"), (F.col("size") - F.col("up")).alias("last"))
+    tops = whole.select(F.col("root").alias("node"), F.lit(None).cast(tree.schema["i"].dataType).alias("parent"), "root", F.lit(0).cast("long").alias("pre"), (F.col("size") + 1).alias("last"))
+    out = kept(below.unionByName(tops))
+    dropped(steps)
+    return out
+
+
+#: Bits of a place that a level of blocks leaves out.
+LEVEL = 4
+
+
+def _reach(tour: DataFrame, others: DataFrame) -> DataFrame:
+    """(node, low, high): the least and greatest place that a node's subtree holds or has an edge (i, j of others) to.
+
+    Least and greatest are kept for blocks of 1, 16, 256 .. places; a subtree's places are covered by at most 30 blocks a level."""
+    place = tour.select(F.col("node").alias("j"), "pre")
+    own = tour.select("node", F.col("pre").alias("lo"), F.col("pre").alias("hi"))
+    each = own.unionByName(both_ways(others).join(place, "j").select(F.col("i").alias("node"), F.col("pre").alias("lo"), F.col("pre").alias("hi")))
+    each = each.groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(tour.select("node", "root", "pre"), "node")
+    top = int(tour.agg(F.max("last")).first()[0] or 0).bit_length() // LEVEL
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
+    shift = lambda c, l: F.expr(f"shiftright({c}, {LEVEL} * {l})")  # noqa: E731, E741
+    up = lambda l: F.expr(f"shiftright(pre + shiftleft(1L, {LEVEL} * {l}) - 1, {LEVEL} * {l})")  # noqa: E731, E741
+    blocks = each.select("root", "pre", "lo", "hi", levels).groupBy("root", "level", shift("pre", "level").alias("block")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    cover = tour.select("node", "root", "pre", "last", levels).select("node", "root", "level", up("level").alias("a"), shift("last", "level").alias("b"), up("(level + 1)").alias("a1"), shift("last", "(level + 1)").alias("b1")).where("a < b")
+    wide = 1 << LEVEL
+    cover = cover.select("node", "root", "level", F.explode(F.when((F.col("a1") < F.col("b1")) & (F.col("level") < top), F.concat(run(F.col("a"), wide * F.col("a1")), run(wide * F.col("b1"), F.col("b")))).otherwise(run(F.col("a"), F.col("b")))).alias("block"))
+    return cover.join(blocks, ["root", "level", "block"]).groupBy("node").agg(F.min("lo").alias("low"), F.max("hi").alias("high"))
+
+
+def articulation_points(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
+    """(node, root, splits): each node's component, by its smallest node, and whether the component falls apart without the node.
+
+    Edges of a spanning forest lie in one block (no node splits it) if an edge outside the forest spans both: such links between tree
+    edges, each named by its lower end, are read off the places of a walk around the trees, and blocks are their components. A node
+    splits where its tree edges are of several blocks. Rounds grow with the logarithm of the nodes, whatever the graph's width; the
+    neighbours of one node are sorted in one task, which spills. Loops and repeated edges don't matter; no nodes give no rows."""
+    tree, comp = spanning_forest(nodes.select(key).distinct(), edges, key)
+    tour = _tour(tree, comp)
+    others = kept(canonical(edges).join(tree, ["i", "j"], "left_anti"))
+    ends = with_ends(others, tour.withColumnRenamed("node", "id"), ["pre", "last"])
+    apart = ends.where("last_i < pre_j or last_j < pre_i").select("i", "j")
+    held = tour.join(_reach(tour, others), "node").join(tour.select(F.col("node").alias("parent"), F.col("parent").alias("above"), F.col("pre").alias("p"), F.col("last").alias("l")), "parent")
+    along = held.where("above is not null and (low < p or high > l)").select(F.col("parent").alias("i"), F.col("node").alias("j"))
+    hung = tour.where("parent is not null").select("node", "parent")
+    block = components(hung, apart.unionByName(along), "node").withColumnRenamed("root", "block").join(hung, "node")
+    met = block.select(F.explode(F.array("node", "parent")).alias("node"), "block").groupBy("node").agg((F.min("block") < F.max("block")).alias("splits"))
+    out = kept(comp.join(met, "node", "left").select("node", "root", F.coalesce("splits", F.lit(False)).alias("splits")))
+    dropped(tour, others, comp)
+    return out
+
+
+def critical_nodes(labels: DataFrame, edges: DataFrame, regime: str = "regime") -> DataFrame:
+    """(id, regime, n, critical): whether what is left of a row's regime (of n rows) lies in several parts without it. Nothing is critical in
+    regimes of up to two rows; in a regime of two parts all but a row that is a part by itself, in one of more parts every row."""
+    inside = cut_edges(edges, labels, regime).where("not cut").select("i", "j")
+    each = kept(articulation_points(labels, inside).join(labels.select(F.col("id").alias("node"), regime), "node"))
+    part = each.groupBy(regime, "root").agg(F.count(F.lit(1)).alias("part_n"))
+    size = part.groupBy(regime).agg(F.sum("part_n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    bad = F.when(F.col("n") <= 2, False).when(F.col("parts") == 1, F.col("splits")).otherwise((F.col("parts") > 2) | (F.col("part_n") > 1))
+    return each.join(part, [regime, "root"]).join(size, regime).select(F.col("node").alias("id"), regime, "n", bad.alias("critical"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     counts = both_ways(edges).groupBy(F.col("i").alias(key)).agg(F.count(F.lit(1)).alias("degree"))
     return nodes.select(key).join(counts, key, "left").select(key, F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))

@@ -378,19 +378,6 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataF
     return out.select("instance", "id", F.coalesce("regime", F.raise_error(F.lit("some nodes can't be reached from a seed")).cast("long")).alias("regime"))
 
 
-def critical_nodes(labels: DataFrame, edges: DataFrame, regime: str = "regime") -> DataFrame:
-    """(regime, n_critical): rows without which their regime falls apart; none in regimes of up to two."""
-
-    def run(instance, r, e):
-        ids, z = r["id"].to_numpy(), r[regime].to_numpy().astype(int)
-        one = Instance(np.zeros((len(ids), 1)), np.zeros(len(ids)), np.zeros((len(ids), 2)), _edge_array(e, ids), Refinement(spare=0))
-        sizes = dict(zip(*np.unique(z, return_counts=True)))
-        bad = np.array([sizes[z[i]] > 2 and not one.may_leave(i, z) for i in range(len(ids))])
-        return pd.DataFrame({"regime": list(sizes), "n_critical": [int(bad[z == g].sum()) for g in sizes]})
-
-    return _on_one(labels.withColumn("instance", F.lit("")), edges, run, "regime long, n_critical long")
-
-
 def _assigned(gain: np.ndarray) -> np.ndarray:
     """For each row of gains (rows <= columns) its column, so that the sum is largest: shortest augmenting paths over reduced costs."""
     n, m = gain.shape

@@ -104,7 +104,31 @@ hit AS (SELECT gone, count(*) AS n FROM left_ GROUP BY gone)"""
 
 @query(f"WITH {_WITHOUT} SELECT p.regime, count(CASE WHEN s.n > 2 AND h.n < s.n - 1 THEN 1 END) AS n_critical FROM pts p JOIN size s USING (regime) JOIN hit h ON h.gone = p.id GROUP BY p.regime")
 def critical_nodes(spark, d):
-    return partition.critical_nodes(points(spark, d), edges(spark, d))
+    each = graph.critical_nodes(points(spark, d), edges(spark, d))
+    return each.groupBy("regime").agg(F.sum(F.col("critical").cast("long")).alias("n_critical"))
+
+
+@query(f"WITH {_WITHOUT} SELECT p.id, p.regime, s.n, s.n > 2 AND h.n < s.n - 1 AS critical, s.n > 25 AND h.n = s.n - 1 AS may_leave FROM pts p JOIN size s USING (regime) JOIN hit h ON h.gone = p.id")
+def removable_nodes(spark, d):
+    """Each row with whether its regime falls apart without it, and whether it may leave a regime that must keep 25 rows in one piece."""
+    each = graph.critical_nodes(points(spark, d), edges(spark, d))
+    return each.withColumn("may_leave", (F.col("n") > 25) & ~F.col("critical"))
+
+
+_LACE = "lace AS (SELECT i, j FROM edges WHERE (i * 31 + j * 17) % 5 < 2)"
+_LACE_ENDS = f"""RECURSIVE {PTS}, {EDGES}, {_LACE}, near AS (SELECT i, j FROM lace UNION ALL SELECT j, i FROM lace),
+walk AS (SELECT id AS node, id AS root FROM pts UNION SELECT n.j, w.root FROM walk w JOIN near n ON n.i = w.node WHERE n.j > w.root),
+comp AS (SELECT node, min(root) AS root FROM walk GROUP BY node), size AS (SELECT root, count(*) AS n FROM comp GROUP BY root),
+rest AS (SELECT node, root, (SELECT min(q.node) FROM comp q WHERE q.root = c.root AND q.node <> c.node) AS one FROM comp c),
+left_ AS (SELECT node AS gone, one AS node FROM rest WHERE one IS NOT NULL UNION SELECT l.gone, n.j FROM left_ l JOIN near n ON n.i = l.node WHERE n.j <> l.gone),
+hit AS (SELECT gone, count(*) AS n FROM left_ GROUP BY gone)"""
+
+
+@query(f"WITH {_LACE_ENDS} SELECT c.node, c.root, coalesce(h.n < s.n - 1, false) AS splits FROM comp c JOIN size s USING (root) LEFT JOIN hit h ON h.gone = c.node")
+def articulation_points(spark, d):
+    """Of the lattice's edges two in five are taken, so that parts, bridges and blocks of every size come up."""
+    lace = edges(spark, d).where("(i * 31 + j * 17) % 5 < 2")
+    return graph.articulation_points(points(spark, d), lace)
 
 
 _SHARES = "sh AS (SELECT id, (px - min(px) OVER ()) / (max(px) OVER () - min(px) OVER ()) AS u, (py - min(py) OVER ()) / (max(py) OVER () - min(py) OVER ()) AS v FROM pts)"
