@@ -119,12 +119,56 @@ def weights(d: np.ndarray, bandwidth: int | float | None, kernel: str = "bisquar
     return np.exp(-0.5 * u * u) if kernel == "gaussian" else np.exp(-u)
 
 
+class Sums:
+    """Of each regime, seen from every row: sums of d^0, d^2 and d^4 times the products of terms and response, from which a bisquare fit out to
+    the regime's farthest row is read off, as its weight is a polynomial in d^2. A move takes one row from a regime's sums and adds it to another's."""
+
+    def __init__(self, one: Instance, labels: np.ndarray) -> None:
+        n, p = one.x.shape
+        self.p, self.d2 = p, one.d**2
+        self.terms = np.concatenate([(one.x[:, :, None] * one.x[:, None]).reshape(n, p * p), one.x * one.y[:, None]], 1)
+        self.size, self.by_power = {}, {}
+        for g in np.unique(labels).tolist():
+            rows = np.flatnonzero(labels == g)
+            away, t = self.d2[:, rows], self.terms[rows]
+            self.size[g], self.by_power[g] = len(rows), [t.sum(0), away @ t, away**2 @ t]
+        self.labels = labels.copy()
+
+    def move(self, i: int, own: int, to: int) -> None:
+        each = self.d2[:, i, None] * self.terms[i]
+        for g, sign in ((own, -1), (to, 1)):
+            self.size[g] += sign
+            for power, add in enumerate((self.terms[i], each, self.d2[:, i, None] * each)):
+                self.by_power[g][power] += sign * add
+        self.labels[i] = to
+
+    def surely_full(self, i: int, g: int) -> bool:
+        """Whether the terms of regime g without row i are far from dependent; if not, it takes a look at the rows."""
+        m = self.by_power[g][0] - (self.terms[i] if self.labels[i] == g else 0.0)
+        values = np.linalg.eigvalsh(m[: self.p**2].reshape(self.p, self.p))
+        return bool(values[0] > 1e-8 * values[-1])
+
+    def fit(self, i: int, g: int, away: np.ndarray) -> np.ndarray | None:
+        """Coefficients at row i of regime g without it, its other rows being away; None where weights all but vanish, as sums would lose their digits."""
+        zero, two, four = self.by_power[g]
+        b2 = float(np.nextafter(away.max(), np.inf)) ** 2
+        if b2 <= 1e-24:
+            return None
+        other = zero - (self.terms[i] if self.labels[i] == g else 0.0)
+        s = other - 2 * two[i] / b2 + four[i] / b2**2
+        m = s[: self.p**2].reshape(self.p, self.p)
+        if np.trace(m) < 1e-4 * np.trace(other[: self.p**2].reshape(self.p, self.p)):
+            return None
+        return solve(m[None], s[None, self.p**2 :, None])[0, :, 0]
+
+
 class Instance:
     """Observations of one instance: design matrix, response, distances, neighbours."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, xy: np.ndarray, edges: np.ndarray, how: Refinement) -> None:
         self.x, self.y, self.how, self.edges = x, y, how, edges
         self.near = neighbour_lists(len(y), edges)
+        self.beside = [set(v.tolist()) for v in self.near]
         self.d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
 
     def fit(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,55 +190,76 @@ class Instance:
     def cuts(self, labels: np.ndarray) -> int:
         return int((labels[self.edges[:, 0]] != labels[self.edges[:, 1]]).sum()) if len(self.edges) else 0
 
-    def error(self, i: int, g: int, labels: np.ndarray) -> float:
-        """The squared error at row i of a fit to regime g without it."""
-        rows = np.flatnonzero(labels == g)
-        rows = rows[rows != i]
+    def error(self, i: int, g: int, labels: np.ndarray, sums: Sums | None = None) -> float:
+        """The squared error at row i of a fit to regime g without it, from the regime's sums where they give it."""
         p = self.x.shape[1]
-        if len(rows) < max(p + self.how.fit, self.how.fit_size):
+        n = int((labels == g).sum() if sums is None else sums.size[g]) - int(labels[i] == g)
+        if n < max(p + self.how.fit, self.how.fit_size):
             return np.inf
-        if self.how.full_rank and np.linalg.matrix_rank(self.x[rows]) < p:
+        rows = np.flatnonzero(labels == g)
+        rows = rows[rows != i]
+        if self.how.full_rank and not (sums is not None and sums.surely_full(i, g)) and np.linalg.matrix_rank(self.x[rows]) < p:
             return np.inf
-        w = weights(self.d[i, rows], self.how.bandwidth, self.how.kernel)
-        xg = self.x[rows]
-        beta = solve(((xg * w[:, None]).T @ xg)[None], ((xg * w[:, None]).T @ self.y[rows])[None, :, None])[0, :, 0]
+        beta = None if sums is None else sums.fit(i, g, self.d[i, rows])
+        if beta is None:
+            w = weights(self.d[i, rows], self.how.bandwidth, self.how.kernel)
+            xg = self.x[rows]
+            beta = solve(((xg * w[:, None]).T @ xg)[None], ((xg * w[:, None]).T @ self.y[rows])[None, :, None])[0, :, 0]
         return float((self.y[i] - self.x[i] @ beta) ** 2)
 
-    def may_leave(self, i: int, labels: np.ndarray) -> bool:
-        """Whether row i's regime stays large enough, and in one piece, without it."""
-        rest = np.flatnonzero(labels == labels[i])
+    def in_one_piece(self, rows: np.ndarray) -> bool:
+        left = set(rows.tolist())
+        todo = [left.pop()] if left else []
+        while todo and left:
+            found = left & self.beside[todo.pop()]
+            left -= found
+            todo += found
+        return not left
+
+    def may_leave(self, i: int, labels: np.ndarray, whole: dict[int, bool] | None = None) -> bool:
+        """Whether row i's regime stays large enough, and in one piece, without it.
+
+        Where the regime is whole and the row's neighbours in it are linked to each other, no search through the regime is
+        needed; whole keeps what is known of regimes."""
+        own = int(labels[i])
+        rest = np.flatnonzero(labels == own)
         rest = rest[rest != i]
         if len(rest) < self.how.spare:
             return False
         if not self.how.connected or len(rest) <= 1:
             return True
-        left, todo = set(rest.tolist()), [int(rest[0])]
-        left.discard(todo[0])
-        while todo and left:
-            found = left.intersection(self.near[todo.pop()].tolist())
-            left -= found
-            todo += found
-        return not left
+        ring = self.near[i][labels[self.near[i]] == own]
+        if whole is not None and len(ring) and self.in_one_piece(ring):
+            if own not in whole:
+                whole[own] = self.in_one_piece(np.append(rest, i))
+            if whole[own]:
+                return True
+        return self.in_one_piece(rest)
 
     def sweep(self, labels: np.ndarray, number: int) -> tuple[np.ndarray, list[dict]]:
         """One pass over the rows in a seeded order; each move is seen by the rows after it."""
         z, moves, how = labels.copy(), [], self.how
+        sums = Sums(self, z) if how.bandwidth is None and how.kernel == "bisquare" else None
+        whole: dict[int, bool] = {}
         rows: np.ndarray | int = len(z)
         if how.nodes == "boundary":
             cut = self.edges[z[self.edges[:, 0]] != z[self.edges[:, 1]]]
             rows = np.unique(cut)
         for i in np.random.default_rng(how.seed + number).permutation(rows).tolist():
             own, around = int(z[i]), z[self.near[i]]
-            if not self.may_leave(i, z):
+            if not self.may_leave(i, z, whole):
                 continue
             costs = {}
             for g in sorted({*around.tolist(), own}):
                 away = int((around != g).sum())
-                costs[g] = (error := self.error(i, g, z)) + how.penalty * away, error, away
+                costs[g] = (error := self.error(i, g, z, sums)) + how.penalty * away, error, away
             to = min(costs, key=lambda g: (costs[g][0], g != own, g))
             if to != own and costs[to][0] < costs[own][0] - how.gain:
                 moves.append({"iteration": number, "node": i, "from_regime": own, "to_regime": to} | {f"{a}_{b}": v for a, g in (("old", own), ("new", to)) for b, v in zip(("cost", "error", "disagreement"), costs[g])})
                 z[i] = to
+                if sums is not None:
+                    sums.move(i, own, to)
+                whole = {g: True for g, one in whole.items() if one}  # a row that comes may join parts, and never makes new ones
         return z, moves
 
     def refine(self, labels: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], list[dict], list[dict], str]:

@@ -3,12 +3,14 @@
 import itertools
 import random
 import time
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terrane import simulate
+from terrane.config import VARIANTS
 from terrane.operators import partition
 
 
@@ -77,3 +79,23 @@ def test_labels_are_matched_by_rows_of_counts(spark):
     rows = [(0, 5, 10), (0, 6, 1), (1, 5, 11), (1, 6, 9), (2, 7, 1)]
     got = {r.pred: r.true for r in partition.best_match(spark.createDataFrame(rows, "pred long, true long, n long")).collect()}
     assert got == {0: 5, 1: 6, 2: 7}
+
+
+def test_sums_that_follow_moves_give_the_errors_of_whole_refits():
+    draw = np.random.default_rng(5)
+    xy = np.array([(a, b) for a in range(9) for b in range(9)], float)
+    edges = np.array([(i, j) for i in range(81) for j in range(i + 1, 81) if abs(xy[i] - xy[j]).max() <= 1])
+    x = np.column_stack([np.ones(81), draw.normal(size=(81, 2))])
+    one = partition.Instance(x, draw.normal(size=81), xy, edges, replace(VARIANTS["county"], bandwidth=None, full_rank=True))
+    labels = np.repeat([4, 1, 7], 27)
+    sums, whole = partition.Sums(one, labels), {}
+    for _ in range(60):
+        i = int(draw.integers(81))
+        for g in (1, 4, 7):
+            assert np.isclose(one.error(i, g, labels, sums), one.error(i, g, labels), rtol=1e-9)
+        assert one.may_leave(i, labels, whole) == one.may_leave(i, labels)
+        own, to = int(labels[i]), int(draw.choice(labels[one.near[i]]))
+        if to != own and (labels == own).sum() > 12:
+            labels[i] = to
+            sums.move(i, own, to)
+            whole = {}
