@@ -30,6 +30,8 @@ from ..functions.linalg import regular, solve
 from ..tables import dropped, kept
 
 SMALL = 1e-12
+#: Neighbours from which on whole cells are weighed at once.
+FAR = 1000
 #: Regimes up to which their moments are sent to every task.
 MANY_REGIMES = 10_000
 
@@ -216,9 +218,16 @@ def solved(sums: DataFrame, p: int, by: Sequence[str] = ("i",), strict: bool = F
     return sums.mapInArrow(_solver(p, by, strict), f"{kinds}, {', '.join(f'b{a} double' for a in range(p))}, fitted double, resid double, hat double")
 
 
-def local_fit(obs: DataFrame, bandwidth: int | float, kernel: str = "bisquare", boundary: str = "next", counts: bool | None = None, strict: bool = False) -> DataFrame:
-    """A local regression at each row: id, b0 .., fitted, resid, hat."""
+def local_fit(obs: DataFrame, bandwidth: int | float, kernel: str = "bisquare", boundary: str = "next", counts: bool | None = None, strict: bool = False, far: bool | None = None) -> DataFrame:
+    """A local regression at each row: id, b0 .., fitted, resid, hat.
+
+    far: whether cells within a bisquare bandwidth are weighed as one, as suits bandwidths that reach many rows; by default
+    from so many neighbours on, and never for a distance, as how many rows it reaches isn't known here."""
     p, counts = n_terms(obs), isinstance(bandwidth, int) if counts is None else counts
+    if kernel == "bisquare" and (far or far is None and counts and bandwidth >= FAR):
+        from .cells import far_fit
+
+        return far_fit(obs, bandwidth, counts, boundary, strict)
     if counts:
         table = with_reach(pairs(obs, nearest=int(bandwidth) if kernel == "bisquare" else None), F.lit(int(bandwidth)), boundary)
     else:

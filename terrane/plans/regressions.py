@@ -81,6 +81,20 @@ def gwr_gaussian(spark, d):
     return local.local_fit(observed(spark, d), RADIUS, "gaussian")
 
 
+_QUARTER = "(SELECT count(*) // 4 FROM pts)"
+
+
+@query(_FIT, ctes=(PTS, PAIRS, fit_sql("f", reach_sql(_QUARTER))))
+def gwr_quarter(spark, d):
+    obs = observed(spark, d)
+    return local.local_fit(obs, obs.count() // 4, far=True)
+
+
+@query(_FIT, ctes=(PTS, PAIRS, fit_sql("f", FIXED)))
+def gwr_cells_distance(spark, d):
+    return local.local_fit(observed(spark, d), RADIUS, far=True)
+
+
 _THREE = f"""m AS (SELECT i, any_value(f1) AS f1, any_value(f2) AS f2, sum(w) a, sum(w*x1) b, sum(w*x2) c, sum(w*x1*x1) d, sum(w*x1*x2) e, sum(w*x2*x2) f, sum(w*yy) p, sum(w*x1*yy) q, sum(w*x2*yy) r
   FROM (SELECT *, CASE WHEN d2 < b2 THEN pow(1 - d2 / b2, 2) ELSE 0 END AS w FROM (
     SELECT *, max(CASE WHEN rn = 80 THEN d2 END) OVER (PARTITION BY i) AS b2 FROM (
