@@ -101,27 +101,25 @@ def _bounded(pairs: DataFrame, k: int | None, reach: float | None) -> DataFrame:
 
 
 def descended(nodes: DataFrame, k: int | None = None, reach: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(f, c) of cells c wholly within the bandwidths of all places of f, and (f, base, c) of pairs of leaves at the rim; base counts the rows that
-    are already within. Each place has one rim row or more for its leaf, and each other row is in one of both tables, or beyond."""
+    """(f, c) of cells c wholly within the bandwidths of all places of f, and (f, base, hi, c) of pairs of leaves at the rim; base counts the rows that
+    are already within, hi is no less than any bandwidth of f. A leaf has itself at its rim; all others are in one of both tables, or beyond."""
     slim = kept(nodes.select("cell", "level", "n", "x0", "x1", "y0", "y1", "is_leaf"))
     deepest = slim.agg(F.max("level")).first()[0]
-    rim, inside = slim.where("level = 0").select(F.col("cell").alias("f"), F.lit(0).cast("long").alias("base"), F.col("cell").alias("c")), []
-    held: list[DataFrame] = []
+    rim, inside = slim.where("level = 0").select(F.col("cell").alias("f"), F.lit(0).cast("long").alias("base"), F.lit(float("inf")).alias("hi"), F.col("cell").alias("c")), []
     for level in range(1, deepest + 1):
         kids = slim.where((F.col("level") == level) | (F.col("is_leaf") & (F.col("level") < level)))
         kids = kids.withColumn("parent", F.when(F.col("level") == level, _parent(F.col("cell"))).otherwise(F.col("cell"))).drop("level", "is_leaf")
         focal = kids.select(F.col("parent").alias("f"), F.col("cell").alias("g"), *(F.col(a).alias(f"f_{a}") for a in ("x0", "x1", "y0", "y1")))
         other = kids.select(F.col("parent").alias("c"), F.col("cell").alias("d"), "n", "x0", "x1", "y0", "y1")
         near, far = _apart()
-        pairs = rim.join(focal, "f").join(other, "c").select(F.col("g").alias("f"), "base", F.col("d").alias("c"), "n", near.alias("near"), far.alias("far"))
+        pairs = rim.drop("hi").join(focal, "f").join(other, "c").select(F.col("g").alias("f"), "base", F.col("d").alias("c"), "n", near.alias("near"), far.alias("far"))
         pairs = _bounded(pairs, k, reach)
         within = (F.col("far") < F.col("lo") * (1 - _SLACK)) & (F.col("f") != F.col("c"))  # a cell stays with itself, so that none is lost
-        pairs = pairs.where(within | (F.col("near") <= F.col("hi") * (1 + _SLACK))).select("f", "base", "c", "n", within.alias("within"))
+        pairs = pairs.where(within | (F.col("near") <= F.col("hi") * (1 + _SLACK))).select("f", "base", "hi", "c", "n", within.alias("within"))
         pairs = pairs.withColumn("base", F.col("base") + F.coalesce(F.sum(F.when(F.col("within"), F.col("n"))).over(Window.partitionBy("f")), F.lit(0)))
         now = kept(pairs.drop("n"))
         inside.append(now.where("within").select("f", "c"))
-        rim = now.where(~F.col("within")).select("f", "base", "c")
-        held.append(now)
+        rim = now.where(~F.col("within")).select("f", "base", "hi", "c")
     none = rim.select("f", "c").limit(0)
     return reduce(DataFrame.unionByName, inside, none), rim
 
@@ -186,6 +184,7 @@ def far_fit(obs: DataFrame, bandwidth: int | float, counts: bool | None = None,
     rows = rim.join(focal, "f").join(other, "c")
     dx, dy = F.col("f_px") - F.col("px"), F.col("f_py") - F.col("py")
     rows = rows.withColumn("d2", dx * dx + dy * dy)
+    rows = rows.where(F.sqrt("d2") <= F.col("hi") * (1 + _SLACK)).drop("hi")
     by = Window.partitionBy("f_px", "f_py")
     if counts:
         upto = F.col("base") + F.sum("n").over(by.orderBy("d2"))
