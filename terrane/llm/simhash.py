@@ -336,11 +336,11 @@ def _classes(links: DataFrame) -> DataFrame:
 
 
 def linked_classes(fps: DataFrame, most: int = 3) -> DataFrame:
-    """(node, root) of the 64 bit fingerprints in fps (fp) that differ in at most three bits from others, through any chain."""
+    """(node, root) of the 64 bit fingerprints in fps (fp) that differ in at most three bits from others, through any chain; roots themselves aren't listed."""
     if most > 3:
         raise ValueError("the tables of three blocks of six find up to three differing bits")
     dealt = fps.select("fp").distinct().select(F.inline(block_keys()), "fp")
-    return _classes(dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_bucket_links(most), "a long, b long"))
+    return _classes(dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_bucket_links(most), "a long, b long")).where("node <> root")
 
 
 def bits_apart(similarity: float, lanes: int) -> int:
