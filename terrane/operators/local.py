@@ -50,26 +50,26 @@ def n_terms(obs: DataFrame) -> int:
 _COARSER = 4
 
 
-def _dense(points: DataFrame, k: int, side: float, most: float, x: str, y: str) -> list[DataFrame]:
-    """Tables (cx, cy) of cells that hold more than k points at more than one place, the first of cells of this side, each further one of
+def _dense(points: DataFrame, k: Column, side: float, most: float, x: str, y: str, by: list[str]) -> list[DataFrame]:
+    """Tables (by, cx, cy) of cells that hold more than k points at more than one place, the first of cells of this side, each further one of
     cells within those of the last, _COARSER times as narrow, until there are none."""
     out: list[DataFrame] = []
     while True:
         width = side / _COARSER ** len(out)
         cell = lambda c, w: F.floor(F.col(c) / w)
-        inside = points.select(x, y)
+        inside = points
         if out:
             parent = width * _COARSER
-            inside = inside.join(out[-1], (cell(x, parent) == F.col("cx")) & (cell(y, parent) == F.col("cy")), "left_semi")
-        full = inside.groupBy(cell(x, width).alias("cx"), cell(y, width).alias("cy")).agg(F.count(F.lit(1)).alias("n"), (F.max(x) > F.min(x)).alias("wide"), (F.max(y) > F.min(y)).alias("high"))
-        full = kept(full.where((F.col("n") > k) & (F.col("wide") | F.col("high"))).select("cx", "cy"))
+            inside = inside.withColumn("cx", cell(x, parent)).withColumn("cy", cell(y, parent)).join(out[-1], [*by, "cx", "cy"], "left_semi")
+        full = inside.groupBy(*by, cell(x, width).alias("cx"), cell(y, width).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.max(k).alias("k"), (F.max(x) > F.min(x)).alias("wide"), (F.max(y) > F.min(y)).alias("high"))
+        full = kept(full.where((F.col("n") > F.col("k")) & (F.col("wide") | F.col("high"))).select(*by, "cx", "cy"))
         if full.isEmpty() or most / width * _COARSER > 2.0**50:
             dropped(full)
             return out
         out.append(full)
 
 
-def rings(points: DataFrame, k: int, x: str = "px", y: str = "py") -> tuple[DataFrame, float, list[int]] | None:
+def rings(points: DataFrame, k: int | None, x: str = "px", y: str = "py", by: str | None = None) -> tuple[DataFrame, float, list[int]] | None:
     """(cx, cy, level, ring) of each cell that has points, the cells' side, and the levels in use: the k nearest points of
     any point of a cell lie at most ring cells of that level away. None if there are so few points that cells would ask for most of them.
 
@@ -77,67 +77,80 @@ def rings(points: DataFrame, k: int, x: str = "px", y: str = "py") -> tuple[Data
     four times as wide as those before, and a cell begins at the level of which it is a whole cell. Cells are counted, not
     points: blocks around a cell widen until they hold k points, and a point's k-th nearest is then no farther than the
     block's far corner. What isn't found within two cells, in sparse places, is asked for at the next level.
+    by: of points of the same group only, each group by itself; then k is None, a column k has each group's own, and the result has the group too.
     """
+    g, own = ([by], F.col("k")) if by else ([], F.lit(k))
+    points = points.select(x, y, *g, *(["k"] if by else []))
+    points = points.where(F.col(by).isNotNull()) if by else points
     ends = points.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{name}{c}") for c in (x, y) for name, f in (("lo", F.min), ("hi", F.max)))).first()
-    if ends.n <= 4 * k:
+    if by:
+        sizes = points.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k")).agg(F.count_if(F.col("n") > 4 * F.col("k")), F.min(F.when(F.col("n") > 4 * F.col("k"), F.col("k")))).first()
+        k = sizes[1]
+    if not (sizes[0] if by else ends.n > 4 * k):
         return None
     wide, high = ends[f"hi{x}"] - ends[f"lo{x}"], ends[f"hi{y}"] - ends[f"lo{y}"]
     flat = max(wide, high)
     side = math.sqrt(max(wide, flat / ends.n) * max(high, flat / ends.n) * k / (4 * ends.n)) or 1.0
-    dense = _dense(points, k, side, max(abs(v) for v in ends[1:]), x, y)
+    dense = _dense(points, own, side, max(abs(ends[f"{name}{c}"]) for name in ("lo", "hi") for c in (x, y)), x, y, g)
     top = len(dense)
     side /= _COARSER**top
-    cells = points.groupBy(F.floor(F.col(x) / side).alias("cx"), F.floor(F.col(y) / side).alias("cy")).agg(F.count(F.lit(1)).alias("n")).withColumn("begin", F.lit(top))
+    cells = points.groupBy(*g, F.floor(F.col(x) / side).alias("cx"), F.floor(F.col(y) / side).alias("cy")).agg(F.count(F.lit(1)).alias("n"), F.max(own).alias("k")).withColumn("begin", F.lit(top))
     for j, table in enumerate(dense):
         scale = _COARSER ** (top - j)
-        parents = table.select(F.col("cx").alias("dx"), F.col("cy").alias("dy"))
-        cells = cells.join(parents, (F.floor(F.col("cx") / scale) == F.col("dx")) & (F.floor(F.col("cy") / scale) == F.col("dy")), "left")
-        cells = cells.select("cx", "cy", "n", F.when(F.col("dx").isNotNull(), top - 1 - j).otherwise(F.col("begin")).alias("begin"))
+        parents = table.select(*(F.col(c).alias(f"of_{c}") for c in g), F.col("cx").alias("dx"), F.col("cy").alias("dy"))
+        same = (F.floor(F.col("cx") / scale) == F.col("dx")) & (F.floor(F.col("cy") / scale) == F.col("dy"))
+        cells = cells.join(parents, same & (F.col(by) == F.col(f"of_{by}")) if by else same, "left")
+        cells = cells.select(*g, "cx", "cy", "n", "k", F.when(F.col("dx").isNotNull(), top - 1 - j).otherwise(F.col("begin")).alias("begin"))
     cells = kept(cells)
     dropped(*dense)
-    todo, done, level, levels = cells.where("begin = 0").select("cx", "cy"), None, 0, []
+    todo, done, level, levels = cells.where("begin = 0").select(*g, "cx", "cy", "k"), None, 0, []
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(max(abs(a), abs(b))).alias("m")) for a in range(-2, 3) for b in range(-2, 3)))
     while True:
         at = lambda c: F.floor(F.col(c) / _COARSER**level)  # noqa: B023, E731
-        now = todo.select("cx", "cy", at("cx").alias("ax"), at("cy").alias("ay"))
-        asks = now.select("ax", "ay").distinct().select("ax", "ay", F.inline(steps)).withColumn("bx", F.col("ax") + F.col("a")).withColumn("by", F.col("ay") + F.col("b"))
-        counts = cells.groupBy(at("cx").alias("bx"), at("cy").alias("by")).agg(F.sum("n").alias("n"))
-        enough = [F.sum(F.when(F.col("m") <= m, F.col("n")).otherwise(0)) >= k for m in range(3)]
-        found = asks.join(counts, ["bx", "by"]).groupBy("ax", "ay").agg(F.when(enough[0], 0).when(enough[1], 1).when(enough[2], 2).alias("m"))
-        placed = kept(now.join(found, ["ax", "ay"]))
-        ready = placed.where("m is not null").select("cx", "cy", F.lit(level).alias("level"), F.ceil((F.col("m") + 1) * math.sqrt(2)).cast("int").alias("ring"))
+        now = todo.select(*g, "cx", "cy", "k", at("cx").alias("ax"), at("cy").alias("ay"))
+        asks = now.select(*g, "ax", "ay", "k").distinct().select(*g, "ax", "ay", "k", F.inline(steps)).withColumn("bx", F.col("ax") + F.col("a")).withColumn("by", F.col("ay") + F.col("b"))
+        counts = cells.groupBy(*g, at("cx").alias("bx"), at("cy").alias("by")).agg(F.sum("n").alias("n"))
+        enough = [F.sum(F.when(F.col("m") <= m, F.col("n")).otherwise(0)) >= F.max("k") for m in range(3)]
+        found = asks.join(counts, [*g, "bx", "by"]).groupBy(*g, "ax", "ay").agg(F.when(enough[0], 0).when(enough[1], 1).when(enough[2], 2).alias("m"))
+        placed = kept(now.join(found, [*g, "ax", "ay"]))
+        ready = placed.where("m is not null").select(*g, "cx", "cy", F.lit(level).alias("level"), F.ceil((F.col("m") + 1) * math.sqrt(2)).cast("int").alias("ring"))
         done = ready if done is None else done.unionByName(ready)
         every, told = placed.agg(F.count(F.lit(1)), F.count("m")).first()
         levels += [level] if told else []
         level += 1
         if told == every and level > top:
             return done, side, levels
-        todo = placed.where("m is null").select("cx", "cy")
-        todo = todo.unionByName(cells.where(F.col("begin") == level).select("cx", "cy")) if level <= top else todo
+        todo = placed.where("m is null").select(*g, "cx", "cy", "k")
+        todo = todo.unionByName(cells.where(F.col("begin") == level).select(*g, "cx", "cy", "k")) if level <= top else todo
 
 
-def near_pairs(focal: DataFrame, other: DataFrame, k: int, points: DataFrame, x: str = "px", y: str = "py") -> DataFrame:
-    """focal (f_x, f_y ..) joined with the rows of other (x, y ..) that may be among its k nearest; all of them are."""
-    if (found := rings(points, k, x, y)) is None:
-        return focal.crossJoin(other)  # up to four times k rows
+def near_pairs(focal: DataFrame, other: DataFrame, k: int | None, points: DataFrame, x: str = "px", y: str = "py", by: str | None = None) -> DataFrame:
+    """focal (f_x, f_y ..) joined with the rows of other (x, y ..) that may be among its k nearest; all of them are.
+
+    by: among rows of the same group (f_by, by), of which points (x, y, by, k) tell each group's own k."""
+    if (found := rings(points, k, x, y, by)) is None:  # up to four times k rows
+        return focal.join(other, F.col(f"f_{by}") == F.col(by)) if by else focal.crossJoin(other)
     ring, side, levels = found
+    ring = ring.withColumnRenamed(by, f"f_{by}") if by else ring
     cell = lambda c: F.floor(F.col(c) / side)
     step, scale = F.sequence(-F.col("ring"), F.col("ring")), F.pow(F.lit(_COARSER), F.col("level"))
     coarse = lambda c: F.floor(F.col(c) / scale).cast("long")
-    asks = focal.withColumn("cx", cell(f"f_{x}")).withColumn("cy", cell(f"f_{y}")).join(ring, ["cx", "cy"])
+    asks = focal.withColumn("cx", cell(f"f_{x}")).withColumn("cy", cell(f"f_{y}")).join(ring, [*([f"f_{by}"] if by else []), "cx", "cy"])
     asks = asks.withColumn("a", F.explode(step)).withColumn("b", F.explode(step)).withColumn("cx", coarse("cx") + F.col("a")).withColumn("cy", coarse("cy") + F.col("b"))
     there = other.withColumn("cx", cell(x)).withColumn("cy", cell(y)).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     there = there.withColumn("cx", coarse("cx")).withColumn("cy", coarse("cy"))
-    joined = asks.join(there, ["level", "cx", "cy"])
+    there = there.withColumn(f"f_{by}", F.col(by)) if by else there
+    joined = asks.join(there, [*([f"f_{by}"] if by else []), "level", "cx", "cy"])
     reach = F.col("ring") * side * F.pow(F.lit(_COARSER), F.col("level"))  # no less than the k-th nearest is far
     close = F.pow(F.col(f"f_{x}") - F.col(x), 2) + F.pow(F.col(f"f_{y}") - F.col(y), 2) <= F.pow(reach, 2)
     return joined.where(close).drop("cx", "cy", "a", "b", "ring", "level")
 
 
-def pairs(obs: DataFrame, within: str | None = None, radius: float | None = None, carry: Sequence[str] = (), nearest: int | None = None) -> DataFrame:
+def pairs(obs: DataFrame, within: str | None = None, radius: float | None = None, carry: Sequence[str] = (), nearest: int | DataFrame | None = None) -> DataFrame:
     """(i, j, d2, focal columns f_*, columns of j) for each row and each that may weigh on it, itself included.
 
-    radius: only rows about so close; nearest: only rows that may be among each row's so many nearest, itself counted."""
+    radius: only rows about so close; nearest: only rows that may be among each row's so many nearest, itself counted, or, within groups, a
+    table (within, k) of each group's own number."""
     p = n_terms(obs)
     own = ["px", "py", "yy", *(f"x{a}" for a in range(p)), *([within] if within else []), *carry]
     focal = obs.select(F.col("id").alias("i"), *(F.col(c).alias(f"f_{c}") for c in own))
@@ -149,6 +162,8 @@ def pairs(obs: DataFrame, within: str | None = None, radius: float | None = None
         other = other.withColumn("cx", cell("px")).withColumn("cy", cell("py"))
         joined = focal.join(other, ["cx", "cy"])
         joined = joined.where(F.col(f"f_{within}").eqNullSafe(F.col(within))) if within else joined
+    elif within and nearest is not None:
+        joined = near_pairs(focal, other, None, obs.select("px", "py", within).join(nearest.select(within, "k"), within), by=within)
     elif within:
         joined = focal.join(other, F.col(f"f_{within}") == F.col(within))
     elif nearest is not None:
@@ -348,7 +363,8 @@ def regime_fit(obs: DataFrame, bandwidth: str | int | Mapping[int, int] = "regim
         rows = _focal(obs.where(F.col(regime).isNotNull()), [regime]).join(coordinate_moments(obs, regime), regime)
         sums = _weighted_by_moments(rows, p).withColumn("n_pos", F.col("n")).withColumn("w_own", F.lit(1.0))
         return solved(sums, p).withColumnRenamed("i", "id")
-    table = pairs(obs, within=regime).join(regime_sizes(obs, bandwidth, regime).select(regime, "k"), regime)
+    sizes = regime_sizes(obs, bandwidth, regime).select(regime, "k")
+    table = pairs(obs, within=regime, nearest=sizes if kernel == "bisquare" else None).join(sizes, regime)
     return _finished(with_reach(table, F.col("k")), p, kernel)
 
 
