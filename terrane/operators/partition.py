@@ -51,11 +51,15 @@ def merge_tree(features: np.ndarray, edges: np.ndarray) -> list[tuple[int, int,
         out.append((a, b, c))
         centre[new] = (size[a] * centre[a] + size[b] * centre[b]) / (size[a] + size[b])
         size[new] = size[a] + size[b]
-        near[new] = (near.pop(a) | near.pop(b)) - {a, b}
+        few, many = sorted((near.pop(a), near.pop(b)), key=len)
+        many |= few
+        many -= {a, b}
+        near[new] = many
         for x in (a, b):
             del size[x], centre[x]
-        for x in near[new]:
-            near[x] = near[x] - {a, b} | {new}
+        for x in many:  # in place: a neighbour of very many isn't copied for each merge
+            near[x] -= {a, b}
+            near[x].add(new)
             heapq.heappush(heap, (cost(x, new), x, new))
     return out
 
@@ -65,12 +69,10 @@ def cut_tree(n: int, merges: Sequence[tuple[int, int, float]], k: int) -> np.nda
     parent = list(range(n + len(merges)))
     for step, (a, b, _) in enumerate(merges[: n - k]):
         parent[a] = parent[b] = n + step
-    root = np.empty(n, int)
-    for i in range(n):
-        x = i
-        while parent[x] != x:
-            x = parent[x]
-        root[i] = x
+    root = np.array(parent)
+    while ((further := root[root]) != root).any():  # each round doubles how far is looked up
+        root = further
+    root = root[:n]
     _, first, label = np.unique(root, return_index=True, return_inverse=True)
     return np.argsort(np.argsort(first))[label]
 

@@ -1,5 +1,6 @@
 """Steps whose memory and work follow the rows, not their pairs."""
 
+import time
 import tracemalloc
 from dataclasses import replace
 
@@ -57,3 +58,18 @@ def test_a_row_may_leave_where_the_rest_hangs_together():
         labels[:75] = 3
         for i in range(250):
             assert one.may_leave(i, labels, whole) == one.may_leave(i, labels)
+
+
+def test_a_tree_that_is_a_chain_is_cut_at_once():
+    n = 20_000
+    tree = [(0, 1, 0.0), *((n + k - 2, k, 0.0) for k in range(2, n))]  # each merge adds one row to the cluster before
+    began = time.perf_counter()
+    assert partition.cut_tree(n, tree, 3).tolist() == [0] * (n - 2) + [1, 2]
+    assert time.perf_counter() - began < 2  # row by row up the chain, 200 million steps
+
+
+def test_a_hub_with_many_neighbours_merges_them_by_cost():
+    n = 400
+    edges = np.array([(0, k) for k in range(1, n)])
+    tree = partition.merge_tree(np.arange(n, dtype=float)[:, None] ** 2, edges)
+    assert [b for _, b, _ in tree[:1]] == [1] and len(tree) == n - 1 and all(a < n + k and b < n + k for k, (a, b, _) in enumerate(tree))
