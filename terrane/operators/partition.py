@@ -3,7 +3,7 @@
 Both are sequential by definition: each merge, and each move, sees the one
 before. One instance (a graph, its features or observations, a setting) is
 therefore one task; instances are dealt to many more partitions than there are, so that nearly each has a
-task of its own. An instance is a lattice or a map of areas, not the corpus. Growth over edges from seeds is a join.
+task of its own. An instance is a lattice or a map of areas, not the corpus. Growth over edges from seeds goes through pieces of a graph.
 """
 
 from __future__ import annotations
@@ -548,8 +548,53 @@ def nearest_seeds(points: DataFrame, targets: Sequence[tuple[float, float]]) ->
     return points.sparkSession.createDataFrame([(k, r) for r, k in enumerate(taken, 1)], "id long, regime long")
 
 
-#: Steps of a search that one job takes.
-STEPS = 8
+#: Nodes and edge ends of a piece of a graph that one task spreads labels in.
+PIECE = 1 << 17
+_FAR = 1 << 62
+
+
+def _in_pieces(ids: DataFrame, ends: DataFrame) -> DataFrame:
+    """(id, piece) of nodes (id) and the ends (i, j) of their edges: consecutive ids share a piece, up to PIECE nodes and ends of edges. Kept."""
+    heavy = kept(ids.select("id", F.lit(1).alias("w")).unionByName(ends.select(F.col("i").alias("id"), F.lit(1).alias("w"))).groupBy("id").agg(F.sum("w").alias("w")))
+    whole = heavy.agg(F.sum("w")).first()[0] or 0
+    dealt = heavy.repartitionByRange(max(1, whole // (4 * PIECE)), "id").withColumn("part", F.spark_partition_id().cast("long"))
+    up_to = F.sum("w").over(Window.partitionBy("part").orderBy("id"))
+    out = kept(dealt.select("id", "part", F.floor((up_to - 1) / PIECE).alias("nth")).select("id", (F.shiftleft("part", 32) + F.col("nth")).alias("piece")))
+    dropped(heavy)
+    return out
+
+
+def _spread_in(kind: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(ids, d, label, new) of a piece's nodes that are reached. Rows are edges i to j (kind 0), what nodes i have (1) and what has come to
+    them (2); new: whether a node has less than before. The waves go up by distance, so a node is met once a distance."""
+    edge = kind == 0
+    ids, at = np.unique(np.concatenate([i, j[edge]]), return_inverse=True)
+    names, rank = np.unique(label[~edge], return_inverse=True)
+    m, own = len(names), at[: len(i)]
+    value = d[~edge] * m + rank
+    old = np.full(len(ids), _FAR)
+    np.minimum.at(old, own[kind == 1], value[kind[~edge] == 1])
+    best = old.copy()
+    np.minimum.at(best, own[kind == 2], value[kind[~edge] == 2])
+    order = np.argsort(own[edge], kind="stable")
+    to = at[len(i) :][order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(own[edge], minlength=len(ids)))])
+    todo = np.flatnonzero(best < old)
+    todo = todo[np.argsort(best[todo], kind="stable")]
+    levels, p, wave, step = best[todo] // m, 0, todo[:0], 0
+    while p < len(todo) or len(wave):
+        step = step if len(wave) else levels[p]
+        q = int(np.searchsorted(levels, step, "right"))
+        now, p = np.unique(np.concatenate([wave, todo[p:q]])), q
+        now = now[best[now] // m == step]  # the others were reached by a shorter way
+        n = first[now + 1] - first[now]
+        near = to[np.repeat(first[now] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        value = np.repeat(best[now], n) + m
+        less = value < best[near]
+        np.minimum.at(best, near[less], value[less])
+        wave, step = np.unique(near[less]), step + 1
+    met = np.flatnonzero(best < _FAR)
+    return ids[met], best[met] // m, names[best[met] % m], best[met] < old[met]
 
 
 def breadth_first(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -557,21 +602,40 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataF
     seeds by label, neighbours ascending, first in first out.
 
     In such a queue the nodes of one distance stand by label, so that a node takes the smallest label among the seeds nearest to it: the
-    least (distance, label). It spreads over edges from the nodes that were reached last, STEPS edges a job. A node that can't be reached is an error."""
-    hop = kept(both_ways(edges).withColumn("far", F.lit(1)).unionByName(nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0).alias("far"))).select(F.col("i").alias("id"), F.col("j").alias("to"), "far"))
-    done = kept(seeds.groupBy("instance", "id").agg(F.min("regime").cast("long").alias("regime")))
-    front = done.withColumn("d", F.lit(0))
-    while True:
-        for _ in range(STEPS):
-            front = front.join(hop, "id").groupBy("instance", F.col("to").alias("id")).agg(F.min(F.struct((F.col("d") + F.col("far")).alias("d"), "regime")).alias("m")).select("instance", "id", "m.*")
-        new, before = kept(front.join(done.select("instance", "id"), ["instance", "id"], "left_anti")), done
-        if new.isEmpty():
-            break
-        done, front = kept(done.unionByName(new.drop("d"))), new.where(F.col("d") == STEPS).withColumn("d", F.lit(0))
-        dropped(before)
-    dropped(hop, new)
+    least (distance, label). It spreads within pieces of the graph, a task each, and a job a round takes what has become less over the edges between
+    pieces; only pieces that something comes to are asked again. Any pieces give the same; with ids that follow places a round crosses a whole piece.
+    A node that can't be reached is an error."""
+    ends = both_ways(edges)
+    piece = _in_pieces(nodes.select("id").unionByName(ends.select(F.col("i").alias("id"))).distinct(), ends)
+    side = lambda c: piece.select(F.col("id").alias(c), F.col("piece").alias(f"p{c}"))
+    met = kept(ends.join(side("i"), "i").join(side("j"), "j"))
+    kind = seeds.schema["instance"].dataType.simpleString()
+    schema = f"instance {kind}, piece long, id long, d long, regime long, new boolean"
+    zero = F.lit(0).cast("long")
+    none = [zero.alias("d"), zero.alias("regime")]
+
+    def run(key, pdf):
+        ids, d, regime, new = _spread_in(*(pdf[c].to_numpy() for c in ("kind", "i", "j", "d", "regime")))
+        return pd.DataFrame({"instance": key[0], "piece": key[1], "id": ids, "d": d, "regime": regime, "new": new})
+
+    come = kept(seeds.groupBy("instance", "id").agg(F.min("regime").cast("long").alias("regime")).join(piece, "id").select("instance", "piece", "id", zero.alias("d"), "regime"))
+    done = None
+    while not come.isEmpty():
+        asked = kept(come.select("instance", "piece").distinct())
+        rows = asked.join(met.where("pi = pj").select(F.col("pi").alias("piece"), "i", "j"), "piece").select("instance", "piece", F.lit(0).alias("kind"), "i", "j", *none)
+        held = [(come, 2)] if done is None else [(come, 2), (done.join(asked, ["instance", "piece"], "left_semi"), 1)]
+        for df, k in held:
+            rows = rows.unionByName(df.select("instance", "piece", F.lit(k).alias("kind"), F.col("id").alias("i"), F.col("id").alias("j"), "d", "regime"))
+        grown = kept(rows.groupBy("instance", "piece").applyInPandas(run, schema))
+        before = [come, asked, done, grown]
+        over = grown.where("new").join(met.where("pi <> pj").withColumnRenamed("i", "id"), "id").select("instance", F.col("pj").alias("piece"), F.col("j").alias("id"), F.col("d") + 1, "regime")
+        come = kept(over.toDF("instance", "piece", "id", "d", "regime").groupBy("instance", "piece", "id").agg(F.min(F.struct("d", "regime")).alias("m")).select("instance", "piece", "id", "m.*"))
+        all_of = grown.drop("new")
+        done = kept(all_of if done is None else done.join(asked, ["instance", "piece"], "left_anti").unionByName(all_of))
+        dropped(*before)
+    dropped(piece, met, come)
     asked = nodes.select("id").crossJoin(seeds.select("instance").distinct())  # a node an instance
-    out = asked.join(done, ["instance", "id"], "left")
+    out = asked.join(done.select("instance", "id", "regime"), ["instance", "id"], "left") if done is not None else asked.withColumn("regime", F.lit(None).cast("long"))
     return out.select("instance", "id", F.coalesce("regime", F.raise_error(F.lit("some nodes can't be reached from a seed")).cast("long")).alias("regime"))
 
 

@@ -57,6 +57,26 @@ def test_growth_is_that_of_a_queue(spark):
         assert got == queue(seeds, near, n)
 
 
+def test_growth_through_pieces_is_that_of_a_queue(spark, monkeypatch):
+    monkeypatch.setattr(partition, "PIECE", 40)
+    rng, n = random.Random(9), 120
+    pairs = {(max(0, k - rng.randrange(1, 4)), k) for k in range(1, n)} | {tuple(sorted(rng.sample(range(n), 2))) for _ in range(8)}
+    near = {k: {b for a, b in pairs if a == k} | {a for a, b in pairs if b == k} for k in range(n)}
+    seeds = {0: 7, 50: 3, 90: 5, 119: 4}
+    frames = spark.createDataFrame([(x, i, g) for x in "ab" for i, g in seeds.items()], "instance string, id long, regime long"), spark.createDataFrame(list(pairs), "i long, j long"), spark.range(n)
+    got = {(r.instance, r.id): r.regime for r in partition.breadth_first(*frames).collect()}
+    assert got == {(x, i): g for x in "ab" for i, g in queue(seeds, near, n).items()}
+
+
+def test_growth_along_a_path_takes_few_tables(spark, monkeypatch):
+    made, kept = [], partition.kept
+    monkeypatch.setattr(partition, "kept", lambda df: made.append(1) or kept(df))
+    seeds = spark.createDataFrame([("x", 0, 2), ("x", 299, 1)], "instance string, id long, regime long")
+    got = {r.id: r.regime for r in partition.breadth_first(seeds, spark.range(299).selectExpr("id AS i", "id + 1 AS j"), spark.range(300)).collect()}
+    assert got == {i: 2 if i < 150 else 1 for i in range(300)}
+    assert len(made) < 20
+
+
 def test_a_node_out_of_reach_is_an_error(spark):
     seeds, edges = spark.createDataFrame([("x", 0, 1)], "instance string, id long, regime long"), spark.createDataFrame([(0, 1)], "i long, j long")
     with pytest.raises(Exception, match="can't be reached"):
