@@ -19,6 +19,7 @@ the sets; what isn't one class by then is asked again; see near_classes().
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations, count
 
 import numpy as np
@@ -34,6 +35,8 @@ REFERENCES, WIDTH = 12, 8
 #: Bits of a table's key at least, classes that a key of unrelated texts should have at most, and the share of pairs just
 #: similar enough that all tables together may miss.
 KEY_BITS, IN_BUCKET, MISSED = 20, 64, 0.0875
+#: Tables whose rows are dealt to buckets at once; the disk that this takes is that of so many tables.
+AT_ONCE = 32
 #: Rows of a bucket up to which all its pairs are verified at once, and rows that one of a larger bucket is verified against in the first turn.
 SMALL, ASKED = 8, 16
 
@@ -161,12 +164,45 @@ def reach(bits: np.ndarray, distances: np.ndarray, most: int) -> np.ndarray:
     return root
 
 
-def unsure(bits: np.ndarray, distances: np.ndarray, root: np.ndarray, most: int, turn: int = 0, known: np.ndarray | None = None):
+def marked(one: np.ndarray) -> bytes:
+    """A set of hashes as bits at the places that their low bits name, 8 to 16 bits or so a hash: the size (4 bytes), then the bits."""
+    n = len(one)
+    bits = np.zeros(64 << max(0, (n - 1).bit_length() - 3), np.uint8)
+    bits[(one & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.array([n], "<u4").tobytes() + np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_similar(x: bytes | None, others: list[bytes | None], least: float) -> np.ndarray:
+    """Whether sets may have a Jaccard similarity of at least so much with x, by their marked() bits; True where one isn't known.
+
+    A place that x holds and another doesn't is a hash at least that they don't share, and of two sets that share s hashes the similarity
+    is s / (|x| + |y| - s): what is refused isn't similar, for certain."""
+    if x is None:
+        return np.ones(len(others), bool)
+    out = np.ones(len(others), bool)
+    n, own = int.from_bytes(x[:4], "little"), np.frombuffer(x[4:], np.uint64)
+    by_length: dict[int, list[int]] = {}
+    for i, y in enumerate(others):
+        if y is not None:
+            by_length.setdefault(len(y) - 4, []).append(i)
+    for length, at in by_length.items():
+        wide = np.frombuffer(b"".join(others[i][4:] for i in at), np.uint64).reshape(len(at), -1)
+        sizes = np.array([int.from_bytes(others[i][:4], "little") for i in at])
+        words = min(len(own), length // 8)  # the longer ones are folded: both lengths are powers of two
+        a = np.bitwise_or.reduce(own.reshape(-1, words), 0)
+        b = np.bitwise_or.reduce(wide.reshape(len(at), -1, words), 1)
+        shared = np.minimum(n - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), sizes - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+        out[at] = shared >= least * (n + sizes - shared)
+    return out
+
+
+def unsure(bits: np.ndarray, distances: np.ndarray, root: np.ndarray, most: int, turn: int = 0, known: np.ndarray | None = None, marks: np.ndarray | None = None, least: float = 0.0):
     """(x, rows, more) for each row x outside the largest class: what it is to be verified against in this turn.
 
     The rows outside its component within so many differing bits, closest
     first, are taken ASKED at a time, four times as many each turn. Those known
-    to be x's class by now are left out. more: whether any is left for later turns.
+    to be x's class by now are left out, and those that marks tell aren't similar to
+    at least so much. more: whether any is left for later turns.
     """
     known = root if known is None else known
     first, last = (ASKED * 4 ** (turn - 1) if turn else 0), ASKED * 4**turn
@@ -182,7 +218,10 @@ def unsure(bits: np.ndarray, distances: np.ndarray, root: np.ndarray, most: int,
         d = np.bitwise_count(bits[near] ^ bits[x]).sum(1)
         near = near[d <= most][np.argsort(d[d <= most], kind="stable")]
         now, later = near[first:last], near[last:]
-        now, more = now[known[now] != known[x]], bool((known[later] != known[x]).any())
+        now, later = now[known[now] != known[x]], later[known[later] != known[x]]
+        if marks is not None:
+            now, later = (rows[may_be_similar(marks[x], list(marks[rows]), least)] for rows in (now, later))
+        more = bool(len(later))
         if len(now) or more:
             yield x, now, more
 
@@ -266,13 +305,13 @@ def _first_asks(bits: np.ndarray, distances: np.ndarray, most: int) -> tuple[np.
     return np.concatenate(a), np.concatenate(b), more
 
 
-def _near_pairs(lanes: int, most: int, turn: int):
-    """Of (t, key, node, fp and, after turn 0, known) sorted by t, key and node: pairs (a, b) of nodes of a bucket to verify in this
+def _near_pairs(lanes: int, most: int, turn: int, least: float):
+    """Of (t, key, node, fp and, after turn 0, known and mark) sorted by t, key and node: pairs (a, b) of nodes of a bucket to verify in this
     turn. A bucket that has more of them than a turn asks for gives a row of its t and key, without nodes."""
     names = ["a", "b", "t", "key"]
 
     def run(batches):
-        for bits, keys, (node, *known), groups in _buckets(batches, lanes, ("node", "known")[: 2 if turn else 1]):
+        for bits, keys, (node, *known), groups in _buckets(batches, lanes, ("node", "known", "mark")[: 3 if turn else 1]):
             distances, a, b, open_, held = pivot_table(bits), [], [], [], 0
             made = lambda a, b: pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(x)]) for x in (a, b)] + [pa.nulls(sum(map(len, a)), k) for k in (pa.int32(), pa.int64())], names)  # noqa: B023, E731
             for i, j in groups:
@@ -282,7 +321,7 @@ def _near_pairs(lanes: int, most: int, turn: int):
                     x, y, more = _first_asks(bits[i:j], distances[:, i:j], most)
                     asks = [(x, y, more)] if len(x) or more else []
                 else:
-                    asks = ((np.full(len(now), x), now, more) for x, now, more in unsure(bits[i:j], distances[:, i:j], np.arange(j - i), most, turn - 1, known[0][i:j]))
+                    asks = ((np.full(len(now), x), now, more) for x, now, more in unsure(bits[i:j], distances[:, i:j], np.arange(j - i), most, turn - 1, known[0][i:j], known[1][i:j], least))
                 left = False
                 for x, y, more in asks:
                     a.append(i + x)
@@ -311,9 +350,9 @@ def block_keys(fp: str = "fp", blocks: int = 6, keep: int = 3) -> F.Column:
     return F.array(*(F.struct(F.lit(t).alias("t"), F.col(fp).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for t, m in enumerate(some)))
 
 
-def _sampled_keys(lanes: int, tables: int, bits: int):
+def _sampled_keys(lanes: int, tables: range, bits: int):
     """Of (node, fp): a row (t, key, node, fp) for each table, keyed by bits at its fixed random places."""
-    places = np.stack([np.random.default_rng([17, t]).choice(64 * lanes, bits, replace=False) for t in range(tables)])
+    places = {t: np.random.default_rng([17, t]).choice(64 * lanes, bits, replace=False) for t in tables}
     powers = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches):
@@ -321,7 +360,7 @@ def _sampled_keys(lanes: int, tables: int, bits: int):
             column, n = batch.column("fp"), batch.num_rows
             if n:
                 each = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(n, -1), axis=1, bitorder="little")
-                for t in range(tables):
+                for t in tables:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(each[:, places[t]] @ powers), batch.column("node"), column], ["t", "key", "node", "fp"])
 
     return run
@@ -372,6 +411,13 @@ def _shingle_sets(words: int):
     return run
 
 
+def _marks(batches):
+    """Of (node, set): (node, mark)."""
+    for batch in batches:
+        marks = [marked(x.values.to_numpy().view(np.uint64)) for x in batch.column("set")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(marks, pa.binary())], ["node", "mark"])
+
+
 def _similar(least: float):
     """Of (a, b, x, y): the pairs whose sets x and y have a Jaccard similarity of at least so much."""
 
@@ -394,14 +440,15 @@ def near_classes(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity:
     nodes: node, fp and the place k1, k2 of one text of each set; texts: k1, k2,
     text. The tables of key_plan() let a pair meet with a probability of 0.91 at
     0.8, 0.98 at 0.85 and over 0.999 at 0.9; every pair that meets within the limit of
-    differing bits, and isn't one class through others, is verified on its sets. Small buckets ask at once, large ones for a few
+    differing bits, isn't one class through others and that marks of the sets don't rule out for certain is verified on its sets. Small buckets ask at once, large ones for a few
     pairs a row that are likely, and in turns for what isn't one class by then.
     """
     bits, tables = key_plan(nodes.count(), similarity)
-    keyed = nodes.select("node", "fp").mapInArrow(_sampled_keys(lanes, tables, bits), "t int, key long, node long, fp binary")
+    keys = lambda some: nodes.select("node", "fp").mapInArrow(_sampled_keys(lanes, some, bits), "t int, key long, node long, fp binary")
     most = bits_apart(similarity - 0.12, lanes)
-    deal = lambda df, turn: df.repartition("t", "key").sortWithinPartitions("t", "key", "node").mapInArrow(_near_pairs(lanes, most, turn), "a long, b long, t int, key long")
-    links = written(deal(keyed, 0))
+    deal = lambda df, turn: df.repartition("t", "key").sortWithinPartitions("t", "key", "node").mapInArrow(_near_pairs(lanes, most, turn, similarity), "a long, b long, t int, key long")
+    parts = [written(deal(keys(range(t, min(t + AT_ONCE, tables))), 0)) for t in range(0, tables, AT_ONCE)]
+    links = reduce(DataFrame.unionByName, parts)
     asked = sets = true = roots = None
     for turn in count(1):
         pairs = links.where("a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -422,12 +469,14 @@ def near_classes(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity:
             roots = _classes(true)
         asked = pairs if asked is None else asked.unionByName(pairs)
         left = written(links.where("t is not null").select("t", "key"))  # of known size, so that keys are made and left out where they are
-        released(links)
+        released(*parts)
         if left.isEmpty():
             break
-        again = keyed.join(left, ["t", "key"], "left_semi")
+        again = keys(range(tables)).join(left, ["t", "key"], "left_semi")
         again = again.join(roots, "node", "left").select("t", "key", "node", "fp", F.coalesce("root", "node").alias("known")) if roots is not None else again.withColumn("known", F.col("node"))
+        again = again.join(sets.mapInArrow(_marks, "node long, mark binary"), "node", "left") if sets is not None else again.withColumn("mark", F.lit(None).cast("binary"))
         links = written(deal(again, turn))
+        parts = [links]
         released(left)
     return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
 

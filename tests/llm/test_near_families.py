@@ -111,3 +111,32 @@ def test_one_of_a_large_group_of_copies_stays(spark):
     left = [near[k - 1] for k in kept[1:]]
     # about one in eleven at 0.8 shares no key with the original, and far fewer above
     assert kept[0] == 0 and min(near) >= 0.8 and len(left) < 0.12 * len(texts) and max(left, default=0) < 0.88, sorted(left)
+
+
+def test_marks_rule_out_no_similar_sets_and_most_others():
+    rng = np.random.default_rng(5)
+    ruled = others = 0
+    for n in (0, 1, 5, 9, 60, 64, 65, 700, 5000):
+        base = rng.integers(0, 1 << 64, n, np.uint64)
+        family = [np.unique(np.concatenate([base[rng.random(n) > gone], rng.integers(0, 1 << 64, int(gone * n), np.uint64)])) for gone in rng.uniform(0, 0.3, 12)]
+        marks = [simhash.marked(x) for x in family]
+        for x, m in zip(family, marks):
+            may = simhash.may_be_similar(m, [*marks, None], 0.8)
+            assert may[-1] and simhash.may_be_similar(None, marks, 0.8).all()
+            for y, is_so in zip(family, may):
+                both = len(np.intersect1d(x, y))
+                s = both / max(1, len(x) + len(y) - both)
+                assert is_so or s < 0.8
+                if n >= 60 and s < 0.72:
+                    others, ruled = others + 1, ruled + (not is_so)
+    assert others > 50 and ruled > 0.9 * others
+
+
+def test_rows_that_marks_rule_out_are_not_asked_for():
+    bits = np.zeros((40, simhash.WIDTH), np.uint64)
+    bits[:, 0] = np.arange(40)
+    rng = np.random.default_rng(6)
+    marks = np.array([simhash.marked(np.unique(rng.integers(0, 1 << 64, 100, np.uint64))) for _ in range(40)], object)
+    table, root = simhash.pivot_table(bits), np.arange(40)
+    assert sum(len(now) for _, now, _ in simhash.unsure(bits, table, root, 90, 0, root)) > 500
+    assert not list(simhash.unsure(bits, table, root, 90, 0, root, marks, 0.8))
