@@ -70,3 +70,10 @@ def test_graphs_of_nothing(spark):
     assert graph.articulation_points(nodes, edges).count() == 0
     nodes, edges = _tables(spark, 3, [])
     assert [r.splits for r in graph.articulation_points(nodes, edges).collect()] == [False] * 3
+
+
+def test_long_tables_are_not_sent_to_all_tasks(spark):
+    star = spark.range(1, graph.MANY + 2).selectExpr("0L AS i", "id AS j")
+    found = graph.components(spark.range(graph.MANY + 2), star)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("root = 0").count() == graph.MANY + 2
