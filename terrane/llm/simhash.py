@@ -19,7 +19,6 @@ the sets; what isn't one class by then is asked again; see near_classes().
 from __future__ import annotations
 
 import math
-from functools import reduce
 from itertools import combinations, count
 
 import numpy as np
@@ -35,8 +34,9 @@ REFERENCES, WIDTH = 12, 8
 #: Bits of a table's key at least, classes that a key of unrelated texts should have at most, and the share of pairs just
 #: similar enough that all tables together may miss.
 KEY_BITS, IN_BUCKET, MISSED = 20, 64, 0.0875
-#: Tables whose rows are dealt to buckets at once; the disk that this takes is that of so many tables.
-AT_ONCE = 32
+#: Tables whose rows are dealt to buckets at once, at most; the disk that this takes is that of so many tables. The first are fewer: what they
+#: find to be one class isn't asked for again, so that a large group makes links by its rows, not by its rows in every table.
+FIRST, AT_ONCE = 4, 32
 #: Rows of a bucket up to which all its pairs are verified at once, and rows that one of a larger bucket is verified against in the first turn.
 SMALL, ASKED = 8, 16
 
@@ -281,13 +281,14 @@ def _bucket_links(most: int):
     return run
 
 
-def _first_asks(bits: np.ndarray, distances: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of rows of a bucket to verify first, and whether there may be more.
+def _first_asks(bits: np.ndarray, distances: np.ndarray, most: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of rows of a bucket to verify first, and whether there may be more. known: classes of the rows by now, which aren't asked for again.
 
     Rows are taken by components of links up to `most` bits. All pairs of a small one
     are taken; of a large one each row with the one closest to what most of them
     have, which is near to what copies were made from."""
     n = len(bits)
+    known = np.arange(n) if known is None else known
     root = np.zeros(n, int) if n <= SMALL else reach(bits, distances, most)
     a, b, more = [], [], False
     for top in np.unique(root):
@@ -298,30 +299,30 @@ def _first_asks(bits: np.ndarray, distances: np.ndarray, most: int) -> tuple[np.
         else:
             middle = np.packbits(2 * np.unpackbits(np.ascontiguousarray(bits[rows]).view(np.uint8), axis=1).sum(0, dtype=np.int64) > len(rows)).view(np.uint64)
             first = rows[np.bitwise_count(bits[rows] ^ middle).sum(1).argmin()]
-            i, j, more = rows[rows != first], np.full(len(rows) - 1, first), True
-        near = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= most
+            i, j, more = rows[rows != first], np.full(len(rows) - 1, first), more or bool((known[rows] != known[first]).any())
+        near = (known[i] != known[j]) & (np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= most)
         a.append(i[near])
         b.append(j[near])
     return np.concatenate(a), np.concatenate(b), more
 
 
 def _near_pairs(lanes: int, most: int, turn: int, least: float):
-    """Of (t, key, node, fp and, after turn 0, known and mark) sorted by t, key and node: pairs (a, b) of nodes of a bucket to verify in this
+    """Of (t, key, node, fp, known and, after turn 0, mark) sorted by t, key and node: pairs (a, b) of nodes of a bucket to verify in this
     turn. A bucket that has more of them than a turn asks for gives a row of its t and key, without nodes."""
     names = ["a", "b", "t", "key"]
 
     def run(batches):
-        for bits, keys, (node, *known), groups in _buckets(batches, lanes, ("node", "known", "mark")[: 3 if turn else 1]):
+        for bits, keys, (node, known, *marks), groups in _buckets(batches, lanes, ("node", "known", "mark")[: 3 if turn else 2]):
             distances, a, b, open_, held = pivot_table(bits), [], [], [], 0
             made = lambda a, b: pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(x)]) for x in (a, b)] + [pa.nulls(sum(map(len, a)), k) for k in (pa.int32(), pa.int64())], names)  # noqa: B023, E731
             for i, j in groups:
-                if j - i <= 64 and not _may_link(distances[:, i:j], most):
+                if (known[i:j] == known[i]).all() or j - i <= 64 and not _may_link(distances[:, i:j], most):
                     continue
                 if not turn:
-                    x, y, more = _first_asks(bits[i:j], distances[:, i:j], most)
+                    x, y, more = _first_asks(bits[i:j], distances[:, i:j], most, known[i:j])
                     asks = [(x, y, more)] if len(x) or more else []
                 else:
-                    asks = ((np.full(len(now), x), now, more) for x, now, more in unsure(bits[i:j], distances[:, i:j], np.arange(j - i), most, turn - 1, known[0][i:j], known[1][i:j], least))
+                    asks = ((np.full(len(now), x), now, more) for x, now, more in unsure(bits[i:j], distances[:, i:j], np.arange(j - i), most, turn - 1, known[i:j], marks[0][i:j], least))
                 left = False
                 for x, y, more in asks:
                     a.append(i + x)
@@ -351,7 +352,7 @@ def block_keys(fp: str = "fp", blocks: int = 6, keep: int = 3) -> F.Column:
 
 
 def _sampled_keys(lanes: int, tables: range, bits: int):
-    """Of (node, fp): a row (t, key, node, fp) for each table, keyed by bits at its fixed random places."""
+    """Of (node, fp, known): a row (t, key, node, fp, known) for each table, keyed by bits at its fixed random places."""
     places = {t: np.random.default_rng([17, t]).choice(64 * lanes, bits, replace=False) for t in tables}
     powers = 1 << np.arange(bits, dtype=np.int64)
 
@@ -361,7 +362,7 @@ def _sampled_keys(lanes: int, tables: range, bits: int):
             if n:
                 each = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(n, -1), axis=1, bitorder="little")
                 for t in tables:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(each[:, places[t]] @ powers), batch.column("node"), column], ["t", "key", "node", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(each[:, places[t]] @ powers), batch.column("node"), column, batch.column("known")], ["t", "key", "node", "fp", "known"])
 
     return run
 
@@ -400,6 +401,14 @@ def key_plan(classes: int, similarity: float = 0.8) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISSED) / math.log1p(-meet)) if meet < 1 else 1
 
 
+def table_rounds(tables: int) -> list[range]:
+    """The tables in order, FIRST at first and then as many as there were and twice as many again, up to AT_ONCE."""
+    out = [range(min(FIRST, tables))]
+    while out[-1].stop < tables:
+        out.append(range(out[-1].stop, min(out[-1].stop + min(3 * out[-1].stop, AT_ONCE), tables)))
+    return out
+
+
 def _shingle_sets(words: int):
     def run(batches):
         for batch in batches:
@@ -444,19 +453,20 @@ def near_classes(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity:
     pairs a row that are likely, and in turns for what isn't one class by then.
     """
     bits, tables = key_plan(nodes.count(), similarity)
-    keys = lambda some: nodes.select("node", "fp").mapInArrow(_sampled_keys(lanes, some, bits), "t int, key long, node long, fp binary")
     most = bits_apart(similarity - 0.12, lanes)
     deal = lambda df, turn: df.repartition("t", "key").sortWithinPartitions("t", "key", "node").mapInArrow(_near_pairs(lanes, most, turn, similarity), "a long, b long, t int, key long")
-    parts = [written(deal(keys(range(t, min(t + AT_ONCE, tables))), 0)) for t in range(0, tables, AT_ONCE)]
-    links = reduce(DataFrame.unionByName, parts)
-    asked = sets = true = roots = None
-    for turn in count(1):
+    rounds = table_rounds(tables)
+    asked = sets = roots = left = None
+    for turn in count(1 - len(rounds)):  # first asks up to 0, then what large buckets still have
+        seen = nodes.select("node", "fp").join(roots, "node", "left") if roots is not None else nodes.select("node", "fp", F.col("node").alias("root"))
+        seen = seen.select("node", "fp", F.coalesce("root", "node").alias("known"))
+        keyed = seen.mapInArrow(_sampled_keys(lanes, range(tables) if turn > 0 else rounds[turn - 1], bits), "t int, key long, node long, fp binary, known long")
+        if turn > 0:
+            keyed = keyed.join(left, ["t", "key"], "left_semi")
+            keyed = keyed.join(sets.mapInArrow(_marks, "node long, mark binary"), "node", "left") if sets is not None else keyed.withColumn("mark", F.lit(None).cast("binary"))
+        links = written(deal(keyed, max(0, turn)))
         pairs = links.where("a is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
-            side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
-            pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-        pairs = written(pairs)
+        pairs = written(pairs.join(asked, ["a", "b"], "left_anti") if asked is not None else pairs)
         if not pairs.isEmpty():
             ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             one = written((ends.join(sets.select("node"), "node", "left_anti") if sets is not None else ends).join(nodes.select("node", "k1", "k2"), "node"))
@@ -464,20 +474,18 @@ def near_classes(nodes: DataFrame, texts: DataFrame, words: int = 5, similarity:
             sets = more if sets is None else sets.unionByName(more)
             side = lambda c, v: sets.select(F.col("node").alias(c), F.col("set").alias(v))  # noqa: B023, E731
             found = written(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"))
-            true = found if true is None else true.unionByName(found)
-            released(one, roots)
-            roots = _classes(true)
+            if not found.isEmpty():  # a class that is known is a link a member, however many were verified
+                true = found.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))) if roots is not None else found
+                before, roots = roots, _classes(true)
+                released(before)
+            released(one, found)
         asked = pairs if asked is None else asked.unionByName(pairs)
-        left = written(links.where("t is not null").select("t", "key"))  # of known size, so that keys are made and left out where they are
-        released(*parts)
-        if left.isEmpty():
+        still = links.where("t is not null").select("t", "key")
+        still = written(left.unionByName(still) if left is not None and turn <= 0 else still)  # of known size, so that keys are made and left out where they are
+        released(links, left)
+        left = still
+        if turn >= 0 and left.isEmpty():
             break
-        again = keys(range(tables)).join(left, ["t", "key"], "left_semi")
-        again = again.join(roots, "node", "left").select("t", "key", "node", "fp", F.coalesce("root", "node").alias("known")) if roots is not None else again.withColumn("known", F.col("node"))
-        again = again.join(sets.mapInArrow(_marks, "node long, mark binary"), "node", "left") if sets is not None else again.withColumn("mark", F.lit(None).cast("binary"))
-        links = written(deal(again, turn))
-        parts = [links]
-        released(left)
     return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
 
 

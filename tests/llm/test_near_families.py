@@ -113,6 +113,22 @@ def test_one_of_a_large_group_of_copies_stays(spark):
     assert kept[0] == 0 and min(near) >= 0.8 and len(left) < 0.12 * len(texts) and max(left, default=0) < 0.88, sorted(left)
 
 
+def test_a_large_group_makes_links_by_its_rows(spark, monkeypatch):
+    rng, rows = random.Random(4), []
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    for k in range(400):
+        u = list(base)
+        for at in rng.sample(range(0, 395, 5), rng.choice([2, 4, 6])):
+            u[at] = f"c{k}x{at}"
+        rows.append((k, " ".join(u)))
+    made, classes = [], simhash._classes
+    monkeypatch.setattr(simhash, "_classes", lambda links: made.append(links.count()) or classes(links))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.one_of_each(df).count() == 1
+    print("links", made)
+    assert sum(made) < 8 * len(rows)
+
+
 def test_marks_rule_out_no_similar_sets_and_most_others():
     rng = np.random.default_rng(5)
     ruled = others = 0
