@@ -73,3 +73,37 @@ def test_a_hub_with_many_neighbours_merges_them_by_cost():
     edges = np.array([(0, k) for k in range(1, n)])
     tree = partition.merge_tree(np.arange(n, dtype=float)[:, None] ** 2, edges)
     assert [b for _, b, _ in tree[:1]] == [1] and len(tree) == n - 1 and all(a < n + k and b < n + k for k, (a, b, _) in enumerate(tree))
+
+
+def test_fits_after_moves_are_those_of_a_new_instance():
+    x, y, xy, edges, labels = strip(1500)
+    how, draw = replace(VARIANTS["county"], bandwidth=30), np.random.default_rng(5)
+    one, labels = partition.Instance(x, y, xy, edges, how), np.where(np.arange(1500) < 28, 9, labels)  # a regime of fewer rows than the bandwidth too
+    for _ in range(4):
+        got, want = one.fit(labels), partition.Instance(x, y, xy, edges, how).fit(labels)
+        assert all(np.allclose(a, b, rtol=1e-9) for a, b in zip(got, want))
+        for i in draw.integers(0, 1500, 30).tolist():  # the loop over single rows
+            rows, w = one.weighing(i, labels[i], labels, int((labels == labels[i]).sum()), False)
+            m = (x[rows] * w[:, None]).T @ x[rows]
+            assert np.allclose(got[0][i], np.linalg.solve(m, (x[rows] * w[:, None]).T @ y[rows]), rtol=1e-9)
+        labels = labels.copy()
+        moved = draw.integers(0, 1500, 40)
+        labels[moved] = draw.choice([1, 2, 3, 9], 40)
+
+
+def test_rows_whose_neighbours_are_of_their_regime_are_not_weighed(monkeypatch):
+    x, y, xy, edges, labels = strip(2500)
+    asked, one = [], partition.Instance.may_leave
+    monkeypatch.setattr(partition.Instance, "may_leave", lambda self, i, *a: asked.append(i) or one(self, i, *a))
+    whole = partition.Instance(x, y, xy, edges, VARIANTS["county"])
+    whole.sweep(labels, 1)
+    assert len(asked) < 1000
+    got, moves = whole.sweep(labels, 1)
+    monkeypatch.setattr(partition.Instance, "beside_others", lambda self, z: Every())  # every row is looked at
+
+    class Every(list):
+        __getitem__, __setitem__ = lambda self, i: True, lambda self, i, v: None
+
+    asked.clear()
+    want, every = whole.sweep(labels, 1)
+    assert len(asked) == 2500 and (got == want).all() and moves == every
